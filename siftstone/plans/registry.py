@@ -2,14 +2,19 @@
 
 from __future__ import annotations
 
+from . import records, search, state, text
+
+_ALL = search.QUERIES | text.QUERIES | records.QUERIES | state.QUERIES
+
 
 def flagship(spark, sf_dir):
-    raise NotImplementedError
+    """Facet-filtered exact cosine top-k."""
+    return search.topk_in_facet(spark, sf_dir)
 
 
 def queries():
-    return {}
+    return {name: query for name, (query, _) in _ALL.items()}
 
 
 def oracle_sql():
-    return {}
+    return {name: sql for name, (_, sql) in _ALL.items() if sql}
