@@ -12,18 +12,23 @@ most SLICE_CHARS characters: one slice, so one automaton, unless the benchmark i
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
 from functools import lru_cache
 
 import ahocorasick
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
 
-from .common import map_rows, ship
+from .common import schema_of, ship
 
 SIZE = 10
 SLICE_CHARS = 8_000_000
+#: Texts that a task holds at once.
+ROWS = 1024
 #: Bytes that are no part of a word become a space, A-Z become a-z.
 NORMAL = bytes(b + 32 if 65 <= b <= 90 else b if b >= 128 or 48 <= b <= 57 or 97 <= b <= 122 else 32 for b in range(256))
 WORD = re.compile(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+")
@@ -33,7 +38,7 @@ def words_of(text: str | None) -> list[bytes]:
     return (text or "").encode("utf-8", "surrogatepass").translate(NORMAL).split()
 
 
-@lru_cache(2)
+@lru_cache(1)
 def automaton(items: tuple[tuple[object, str], ...], size: int):
     """Over " w1 ... wk " of every window; bytes stand as the characters of the same numbers. A window's value: its words, its items."""
     owners: dict[str, set] = {}
@@ -73,13 +78,18 @@ def scan(text: str | None, machine) -> tuple[int, list[tuple[int, int]], set]:
             runs[-1][0] = min(runs[-1][0], first)
         else:
             runs.append([first, first + count])
-    merged: list[list[int]] = []
-    for a, b in sorted(runs):
-        if merged and a <= merged[-1][1]:
-            merged[-1][1] = max(merged[-1][1], b)
+    return len(words), merged(runs), found
+
+
+def merged(runs) -> list[tuple[int, int]]:
+    """Runs that overlap or touch, as one."""
+    out: list[tuple[int, int]] = []
+    for a, b in sorted(map(tuple, runs)):
+        if out and a <= out[-1][1]:
+            out[-1] = (out[-1][0], max(out[-1][1], b))
         else:
-            merged.append([a, b])
-    return len(words), [tuple(r) for r in merged], found
+            out.append((a, b))
+    return out
 
 
 def offsets(text: str, runs: list[tuple[int, int]]) -> list[tuple[int, int]]:
@@ -105,28 +115,30 @@ def contamination(docs: DataFrame, benchmark: DataFrame, size: int = SIZE, chars
     """One row for each row of docs(doc_id, text): n_words, spans of hit text (start, end in code points), n_hit words and the sorted items, as strings. Other columns are not read."""
     ddl = "doc_id long, n_words long, spans array<struct<start:int,end:int>>, n_hit long, items array<string>"
     parts = slices(benchmark, chars)
+    schema = to_arrow_schema(schema_of(ddl))
 
-    def start():
-        machines = [automaton(p, size) for p in parts] if len(parts) == 1 else None
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in (b.slice(i, ROWS) for b in batches for i in range(0, b.num_rows, ROWS)):
+            texts = batch.column("text").to_pylist()
+            out = []
+            for doc_id, text, (n, runs, found) in zip(batch.column("doc_id").to_pylist(), texts, scan_all(texts, parts, size), strict=True):
+                spans = [{"start": a, "end": b} for a, b in offsets(text or "", runs)]
+                out.append((doc_id, n, spans, sum(b - a for a, b in runs), sorted(str(x) for x in found if x is not None)))
+            yield pa.RecordBatch.from_arrays([pa.array(c, x.type) for c, x in zip(zip(*out, strict=True), schema, strict=True)], schema=schema)
 
-        def one(doc_id, text):
-            runs, found, n = [], set(), 0
-            for machine in machines or (automaton(p, size) for p in parts):
-                n, some, items = scan(text, machine)
-                runs += some
-                found |= items
-            merged: list[tuple[int, int]] = []
-            for a, b in sorted(runs):
-                if merged and a <= merged[-1][1]:
-                    merged[-1] = (merged[-1][0], max(b, merged[-1][1]))
-                else:
-                    merged.append((a, b))
-            spans = [{"start": a, "end": b} for a, b in offsets(text or "", merged)]
-            return doc_id, n, spans, sum(b - a for a, b in merged), sorted(str(x) for x in found if x is not None)
+    ship(docs.sparkSession)
+    return docs.select("doc_id", "text").mapInArrow(run, ddl)
 
-        return one
 
-    return map_rows(docs.select("doc_id", "text"), ddl, start)
+def scan_all(texts: list[str | None], parts: list[tuple[tuple[object, str], ...]], size: int) -> list[tuple[int, list[tuple[int, int]], set]]:
+    """scan() of each text over all slices; one automaton is held at a time."""
+    found: list[tuple[int, list[tuple[int, int]], set]] = [(0, [], set())] * len(texts)
+    for k, part in enumerate(parts):
+        machine = automaton(part, size)
+        for i, text in enumerate(texts):
+            n, runs, items = scan(text, machine)
+            found[i] = (n, merged(found[i][1] + runs) if k else runs, found[i][2] | items)
+    return found
 
 
 def contamination_digest(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
@@ -141,15 +153,14 @@ def clean(docs: DataFrame, benchmark: DataFrame, size: int = SIZE, chars: int =
 
 def flagged(docs: DataFrame, benchmark: DataFrame, size: int, chars: int):
     """A column over docs: whether text holds a window. Evaluated beside the row, so texts are not shuffled."""
-
     ship(docs.sparkSession)
     parts = slices(benchmark, chars)
 
     @F.pandas_udf("boolean")
     def held(text: pd.Series) -> pd.Series:
-        machines = [automaton(p, size) for p in parts] if len(parts) == 1 else (automaton(p, size) for p in parts)
         out = np.zeros(len(text), bool)
-        for machine in machines:
+        for part in parts:
+            machine = automaton(part, size)
             out |= [hits(t, machine) for t in text]
         return pd.Series(out)
 

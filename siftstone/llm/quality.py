@@ -159,7 +159,6 @@ def scores(docs: DataFrame, model: Model) -> DataFrame:
 
 def accepted(docs: DataFrame, model: Model, threshold: float = THRESHOLD) -> DataFrame:
     """The rows of docs, all columns, that the classifier accepts. Evaluated beside the row, so texts are not shuffled."""
-
     ship(docs.sparkSession)
 
     @F.pandas_udf("double")
