@@ -1,10 +1,11 @@
 """Sharding by sampled splitters, under the law "bytes": contiguous key ranges whose sizes are near equal.
 
-A record's key is (hash of its text, doc_id, row): equal texts lie side by side, and a group of copies of any size can still be
-cut. A size-weighted sample of keys (the smallest exponential priorities, SAMPLE for each range) gives splitters at even quantiles
-of weight; records are range-partitioned by them, overfull ranges are subdivided by splitters drawn from their own records, and
-running sums inside the ranges place every record. A record's weight is its size plus the mean size, so a range is bounded in
-bytes and in rows. Splitters and a line for each range are all that the driver sees: RANGES and SAMPLE bound them.
+A record's key is (hash of its text, doc_id, row). Equal texts lie side by side: groups of up to 1 / GROUP of a shard stay whole, and
+one of any size can still be cut. A size-weighted sample of keys (the smallest exponential priorities, SAMPLE for each range) gives
+splitters at even quantiles of weight; records are range-partitioned by them, overfull ranges are subdivided by splitters drawn
+from their own records, and running sums inside the ranges place every record. A record's weight is its size plus the mean size, so
+a range is bounded in bytes and in rows. Splitters and a line for each range are all that the driver sees: RANGES and SAMPLE bound
+them.
 
 Null texts count as empty: size 1, checksum 0. Null doc_ids sort first; repeated rows are placed one by one; an empty table gives
 an empty table.
@@ -25,6 +26,8 @@ RANGE_ROWS, RANGES = 20_000, (64, 4096)
 SAMPLE = 24
 #: A range of more than this many times the mean weight is subdivided.
 OVERFULL = 2.0
+#: Equal texts of up to this part of a shard aren't parted, but by a range's end.
+GROUP = 200
 ROUNDS = 4
 KEY = ("_k", "_id", "_row")
 
@@ -102,24 +105,37 @@ def assign_shards(docs: DataFrame, shards: int = SHARDS, range_rows: int = RANGE
         before[k] = start
         start = (start[0] + sums[k]["size"], start[1] + sums[k]["n"])
     placed = _placed(ranged, before, total, shards)
-    # Each shard's first row lies in the range that its first byte falls in: a small part of the rows.
-    edges = sorted({max((k for k in before if before[k][0] <= total * s // shards), default=0) for s in range(1, shards)})
-    near = sorted({x for e in edges for x in (e, *(k for k in before if k > e and before[k][0] <= before[e][0] + sums[e]["size"]))})
-    firsts = {r["shard"]: r["at"] for r in _placed(ranged.where(F.col("_range").isin(near)), before, total, shards).groupBy("shard").agg(F.min("_at").alias("at")).toLocalIterator()} if count else {}
+    # Each shard's first row lies in the ranges around the byte where the shard begins: a small part of the rows.
+    slack = group_limit(total, shards)
+    order = sorted(before)
+    near = set()
+    for at in (total * s // shards for s in range(1, shards)):
+        hit = [i for i, k in enumerate(order) if before[k][0] <= at + slack and before[k][0] + sums[k]["size"] >= at - slack]
+        near.update(order[i] for i in (*hit, *(min(i + 1, len(order) - 1) for i in hit[-1:])))
+    firsts = {r["shard"]: r["at"] for r in _placed(ranged.where(F.col("_range").isin(sorted(near))), before, total, shards).groupBy("shard").agg(F.min("_at").alias("at")).toLocalIterator()} if near else {}
     begin = [firsts.get(s, 0) if s else 0 for s in range(shards)]
     origin = F.element_at(F.array(*(F.lit(int(x)) for x in begin)), F.col("shard") + 1)
     return placed.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", (F.col("_at") - origin).cast("long").alias("slot"))
 
 
 def _placed(ranged: DataFrame, before: dict[int, tuple[int, int]], total: int, shards: int) -> DataFrame:
-    """With each row's place among all (_at) and its shard: the part of all bytes that its middle falls in."""
+    """With each row's place among all (_at) and its shard: the part of all bytes that its group's middle falls in, or its own if the group is large."""
     ahead = F.create_map(*(F.lit(x) for k, (size, n) in before.items() for x in (k, F.struct(F.lit(int(size)).alias("size"), F.lit(int(n)).alias("n"))))) if before else None
     if ahead is None:
         return ranged.select("doc_id", "size", "text_crc32", F.lit(0).alias("shard"), F.lit(0).cast("long").alias("_at"))
     w = Window.partitionBy("_range").orderBy(*KEY)
     run = ranged.withColumn("_upto", F.sum("size").over(w.rowsBetween(Window.unboundedPreceding, 0))).withColumn("_n", F.row_number().over(w)).withColumn("_ahead", F.element_at(ahead, F.col("_range")))
-    first = F.col("_ahead.size") + F.col("_upto") - F.col("size")
-    return run.select("doc_id", "size", "text_crc32", F.least(F.lit(shards - 1), F.floor((first + F.col("size") / 2) * shards / F.lit(max(1, total)))).cast("int").alias("shard"), (F.col("_ahead.n") + F.col("_n") - 1).alias("_at"))
+    # Equal texts of a range stand together: with RANGE frames a group's end and start come from the same sorted partition.
+    group = Window.partitionBy("_range").orderBy("_k")
+    run = run.withColumn("_end", F.sum("size").over(group.rangeBetween(Window.unboundedPreceding, 0))).withColumn("_whole", F.sum("size").over(group.rangeBetween(0, 0)))
+    small = F.col("_whole") <= group_limit(total, shards)
+    middle = F.col("_ahead.size") + F.when(small, F.col("_end") - F.col("_whole") / 2).otherwise(F.col("_upto") - F.col("size") / 2)
+    return run.select("doc_id", "size", "text_crc32", F.least(F.lit(shards - 1), F.floor(middle * shards / F.lit(max(1, total)))).cast("int").alias("shard"), (F.col("_ahead.n") + F.col("_n") - 1).alias("_at"))
+
+
+def group_limit(total: int, shards: int) -> int:
+    """Bytes up to which equal texts stay in one shard; larger groups are cut where the shard is full."""
+    return total // shards // GROUP
 
 
 def shard_digest(docs: DataFrame) -> DataFrame:
