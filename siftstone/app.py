@@ -65,10 +65,14 @@ def file_chunks(records: DataFrame, size: int = chunks.SIZE, overlap: int = chun
 def ingest_corpus(spark: SparkSession, base: str, collection: store.Collection, mode: str = "skip", embedder: models.Embedder | None = None, size: int = chunks.SIZE, overlap: int = chunks.OVERLAP, catalog=sources.CATALOG) -> dict:
     """The catalog's files, one after the other; a file that fails is counted and the others go on."""
     _, _, records = sources.catalog_records(spark, base, catalog)
-    made = file_chunks(records, size, overlap)
-    paths = sorted(r[0] for r in made.select("source_path").distinct().collect())  # the catalog's files
-    by_file = {p: made.where(F.col("source_path") == p) for p in paths}
-    return store.ingest(collection, by_file, mode, lambda d: models.embed_rows(d, embedder or models.HashEmbedder()))
+    made = file_chunks(records.persist(), size, overlap).persist()  # parsed once, not once for each file
+    try:
+        paths = sorted(r[0] for r in made.select("source_path").distinct().collect())  # the catalog's files
+        by_file = {p: made.where(F.col("source_path") == p) for p in paths}
+        return store.ingest(collection, by_file, mode, lambda d: models.embed_rows(d, embedder or models.HashEmbedder()))
+    finally:
+        made.unpersist()
+        records.unpersist()
 
 
 def mission_or_all(mission: str | None) -> str | None:
