@@ -38,7 +38,9 @@ def spread_lines(docs: DataFrame, site: str = "source", sites: int = SITES, lg_k
     # A line is on no more sites than it has occurrences.
     spread = checkpoint(sketched.where(F.col("_n") >= sites).select("_hash", F.hll_sketch_estimate("_sketch").alias("_sites")).where(F.col("_sites") >= sites * (1 - margin)))
     near = spread.where(F.col("_sites") <= sites * (1 + margin)).select("_hash")
-    exact = found.join(near, "_hash", "left_semi").groupBy("_hash", "_site").agg(F.lit(1).alias("_one")).groupBy("_hash").agg(F.count("*").alias("_sites"))
+    # Each (line, site) is one row before anything is dealt by line: a line that is everywhere is no hot key.
+    pairs = found.groupBy("_hash", "_site").agg(F.count("*").alias("_n"))
+    exact = pairs.join(near, "_hash", "left_semi").groupBy("_hash").agg(F.count("*").alias("_sites"))
     return checkpoint(spread.where(F.col("_sites") > sites * (1 + margin)).select("_hash").union(exact.where(F.col("_sites") >= sites).select("_hash")))
 
 
