@@ -206,6 +206,26 @@ def axis_label(c) -> Column:
     return strip(c).rlike(AXIS)
 
 
+# Words of narrative, and words that hold sentences together.
+NARRATIVE = "am is are was were be been being has have had do does did will would can could may might must should which that when while because therefore then".split()
+FUNCTION = "a an the to of for by from that which when while because with as this these those".split()
+
+
+def narrative_line(c) -> Column:
+    """A line of prose, also on a page of charts: no caption or visual line, mostly letters, and one of eight cues of running text."""
+    s, w = strip(c), words(strip(c))
+    plain = F.transform(w, lambda x: F.regexp_replace(F.lower(x), "^[-']+|[-']+$", ""))
+    told = F.arrays_overlap(plain, F.array(*map(F.lit, NARRATIVE)))
+    held = F.size(F.filter(plain, lambda x: x.isin(FUNCTION)))
+    n, small = F.size(w), s.rlike(r"^\p{Ll}")
+    inflected = F.exists(w, lambda x: (F.length(x) >= 5) & F.lower(x).rlike("(?:ed|ing)[-']*$"))
+    hyphened = F.exists(w, lambda x: x.rlike(r"[^-]-+[^-]"))
+    cues = [told, (n >= 4) & inflected, s.rlike(r"[.!?;:](?:\s|$)"), s.endswith("-") & (n >= 3), held >= 4, s.rlike(r"(?i)\bsuch\s+as\b"), small & (n >= 6), small & (n >= 4) & hyphened]
+    fragment = (n <= 3) & F.coalesce(F.try_element_at(plain, F.lit(1)), F.lit("")).endswith("ing") & ~told & (held == 0)
+    solid = (n >= 2) & (ratio(count_of(s, LETTER), count_of(s, r"\S")) >= 0.55) & (count_of(s, LOWER) >= 7)
+    return solid & ~visual_line(s) & ~visual_caption(s) & ~fragment & reduce(lambda a, b: a | b, cues)
+
+
 # --- names ---
 
 # Labels of speakers that scanning splits.

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import col
+from ..functions.vectors import cosine_distance, norm
 
 METRICS = ("response_relevancy", "faithfulness", "context_precision", "context_recall", "factual_correctness", "retrieval_f1")
 
@@ -21,6 +22,13 @@ def claim_f1(tp, fp, fn) -> Column:
     return F.coalesce(F.try_divide(2.0 * tp, 2.0 * tp + fp + fn), F.lit(0.0))
 
 
+def relevancy(asked: DataFrame, rebuilt: DataFrame, key: str = "id", vector: str = "embedding") -> DataFrame:
+    """(key, response_relevancy): the mean cosine of a question and the questions that were rebuilt from its answer."""
+    q = asked.select(key, F.col(vector).alias("_q")).withColumn("_m", norm("_q"))
+    r = rebuilt.select(key, F.col(vector).alias("_r")).withColumn("_n", norm("_r"))
+    return q.join(r, key).groupBy(key).agg(F.avg(1 - cosine_distance("_q", "_r", "_m", "_n")).alias("response_relevancy"))
+
+
 def long_scores(rows: DataFrame, key: str, metrics: tuple[str, ...] = METRICS) -> DataFrame:
     """(key, metric, score): one row for each, failed ones too."""
     return rows.unpivot(key, list(metrics), "metric", "score")

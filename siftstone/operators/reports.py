@@ -138,9 +138,7 @@ def pages_of(text: str) -> list[tuple[int, str]]:
 
 # --- narrative regions ---
 
-# Words of narrative, and words that hold sentences together.
-NARRATIVE = frozenset("am is are was were be been being has have had do does did will would can could may might must should which that when while because therefore then".split())
-FUNCTION = frozenset("a an the to of for by from that which when while because with as this these those".split())
+NARRATIVE, FUNCTION = frozenset(X.NARRATIVE), frozenset(X.FUNCTION)
 
 
 def numbered_candidate(s: str) -> bool:

@@ -61,17 +61,17 @@ def test_mixed_page_by_keyword_and_tables():
 
 LINES = [
     PROSE, MORE, "", "   ", "10 20 30", "TABLE 2-2. DATA", "FIGURE 1 X", "35R", "ABC123", "4.1 SUMMARY", "SECTION IV", "WIND DATA", "time, sec", "25 fps", "a b", "the end of it", "And so-", "x = 3.5 (m/s)", "é è ü", "16 Jul 69 0932 EDT",
-    "Table 2-2 have been taken from the first report of the team.", "Figure 2, which shows it", "GROUND TIME MINUS VEHICLE TIME", "12 ab 34", "!!!", "No. 7 of the list of all things that are to be done", "CM 12 LM 14 of 20",
+    "Going up slowly", "such as this-and that", "the re-entry went well", "left hand side-panel view of it", "Was ended early by-", "the plan of the day, for which a team", "running", "stood by the door of", "OPENED the second valve again", "Table 2-2 have been taken from the first report of the team.", "Figure 2, which shows it", "GROUND TIME MINUS VEHICLE TIME", "12 ab 34", "!!!", "No. 7 of the list of all things that are to be done", "CM 12 LM 14 of 20",
 ]
 
 
 def test_expressions_say_the_same_as_functions(spark):
     df = spark.createDataFrame([(i, x) for i, x in enumerate(LINES)], "i int, line string")
-    flags = {"prose": X.prose_line("line"), "visual": X.visual_line("line"), "low": X.low_information("line"), "numbered": X.numbered_heading("line"), "capitals": X.short_capital_title("line"), "axis": X.axis_label("line"), "caption": X.visual_caption("line"), "block": X.clean_block("line")}
+    flags = {"prose": X.prose_line("line"), "visual": X.visual_line("line"), "low": X.low_information("line"), "numbered": X.numbered_heading("line"), "capitals": X.short_capital_title("line"), "axis": X.axis_label("line"), "caption": X.visual_caption("line"), "block": X.clean_block("line"), "narrative": X.narrative_line("line")}
     for r in df.select("i", "line", *(c.alias(k) for k, c in flags.items())).collect():
         s = r.line.strip()
-        want = (R.prose(s), R.visual(s), R.low_information(r.line), R.numbered_candidate(s), R.capital_title(s), bool(R.AXIS.match(s)), R.caption(s), R.clean(r.line))
-        assert (r.prose, r.visual, r.low, bool(r.numbered), bool(r.capitals), r.axis, r.caption, r.block) == want, r.line
+        want = (R.prose(s), R.visual(s), R.low_information(r.line), R.numbered_candidate(s), R.capital_title(s), bool(R.AXIS.match(s)), R.caption(s), R.clean(r.line), R.narrative(s))
+        assert (r.prose, r.visual, r.low, bool(r.numbered), bool(r.capitals), r.axis, r.caption, r.block, r.narrative) == want, r.line
 
 
 def test_numbers_in_text(spark):

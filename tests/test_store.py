@@ -85,6 +85,12 @@ def test_worked_scores(spark):
     assert one.a == pytest.approx(0.816, abs=1e-3) and one.b == 0 and one.c is None and one.d == pytest.approx(0.889, abs=1e-3)
 
 
+def test_relevancy_is_a_mean_cosine(spark):
+    q = spark.createDataFrame([("a", [1.0, 0.0])], "id string, embedding array<double>")
+    r = spark.createDataFrame([("a", [2.0, 0.0]), ("a", [0.0, 3.0])], "id string, embedding array<double>")
+    assert [tuple(x) for x in evaluate.relevancy(q, r).collect()] == [("a", 0.5)]
+
+
 def test_summary_leaves_out_what_does_not_count(spark):
     nan = math.nan
     rows = spark.createDataFrame([("q1", 0.8, 0.5, None), ("q2", nan, 0.7, None), ("q3", 0.1, 0.1, "Timeout"), ("q4", None, math.inf, None)], "id string, faithfulness double, context_recall double, error string")

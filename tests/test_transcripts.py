@@ -96,3 +96,18 @@ def test_sources(spark, tmp_path):
         T.Options(parser="other")
     kinds = spark.createDataFrame([(DIARIZED, "a"), ("x", "my_PAO.txt"), ("STATUS REPORT", "b"), ("x", "b")], "t string, n string").select(T.parser_of(F.col("t"), F.col("n")).alias("k"), "t", "n").collect()
     assert [r.k for r in kinds] == [T.detect(r.t, r.n) for r in kinds] == ["challenger", "pao", "pao", "apollo"]
+
+
+def test_pages_and_lines_as_tables(spark):
+    from siftstone.operators import lines as L
+    from siftstone.operators.reports import pages_of
+
+    cases = {"a": "lost\n--- PAGE 3 ---\none\r\ntwo\n--- PAGE 4 ---\n\nthree\n", "b": "no marker\nat all", "c": "--- PAGE 1 ---\n", "d": ""}
+    df = spark.createDataFrame(list(cases.items()), "path string, value string")
+    got = {}
+    for r in L.page_rows(df).collect():
+        got.setdefault(r.path, []).append((r.page_no, r.page.strip()))
+    assert got == {k: [(n, p.strip()) for n, p in pages_of(t)] for k, t in cases.items()}
+    for start in (None, 4):
+        want = {(k, x.number, x.page, x.text) for k, t in cases.items() for x in (L.numbered(t, 0, start) if start is None or k == "a" else [])}
+        assert {tuple(r) for r in L.line_rows(df, start_page=start).collect() if r.path != "d"} == want
