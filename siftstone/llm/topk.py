@@ -22,7 +22,8 @@ from pyspark.sql import functions as F
 from .common import ship
 
 K, BLOCK, QUERIES, LEVEL, SCALE = 10, 8192, 2048, 16, 1024
-ROUNDS = 8
+#: Each round takes segments down to this part of the last one's least contribution; the last takes all.
+ROUNDS, SHRINK = 6, 0.3
 #: Rescoring starts when at most this many vectors (beside k) of a block may be members.
 FEW = 256
 
@@ -57,7 +58,7 @@ class Block:
         kinds = self.ids[self.starts] != own
         few, bar = kinds.sum() <= k, 0
         for r in range(1, ROUNDS + 1):
-            cut = top * (1 - r / ROUNDS) if r < ROUNDS else 0.0
+            cut = top * SHRINK**r if r < ROUNDS else 0.0
             left = 0
             for d in np.flatnonzero(worth):
                 steps = worth[d] * LEVEL
