@@ -170,3 +170,17 @@ def flagged(docs: DataFrame, benchmark: DataFrame, size: int, chars: int):
 def hits(text: str | None, machine) -> bool:
     words = words_of(text)
     return bool(words) and machine is not None and next(machine.iter((b" " + b" ".join(words) + b" ").decode("latin-1")), None) is not None
+
+
+_WORDS = r"regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
+CONTAMINATION_SQL = f"""
+WITH b AS (SELECT item_id, w, least(len(w), {SIZE}) AS k FROM (SELECT item_id, {_WORDS} AS w FROM benchmark WHERE text IS NOT NULL) WHERE len(w) > 0),
+win AS (SELECT DISTINCT item_id, k, array_to_string(w[i : i + k - 1], ' ') AS x FROM (SELECT *, unnest(range(1, len(w) - k + 2)) AS i FROM b)),
+d AS (SELECT row_number() OVER () AS r, doc_id, coalesce({_WORDS}, []) AS w FROM documents),
+p AS (SELECT r, k, i, array_to_string(w[i : i + k - 1], ' ') AS x FROM (SELECT r, w, k, unnest(range(1, len(w) - k + 2)) AS i FROM d CROSS JOIN (SELECT DISTINCT k FROM win) WHERE len(w) >= k)),
+hit AS (SELECT r, i, p.k, item_id FROM p JOIN win ON p.x = win.x AND p.k = win.k),
+n AS (SELECT r, count(DISTINCT place) AS n_hit FROM (SELECT r, unnest(range(i, i + k)) AS place FROM hit) GROUP BY r),
+t AS (SELECT r, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS items FROM (SELECT DISTINCT r, CAST(item_id AS VARCHAR) AS item FROM hit) GROUP BY r)
+SELECT doc_id, len(w) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM d LEFT JOIN n USING (r) LEFT JOIN t USING (r)
+"""

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from .common import table
-from .decontam import contamination_digest
+from .decontam import CONTAMINATION_SQL, contamination_digest
 from .linededup import LINE_SQL, line_digest
 from .mixing import mix_digest
 from .pii import pii_digest
@@ -39,4 +39,4 @@ def queries():
 
 
 def oracle_sql():
-    return {"op2_exact_top_k": TOP_K_SQL, "op6_line_spread": LINE_SQL}
+    return {"op2_exact_top_k": TOP_K_SQL, "op6_line_spread": LINE_SQL, "op10_contamination": CONTAMINATION_SQL}
