@@ -14,11 +14,17 @@ PUNCT = r"[^\p{L}\p{N}\s]"
 WORD = r"[A-Za-z][A-Za-z'-]*"
 
 
+#: What is left out to count characters of a class: removing runs of others is cheaper than gathering each match.
+OTHERS = {LETTER: r"\P{L}+", DIGIT: r"\P{Nd}+", LOWER: r"\P{Ll}+", UPPER: r"\P{Lu}+", PUNCT: r"[\p{L}\p{N}\s]+", r"\S": r"\s+", "[A-Za-z]": "[^A-Za-z]+", "[A-Z]": "[^A-Z]+"}
+
+
 def col(c: str | Column) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
 def count_of(c, pattern: str) -> Column:
+    if pattern in OTHERS:
+        return F.length(F.regexp_replace(col(c), OTHERS[pattern], ""))
     return F.regexp_count(col(c), F.lit(pattern))
 
 
