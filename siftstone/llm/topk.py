@@ -8,7 +8,7 @@ member. Reading stops only when that proves that few enough are left (or nothing
 exactly. A block's k best of a query are merged by a pre-aggregated, bounded top-k.
 
 Queries are dealt into groups of at most QUERIES; a task holds one block and one group, whatever the table's size.
-Vectors that are null, hold null or non-finite components or differ in length from a query take no part against it. Rows that repeat a vec_id count once, at their best score; a null vec_id takes no part.
+Vectors that are null, hold null or non-finite components or differ in length from a query take no part against it. Rows that repeat a vec_id count once, at their best score; a null vec_id takes no part. Rows come from a scan or a checkpoint: their dealing into blocks must not change if a task is run again.
 Ties go to the smaller vec_id; with fewer than k candidates all are returned; an empty table gives an empty table.
 """
 
@@ -108,7 +108,7 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = K, block: int = BLOCK
     q = queries.withColumn("g", dealt(queries, groups)).withColumn("b", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
 
     def search(vs: pd.DataFrame, qs: pd.DataFrame) -> pd.DataFrame:
-        out = []
+        out = [(np.zeros(0, np.int64),) * 3]
         if len(vs) and len(qs):
             sizes = vs["x"].map(len)
             for size, part in vs.groupby(sizes):
@@ -116,8 +116,8 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = K, block: int = BLOCK
                 for own, x in zip(qs["vec_id"], qs["x"], strict=True):
                     if len(x) == size:
                         ids, scores = index.search(np.asarray(x, np.int64), own, k)
-                        out.append(pd.DataFrame({"query_id": own, "vec_id": ids, "score": scores}))
-        return pd.concat(out) if out else pd.DataFrame({"query_id": [], "vec_id": [], "score": []}, dtype="int64")
+                        out.append((np.full(len(ids), own), ids, scores))
+        return pd.DataFrame(dict(zip(("query_id", "vec_id", "score"), map(np.concatenate, zip(*out, strict=True)), strict=True)))
 
     found = v.groupBy("b", "g").cogroup(q.groupBy("b", "g")).applyInPandas(search, "query_id long, vec_id long, score long")
     best = found.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
