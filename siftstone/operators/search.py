@@ -22,8 +22,8 @@ def search(collection: DataFrame, queries: DataFrame, k: int, where: Column | No
         raise ValueError("k must be positive")
     rows = collection if where is None else collection.where(where)
     keep = [facet] if facet else []
-    c = rows.select(F.col(id_col).alias("id"), F.col(vector).alias("_v"), *keep).withColumn("_n", norm("_v"))
-    q = queries.select(F.col(id_col).alias("query_id"), F.col(vector).alias("_q"), *(F.col(f).alias(f"_{f}") for f in keep)).withColumn("_m", norm("_q"))
+    c = rows.select(F.col(id_col).alias("id"), F.col(vector).alias("_v"), *keep).withColumn("_n", norm("_v")).where("_n > 0")
+    q = queries.select(F.col(id_col).alias("query_id"), F.col(vector).alias("_q"), *(F.col(f).alias(f"_{f}") for f in keep)).withColumn("_m", norm("_q")).where("_m > 0")
     same = (F.col(facet) == F.col(f"_{facet}")) if facet else F.lit(True)
     if queries.limit(BROADCAST_QUERIES + 1).count() <= BROADCAST_QUERIES:
         met = c.join(F.broadcast(q), same)
@@ -32,9 +32,10 @@ def search(collection: DataFrame, queries: DataFrame, k: int, where: Column | No
         q = q.withColumn("_g", F.pmod(F.xxhash64("query_id"), F.lit(groups))).withColumn("_part", F.explode(F.sequence(F.lit(0), F.lit(PARTS - 1))))
         c = c.withColumn("_part", F.pmod(F.xxhash64("id"), F.lit(PARTS)).cast("int")).withColumn("_g", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(groups - 1).cast("long"))))
         met = c.join(q, (c["_g"] == q["_g"]) & (c["_part"] == q["_part"]) & same)
-    scored = met.select("query_id", "id", *keep, *(f"_{f}" for f in keep), cosine_distance("_q", "_v", "_m", "_n").alias("distance")).where("distance is not null")
-    nearest = Window.partitionBy("query_id").orderBy(F.round("distance", 9), "id")
-    return scored.withColumn("rank", F.row_number().over(nearest)).where(F.col("rank") <= k)
+    scored = met.select("query_id", "id", *keep, *(f"_{f}" for f in keep), cosine_distance("_q", "_v", "_m", "_n").alias("distance"))
+    # Vectors of another length have no distance: they stand last and go after the top k, so that no filter computes distances twice.
+    nearest = Window.partitionBy("query_id").orderBy(F.asc_nulls_last(F.round("distance", 9)), "id")
+    return scored.withColumn("rank", F.row_number().over(nearest)).where(F.col("rank") <= k).where("distance is not null")
 
 
 def precision(ranked: DataFrame, useful: str = "useful") -> DataFrame:
