@@ -120,17 +120,18 @@ def assign_shards(docs: DataFrame, shards: int = SHARDS, range_rows: int = RANGE
 
 def _placed(ranged: DataFrame, before: dict[int, tuple[int, int]], total: int, shards: int) -> DataFrame:
     """With each row's place among all (_at) and its shard: the part of all bytes that its group's middle falls in, or its own if the group is large."""
-    ahead = F.create_map(*(F.lit(x) for k, (size, n) in before.items() for x in (k, F.struct(F.lit(int(size)).alias("size"), F.lit(int(n)).alias("n"))))) if before else None
-    if ahead is None:
+    if not before:
         return ranged.select("doc_id", "size", "text_crc32", F.lit(0).alias("shard"), F.lit(0).cast("long").alias("_at"))
+    # A line for each range: at most RANGES, and as many again for each round of subdividing.
+    ahead = ranged.sparkSession.createDataFrame([(k, int(size), int(n)) for k, (size, n) in before.items()], "_range int, _bytes long, _rows long")
     w = Window.partitionBy("_range").orderBy(*KEY)
-    run = ranged.withColumn("_upto", F.sum("size").over(w.rowsBetween(Window.unboundedPreceding, 0))).withColumn("_n", F.row_number().over(w)).withColumn("_ahead", F.element_at(ahead, F.col("_range")))
+    run = ranged.join(F.broadcast(ahead), "_range").withColumn("_upto", F.sum("size").over(w.rowsBetween(Window.unboundedPreceding, 0))).withColumn("_n", F.row_number().over(w))
     # Equal texts of a range stand together: with RANGE frames a group's end and start come from the same sorted partition.
     group = Window.partitionBy("_range").orderBy("_k")
     run = run.withColumn("_end", F.sum("size").over(group.rangeBetween(Window.unboundedPreceding, 0))).withColumn("_whole", F.sum("size").over(group.rangeBetween(0, 0)))
     small = F.col("_whole") <= group_limit(total, shards)
-    middle = F.col("_ahead.size") + F.when(small, F.col("_end") - F.col("_whole") / 2).otherwise(F.col("_upto") - F.col("size") / 2)
-    return run.select("doc_id", "size", "text_crc32", F.least(F.lit(shards - 1), F.floor(middle * shards / F.lit(max(1, total)))).cast("int").alias("shard"), (F.col("_ahead.n") + F.col("_n") - 1).alias("_at"))
+    middle = F.col("_bytes") + F.when(small, F.col("_end") - F.col("_whole") / 2).otherwise(F.col("_upto") - F.col("size") / 2)
+    return run.select("doc_id", "size", "text_crc32", F.least(F.lit(shards - 1), F.floor(middle * shards / F.lit(max(1, total)))).cast("int").alias("shard"), (F.col("_rows") + F.col("_n") - 1).alias("_at"))
 
 
 def group_limit(total: int, shards: int) -> int:
