@@ -6,8 +6,12 @@ where the row is (mapInPandas), without a shuffle. The line predicates are those
 from __future__ import annotations
 
 import re
+from bisect import bisect_left
+from collections import Counter
 from collections.abc import Iterator, Sequence
 from dataclasses import dataclass, field
+from functools import lru_cache
+from itertools import accumulate
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -48,15 +52,27 @@ class Counts:
 
     @classmethod
     def of(cls, s: str) -> Counts:
-        alpha, digit = sum(map(str.isalpha, s)), sum(map(str.isdigit, s))
-        solid = sum(not c.isspace() for c in s)
-        return cls(alpha, digit, solid - sum(map(str.isalnum, s)), sum(map(str.islower, s)), solid)
+        return _counts(s) if len(s) < 500 else _counts.__wrapped__(s)
 
     @property
     def noise(self) -> int:
         return self.digit + self.punct
 
 
+@lru_cache(4096)
+def kind_of(ch: str) -> tuple[bool, bool, bool, bool, bool]:
+    """alpha, digit, punct, lower, solid."""
+    solid = not ch.isspace()
+    return ch.isalpha(), ch.isdigit(), solid and not ch.isalnum(), ch.islower(), solid
+
+
+@lru_cache(4096)
+def _counts(s: str) -> Counts:
+    """A line is asked for several times in a row."""
+    chars = Counter(s).items()
+    return Counts(*(sum(n for ch, n in chars if kind_of(ch)[k]) for k in range(5)))
+
+
 def capitals(s: str) -> float:
     letters = re.findall("[A-Za-z]", s)
     return sum(map(str.isupper, letters)) / len(letters) if letters else 0.0
@@ -320,16 +336,23 @@ def salvage(s: str) -> str:
     if not c.alpha:
         return ""
 
-    def reads(t: str, words: int, small: int, most: float) -> bool:
-        k = Counts.of(t)
-        return len(LONG_WORD.findall(t)) >= words and k.lower >= small and k.alpha > 0 and k.noise / k.alpha <= most
-
     mark = re.search(r"(?i)\bNOTE:\s*|(?<!\*)\*{1,2}(?=[A-Za-z])", s)
-    if mark and c.noise / c.alpha >= 0.40 and reads(t := s[mark.start() :].lstrip("* ").strip(), 4, 0, 0.55):
-        return t
+    if mark and c.noise / c.alpha >= 0.40:
+        t = s[mark.start() :].lstrip("* ").strip()
+        k = Counts.of(t)
+        if len(LONG_WORD.findall(t)) >= 4 and k.alpha and k.noise / k.alpha <= 0.55:
+            return t
     if c.noise / c.alpha <= 0.60:
         return s
-    return next((t for m in re.finditer(r"\b[A-Za-z][A-Za-z'-]{2,}\b", s) if reads(t := s[m.start() :].strip(), 8, 15, 0.45)), "")
+    # Counts of every suffix at once: linear in the block, however many words it has.
+    kinds = [kind_of(ch) for ch in reversed(s)]
+    alpha, noise, lower = (list(accumulate(x, initial=0)) for x in ((k[0] for k in kinds), (k[1] or k[2] for k in kinds), (k[3] for k in kinds)))
+    long = [m.start() for m in LONG_WORD.finditer(s)]
+    for m in re.finditer(r"\b[A-Za-z][A-Za-z'-]{2,}\b", s):
+        n = len(s) - m.start()
+        if len(long) - bisect_left(long, m.start()) >= 8 and lower[n] >= 15 and alpha[n] and noise[n] / alpha[n] <= 0.45:
+            return s[m.start() :].strip()
+    return ""
 
 
 def low_information(s: str) -> bool:
