@@ -18,10 +18,18 @@ def _turns(spark, sf_dir):
     return table(spark, sf_dir, "conversations")
 
 
+#: Ids of a volume. Files and queries are bound to volumes of a source, so that none grows with the table.
+VOLUME = 1000
+
+
+def _volume():
+    return F.floor(F.col("doc_id") / VOLUME).cast("string")
+
+
 def file_report(spark, sf_dir):
-    """A report file is a source and language; its blocks are the documents in order of id."""
+    """A report file is a volume of a source and language; its blocks are the documents in order of id."""
     own = Window.partitionBy("path").orderBy("doc_id")
-    rows = _docs(spark, sf_dir).withColumn("path", F.concat_ws("/", "lang", "source")).withColumn("_i", F.row_number().over(own) - 1)
+    rows = _docs(spark, sf_dir).withColumn("path", F.concat_ws("/", "lang", "source", _volume())).withColumn("_i", F.row_number().over(own) - 1)
     blocks = rows.withColumn("_b", files.block("_i", "text", "doc_id", F.lit(None).cast("long")))
     out = files.one_per_file(blocks, "path", "doc_id", "_b", "\n\n", ["source", "lang"], "doc_id")
     return out.select("path", "record_count", "first", "last", "source", "n_source", "n_lang", F.md5("text").alias("text_md5"))
@@ -53,21 +61,21 @@ def prompts(spark, sf_dir):
 
 
 def _ranked(spark, sf_dir):
-    """Hits of a query: the documents of a source, in order of length."""
-    by = Window.partitionBy("source").orderBy(F.desc("n_chars"), "doc_id")
-    return _docs(spark, sf_dir).withColumn("rank", F.row_number().over(by))
+    """Hits of a query: the documents of a source's volume, in order of length."""
+    by = Window.partitionBy("query").orderBy(F.desc("n_chars"), "doc_id")
+    return _docs(spark, sf_dir).withColumn("query", F.concat_ws("/", "source", _volume())).withColumn("rank", F.row_number().over(by))
 
 
 def ordered_dedup(spark, sf_dir):
-    return context.distinct_in_order(_ranked(spark, sf_dir), "text", "source", "rank").select("source", "rank", "doc_id", "number")
+    return context.distinct_in_order(_ranked(spark, sf_dir), "text", "query", "rank").select("query", "rank", "doc_id", "number")
 
 
 def cited(spark, sf_dir):
-    """The context of the ten first hits of each source."""
-    kept = context.distinct_in_order(_ranked(spark, sf_dir).where("rank <= 10"), "text", "source", "rank")
+    """The context of the ten first hits of each query."""
+    kept = context.distinct_in_order(_ranked(spark, sf_dir).where("rank <= 10"), "text", "query", "rank")
     kept = kept.withColumn("mission", F.when(F.col("lang") == "en", "Apollo 11").when(F.col("lang") == "fr", "STS-51L").otherwise("other")).withColumn("nothing", F.lit(""))
     block = context.cited_block("number", "text", "mission", ["nothing", "source"], ["nothing"], ["lang"], ("doc_id", "n_chars"), ("rank", F.lit(None).cast("int")))
-    return context.cited_context(kept, "source", block).select("source", F.length("context").alias("length"), F.md5("context").alias("context_md5"))
+    return context.cited_context(kept, "query", block).select("query", F.length("context").alias("length"), F.md5("context").alias("context_md5"))
 
 
 def validation(spark, sf_dir):
@@ -114,10 +122,10 @@ def parsed_transcripts(spark, sf_dir):
 
 
 def parsed_reports(spark, sf_dir):
-    """Documents as pages of their source's report."""
+    """Documents as pages of the report that their source's volume is."""
     page = F.concat(F.lit("--- PAGE "), F.col("doc_id").cast("string"), F.lit(" ---\nSECTION "), (F.col("doc_id") % 9 + 1).cast("string"), F.lit(" - "), F.upper("lang"), F.lit("\n"), F.col("text"))
     parts = F.transform(F.array_sort(F.collect_list(F.struct("doc_id", page.alias("t")))), lambda x: x.t)
-    whole = _docs(spark, sf_dir).groupBy("source").agg(F.array_join(parts, "\n").alias("value")).select(F.concat(F.lit("memory://"), "source", F.lit(".txt")).alias("path"), "value")
+    whole = _docs(spark, sf_dir).groupBy("source", _volume().alias("v")).agg(F.array_join(parts, "\n").alias("value")).select(F.concat(F.lit("memory://"), "source", F.lit("_"), "v", F.lit(".txt")).alias("path"), "value")
     m = reports.report_records(whole, reports.Options(start_page=0, mission="Apollo 11", collection="apollo11"))
     return m.select("id", "metadata.section_path", "metadata.page_start", "metadata.page_end", F.md5("document").alias("document_md5"))
 
@@ -136,7 +144,7 @@ def dense_index(spark, sf_dir):
 
 
 _KEY = f"lower({collapse('text')})"
-_FIRST = f"""WITH r AS (SELECT *, row_number() OVER (PARTITION BY source ORDER BY n_chars DESC, doc_id) AS rank FROM documents)"""
+_FIRST = """WITH d AS (SELECT *, source || '/' || (doc_id // 1000) AS query FROM documents), r AS (SELECT *, row_number() OVER (PARTITION BY query ORDER BY n_chars DESC, doc_id) AS rank FROM d)"""
 _SPOKEN = f"""WITH u AS (SELECT *, string_split(text, chr(10)) AS ls FROM conversations),
 v AS (SELECT *, coalesce(sum(len(ls)) OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM u)
 SELECT 'memory://conv_' || conv_id || '.txt' AS path, (row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1)::BIGINT AS utterance_index, turn || ':' || lpad((conv_id % 70)::VARCHAR, 2, '0') AS timestamp,
@@ -147,7 +155,7 @@ QUERIES = {
     "file_aggregate_report": (
         file_report,
         f"""SELECT path, count(*) AS record_count, min(doc_id) AS first, max(doc_id) AS last, min(source) AS source, count(DISTINCT source) AS n_source, count(DISTINCT lang) AS n_lang, md5(string_agg(b, chr(10) || chr(10) ORDER BY doc_id)) AS text_md5
-        FROM (SELECT *, '[block=' || lpad((row_number() OVER (PARTITION BY path ORDER BY doc_id) - 1)::VARCHAR, 5, '0') || ' pages=' || doc_id || '-' || doc_id || ']' || chr(10) || {strip('text')} AS b FROM (SELECT *, lang || '/' || source AS path FROM documents)) GROUP BY path""",
+        FROM (SELECT *, '[block=' || lpad((row_number() OVER (PARTITION BY path ORDER BY doc_id) - 1)::VARCHAR, 5, '0') || ' pages=' || doc_id || '-' || doc_id || ']' || chr(10) || {strip('text')} AS b FROM (SELECT *, lang || '/' || source || '/' || (doc_id // 1000) AS path FROM documents)) GROUP BY path""",
     ),
     "transcript_render": (
         rendered_turns,
@@ -163,13 +171,13 @@ QUERIES = {
         g AS (SELECT conv_id, count(*) AS n, string_agg(t, '|' ORDER BY turn) AS ts FROM h GROUP BY conv_id)
         SELECT a.conv_id, (coalesce(n, 0) + 2)::INT AS n, md5('developer:Answer from the documents.|' || CASE WHEN ts IS NULL THEN '' ELSE ts || '|' END || 'user:USER QUESTION:' || chr(10) || {strip('q')} || chr(10) || chr(10) || 'RETRIEVED DOCUMENTS:' || chr(10) || 'No retrieved documents were provided.') AS messages_md5 FROM a LEFT JOIN g USING (conv_id)""",
     ),
-    "ordered_dedup_context": (ordered_dedup, _FIRST + f"SELECT source, rank::INT AS rank, doc_id, (row_number() OVER (PARTITION BY source ORDER BY rank))::INT AS number FROM (SELECT *, row_number() OVER (PARTITION BY source, {_KEY} ORDER BY rank) AS f FROM r WHERE {strip('text')} <> '') WHERE f = 1"),
+    "ordered_dedup_context": (ordered_dedup, _FIRST + f"SELECT query, rank::INT AS rank, doc_id, (row_number() OVER (PARTITION BY query ORDER BY rank))::INT AS number FROM (SELECT *, row_number() OVER (PARTITION BY query, {_KEY} ORDER BY rank) AS f FROM r WHERE {strip('text')} <> '') WHERE f = 1"),
     "cited_context": (
         cited,
-        _FIRST + f""", k AS (SELECT *, row_number() OVER (PARTITION BY source ORDER BY rank) AS number FROM (SELECT *, row_number() OVER (PARTITION BY source, {_KEY} ORDER BY rank) AS f FROM r WHERE rank <= 10 AND {strip('text')} <> '') WHERE f = 1),
-        c AS (SELECT source, 'RETRIEVED DOCUMENTS' || chr(10) || chr(10) || string_agg('[DOCUMENT ' || number || ']' || chr(10) || 'MISSION = ' || CASE lang WHEN 'en' THEN 'Apollo 11' WHEN 'fr' THEN 'Challenger' ELSE 'other' END || chr(10) || 'SOURCE = ' || source || chr(10) || 'FILEPATH = Unknown filepath' || chr(10)
-        || 'TYPE = ' || lang || chr(10) || 'PAGES = ' || doc_id || '-' || n_chars || chr(10) || 'LINES = ' || rank || '-' || rank || chr(10) || chr(10) || {strip('text')}, chr(10) || chr(10) || '---' || chr(10) || chr(10) ORDER BY number) AS x FROM k GROUP BY source)
-        SELECT source, length(x)::INT AS length, md5(x) AS context_md5 FROM c""",
+        _FIRST + f""", k AS (SELECT *, row_number() OVER (PARTITION BY query ORDER BY rank) AS number FROM (SELECT *, row_number() OVER (PARTITION BY query, {_KEY} ORDER BY rank) AS f FROM r WHERE rank <= 10 AND {strip('text')} <> '') WHERE f = 1),
+        c AS (SELECT query, 'RETRIEVED DOCUMENTS' || chr(10) || chr(10) || string_agg('[DOCUMENT ' || number || ']' || chr(10) || 'MISSION = ' || CASE lang WHEN 'en' THEN 'Apollo 11' WHEN 'fr' THEN 'Challenger' ELSE 'other' END || chr(10) || 'SOURCE = ' || source || chr(10) || 'FILEPATH = Unknown filepath' || chr(10)
+        || 'TYPE = ' || lang || chr(10) || 'PAGES = ' || doc_id || '-' || n_chars || chr(10) || 'LINES = ' || rank || '-' || rank || chr(10) || chr(10) || {strip('text')}, chr(10) || chr(10) || '---' || chr(10) || chr(10) ORDER BY number) AS x FROM k GROUP BY query)
+        SELECT query, length(x)::INT AS length, md5(x) AS context_md5 FROM c""",
     ),
     "validate_records": (
         validation,
