@@ -21,8 +21,8 @@ FEED = "\n"
 
 
 def line_hash(line: Column) -> Column:
-    """Two 32-bit halves would collide; 64 bits of the line, null for blank lines."""
-    return F.when(F.trim(F.translate(line, "\t\r", "  ")) != "", F.xxhash64(line))
+    """64 bits of the line, null for blank lines. Trimming reads no further than the first character that isn't blank."""
+    return F.when(F.ltrim(line, F.lit(" \t\r")) != "", F.xxhash64(line))
 
 
 def lines(docs: DataFrame, site: str, *keep: Column | str) -> DataFrame:
