@@ -8,7 +8,6 @@ from pathlib import Path
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
@@ -44,8 +43,8 @@ def schema_of(ddl: str) -> T.StructType:
     return T._parse_datatype_string(ddl)
 
 
-def map_rows(df: DataFrame, ddl: str, start: Callable[[], Callable[..., tuple]]) -> DataFrame:
-    """start() runs once in a task; what it returns makes one output row of the columns of each row. Memory: one Arrow batch and SLICE rows."""
+def map_slices(df: DataFrame, ddl: str, start: Callable[[], Callable[..., list[tuple]]]) -> DataFrame:
+    """start() runs once in a task; what it returns makes the output rows of the columns (lists) of at most SLICE rows. Memory: one Arrow batch and a slice."""
     ship(df.sparkSession)
     schema = to_arrow_schema(schema_of(ddl))
 
@@ -53,13 +52,17 @@ def map_rows(df: DataFrame, ddl: str, start: Callable[[], Callable[..., tuple]])
         f = start()
         for batch in batches:
             for i in range(0, batch.num_rows, SLICE):
-                part = batch.slice(i, SLICE)
-                out = [f(*row) for row in zip(*(c.to_pylist() for c in part.columns), strict=True)]
+                out = f(*(c.to_pylist() for c in batch.slice(i, SLICE).columns))
                 yield pa.RecordBatch.from_arrays([pa.array(c, x.type) for c, x in zip(zip(*out, strict=True), schema, strict=True)], schema=schema)
 
     return df.mapInArrow(rows, ddl)
 
 
-def spread(c, parts: int):
-    """A number from 0 to parts - 1 from the hash c."""
-    return F.pmod(c, F.lit(parts))
+def map_rows(df: DataFrame, ddl: str, start: Callable[[], Callable[..., tuple]]) -> DataFrame:
+    """As map_slices, for functions of one row."""
+
+    def each():
+        f = start()
+        return lambda *columns: [f(*row) for row in zip(*columns, strict=True)]
+
+    return map_slices(df, ddl, each)

@@ -18,7 +18,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_rows
+from .common import map_slices
 
 RULES = (("block", "com/en/"), ("allow", "example.com/en/7"), ("allow", "net/de/"), ("block", "example.net/de/8"), ("block", "org/es/"))
 #: Labelled URLs that the trees are fitted to at most: those with the smallest hashes.
@@ -163,12 +163,13 @@ def url_verdicts(pages: DataFrame, rules=RULES, labelled: DataFrame | None = Non
     model = train(told)
 
     def start():
-        def one(page_id, url, host, path, rule, says):
-            if says is not None:
-                return page_id, host, path, rule, says, None
-            score = float(model.score(np.array([model.inputs(url, host, path)], float))[0])
-            return page_id, host, path, rule, "block" if score > 0 else "allow", round(score, 9)
+        def some(page_ids, given, hosts, paths, rules, says):
+            free = [i for i, x in enumerate(says) if x is None]
+            inputs = [model.inputs(given[i], hosts[i], paths[i]) for i in free]
+            score = dict(zip(free, model.score(np.array(inputs, float)).tolist(), strict=True)) if free else {}
+            verdicts = [x or ("block" if score[i] > 0 else "allow") for i, x in enumerate(says)]
+            return [(p, h, w, r, v, round(score[i], 9) if i in score else None) for i, (p, h, w, r, v) in enumerate(zip(page_ids, hosts, paths, rules, verdicts, strict=True))]
 
-        return one
+        return some
 
-    return map_rows(parts, "page_id long, host string, path string, rule string, verdict string, score double", start)
+    return map_slices(parts, "page_id long, host string, path string, rule string, verdict string, score double", start)
