@@ -1,13 +1,13 @@
 """Exact top-k inner products over an impact-ordered, score-at-a-time index.
 
-Vectors are quantised to integers floor(1024 x). Rows are dealt into blocks of at most BLOCK vectors, and each block is an index of its own:
+Vectors are quantised to integers floor(1024 x). Rows are dealt into blocks of about BLOCK vectors, and each block is an index of its own:
 for every dimension the vectors in order of their component, cut into segments of one impact level (LEVEL units). A query takes
 segments in descending order of their contribution, rounds of ever lower ones over all dimensions: a positive query component reads from the top, a negative one from the
 bottom. After each round the unread segments bound what any vector can still gain; a vector whose bound is below the k-th lower bound is no
 member. Reading stops only when that proves that few enough are left (or nothing is unread), and all possible members are rescored
 exactly. A block's k best of a query are merged by a pre-aggregated, bounded top-k.
 
-Queries are dealt into groups of at most QUERIES; a task holds one block and one group, whatever the table's size.
+Queries are dealt into groups of about QUERIES; a task holds one block and one group, whatever the table's size.
 Vectors that are null, hold null or non-finite components or differ in length from a query take no part against it. Rows that repeat a vec_id count once, at their best score; a null vec_id takes no part. Rows come from a scan or a checkpoint: their dealing into blocks must not change if a task is run again.
 Ties go to the smaller vec_id; with fewer than k candidates all are returned; an empty table gives an empty table.
 """
@@ -21,9 +21,11 @@ from pyspark.sql import functions as F
 
 from .common import ship
 
-K, BLOCK, QUERIES, LEVEL, SCALE = 10, 8192, 2048, 16, 1024
+K, BLOCK, QUERIES, LEVEL, SCALE = 10, 32_768, 2048, 16, 1024
 #: Each round takes segments down to this part of the last one's least contribution; the last takes all.
-ROUNDS, SHRINK = 6, 0.3
+ROUNDS, SHRINK = 5, 0.2
+#: Queries that are worth a task with an index of its own.
+LEAST = 32
 #: Rescoring starts when at most this many vectors (beside k) of a block may be members.
 FEW = 256
 
@@ -36,10 +38,13 @@ class Block:
         self.ids, self.x = ids[order], x[order]
         self.starts = np.flatnonzero(np.r_[True, self.ids[1:] != self.ids[:-1]])  # of each id's rows
         self.unique = len(self.starts) == len(ids)
-        self.level = np.floor_divide(self.x, LEVEL)
-        self.order = np.argsort(self.level, axis=0, kind="stable").T.copy()  # of each dimension, by rising level
-        self.sorted = np.take_along_axis(self.level, self.order.T, 0).T.copy()
-        self.low, self.high = self.level.min(0), self.level.max(0)
+        level = np.floor_divide(self.x, LEVEL).T
+        self.order = np.empty(level.shape, np.intp)  # of each dimension, by rising level
+        self.sorted = np.empty(level.shape, np.int64)
+        for d, line in enumerate(level):
+            self.order[d] = np.argsort(line, kind="stable")
+            self.sorted[d] = line[self.order[d]]
+        self.low, self.high = self.sorted[:, 0].copy(), self.sorted[:, -1].copy()
 
     def search(self, q: np.ndarray, own: int, k: int) -> tuple[np.ndarray, np.ndarray]:
         """ids and scores of the k best of all rows whose id is not own; repeated ids once."""
@@ -102,7 +107,10 @@ def quantised(embeddings: DataFrame) -> DataFrame:
 def top_k(vectors: DataFrame, queries: DataFrame, k: int = K, block: int = BLOCK, group: int = QUERIES) -> DataFrame:
     """vectors and queries (vec_id, x array<long>; inner products fit 64 bits): query_id, rank from 1, vec_id and score of each query's k best vectors of other ids."""
     ship(vectors.sparkSession)
-    blocks, groups = max(1, -(-vectors.count() // block)), max(1, -(-queries.count() // group))
+    n, m = vectors.count(), queries.count()
+    blocks = max(1, -(-n // block))
+    # Groups as large as a task may hold, but not so large that cores stand idle: a block is sent to every group.
+    groups = max(1, -(-m // group), min(-(-2 * vectors.sparkSession.sparkContext.defaultParallelism // blocks), m // LEAST))
     dealt = lambda df, n: F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(n)).cast("int")
     v = vectors.withColumn("b", dealt(vectors, blocks)).withColumn("g", F.explode(F.sequence(F.lit(0), F.lit(groups - 1))))
     q = queries.withColumn("g", dealt(queries, groups)).withColumn("b", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
