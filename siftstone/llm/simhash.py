@@ -205,7 +205,6 @@ def near_duplicates(docs: DataFrame, *keep: str) -> DataFrame:
     own = checkpoint(prints.groupBy("fp").agg(F.min("doc_id").alias("least")))
     stars = components(links(own)).select(F.col("node").alias("fp"), "root")
     rooted = own.join(stars, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
-    # A root without a link is its own component: only linked fingerprints need the second aggregation.
     named = rooted.join(rooted.groupBy("root").agg(F.min("least").alias("component_id")), "root").select("fp", "component_id")
     return prints.join(named, "fp")
 
