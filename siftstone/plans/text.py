@@ -20,11 +20,11 @@ def _lines(spark, sf_dir):
 
 def normalize(spark, sf_dir):
     d = _docs(spark, sf_dir)
-    return d.select("doc_id", F.md5(X.clean_text("text")).alias("clean_text"), F.md5(X.clean_block("text")).alias("clean_block"), F.length(X.newlines("text")).alias("length"))
+    return d.select("doc_id", F.md5(X.clean_text("text")).alias("clean_text"), F.md5(X.clean_block("text")).alias("clean_block"), F.length(X.newlines("text")).cast("long").alias("length"))
 
 
 def line_explode(spark, sf_dir):
-    return _lines(spark, sf_dir).groupBy("doc_id").agg(F.count("*").alias("n_lines"), F.max("line_no").alias("last_line"), F.sum(F.length("line")).alias("n_chars"))
+    return _lines(spark, sf_dir).groupBy("doc_id").agg(F.count("*").alias("n_lines"), F.max("line_no").cast("long").alias("last_line"), F.sum(F.length("line")).alias("n_chars"))
 
 
 def char_profile(spark, sf_dir):
