@@ -141,9 +141,10 @@ def ratio(a: Column, b: Column) -> Column:
 
 
 def prose_line(c) -> Column:
-    """At least 32 characters, 6 words, 10 small letters, half of what isn't white space letters."""
+    """At least 32 characters, 6 words, 10 small letters, half of what isn't white space letters. Words and small letters are read only as far as they suffice."""
     s = strip(c)
-    return (F.length(s) >= 32) & (count_of(s, WORD) >= 6) & (count_of(s, LOWER) >= 10) & (ratio(count_of(s, LETTER), count_of(s, r"\S")) >= 0.5)
+    six_words, ten_small = s.rlike(r"^(?:[^A-Za-z]*+[A-Za-z][A-Za-z'-]*+){6}"), s.rlike(r"^(?:\P{Ll}*+\p{Ll}){10}")
+    return (F.length(s) >= 32) & six_words & ten_small & (ratio(count_of(s, LETTER), count_of(s, r"\S")) >= 0.5)
 
 
 FIGURE = r"(?i)^\s*(?:FIG|FIGURE)\.?\s+[A-Z0-9]+(?:[-.][A-Z0-9]+)*\b"
