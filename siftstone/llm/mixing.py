@@ -106,7 +106,7 @@ def taken(rows: DataFrame, sources: DataFrame, ends: DataFrame, shards: int = SH
 
 
 def mix_digest(docs: DataFrame) -> DataFrame:
-    rows = slim(docs)
+    rows = checkpoint(slim(docs))  # texts are read once
     return taken(rows, *mix_plan(rows)).select("doc_id", "size", "source_size", "target", "taken")
 
 
