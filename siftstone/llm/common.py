@@ -2,15 +2,15 @@
 
 from __future__ import annotations
 
-import os
 from collections.abc import Callable, Iterator
-from pathlib import Path
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
+from .. import session
+
 #: Rows that Python holds as objects at once, and rows of an Arrow batch: texts are long, and Spark's 10,000 of them crowd a worker.
 SLICE, BATCH = 256, 2000
 
@@ -33,13 +33,11 @@ def checkpoint(df: DataFrame) -> DataFrame:
 
 
 def ship(spark: SparkSession) -> None:
-    """Let Python workers find this package where the driver found it; a cluster without shared code ships it by --py-files. Arrow batches are kept to BATCH rows unless the session says otherwise."""
+    """Let Python workers find the package, and keep Arrow batches to BATCH rows unless the session says otherwise."""
+    session.ship(spark)
     rows = "spark.sql.execution.arrow.maxRecordsPerBatch"
     if spark.conf.get(rows) == "10000":  # Spark's default
         spark.conf.set(rows, str(BATCH))
-    root, env = str(Path(__file__).resolve().parents[2]), spark.sparkContext.environment
-    if root not in env.get("PYTHONPATH", "").split(os.pathsep):
-        env["PYTHONPATH"] = os.pathsep.join(x for x in (root, env.get("PYTHONPATH", "")) if x)
 
 
 def schema_of(ddl: str) -> T.StructType:
