@@ -2,13 +2,20 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.vectors import cosine_distance, norm
+from ..session import ship
 
 #: Queries that are broadcast; more are dealt into groups of this many, each meeting the collection's rows by an equi-join.
 BROADCAST_QUERIES = 1_000
+#: From this many queries on, a batch of rows meets them as one matrix product instead of pair by pair.
+MATRIX_QUERIES = 64
 #: Parts that the collection is dealt into for that join.
 PARTS = 64
 
@@ -25,7 +32,10 @@ def search(collection: DataFrame, queries: DataFrame, k: int, where: Column | No
     c = rows.select(F.col(id_col).alias("id"), F.col(vector).alias("_v"), *keep).withColumn("_n", norm("_v")).where("_n > 0")
     q = queries.select(F.col(id_col).alias("query_id"), F.col(vector).alias("_q"), *(F.col(f).alias(f"_{f}") for f in keep)).withColumn("_m", norm("_q")).where("_m > 0")
     same = (F.col(facet) == F.col(f"_{facet}")) if facet else F.lit(True)
-    if queries.limit(BROADCAST_QUERIES + 1).count() <= BROADCAST_QUERIES:
+    few = queries.limit(BROADCAST_QUERIES + 1).count()
+    if MATRIX_QUERIES <= few <= BROADCAST_QUERIES:
+        return _top(by_matrix(c, q, k, facet), k)
+    if few <= BROADCAST_QUERIES:
         met = c.join(F.broadcast(q), same)
     else:
         groups = -(-queries.count() // BROADCAST_QUERIES)
@@ -33,11 +43,51 @@ def search(collection: DataFrame, queries: DataFrame, k: int, where: Column | No
         c = c.withColumn("_part", F.pmod(F.xxhash64("id"), F.lit(PARTS)).cast("int")).withColumn("_g", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(groups - 1).cast("long"))))
         met = c.join(q, (c["_g"] == q["_g"]) & (c["_part"] == q["_part"]) & same)
     scored = met.select("query_id", "id", *keep, *(f"_{f}" for f in keep), cosine_distance("_q", "_v", "_m", "_n").alias("distance"))
+    return _top(scored, k)
+
+
+def _top(scored: DataFrame, k: int) -> DataFrame:
     # Vectors of another length have no distance: they stand last and go after the top k, so that no filter computes distances twice.
     nearest = Window.partitionBy("query_id").orderBy(F.asc_nulls_last(F.round("distance", 9)), "id")
     return scored.withColumn("rank", F.row_number().over(nearest)).where(F.col("rank") <= k).where("distance is not null")
 
 
+def by_matrix(c: DataFrame, q: DataFrame, k: int, facet: str | None) -> DataFrame:
+    """c(id, _v, _n, facet) against at most BROADCAST_QUERIES rows of q(query_id, _q, _m, _facet): the k nearest of each Arrow batch for each query, ranked on distances rounded as the final ranking rounds them."""
+    ship(c.sparkSession)
+    rows = q.collect()  # bounded by BROADCAST_QUERIES
+    names = np.array([r["query_id"] for r in rows], object)
+    facets = np.array([r[f"_{facet}"] for r in rows], object) if facet else None
+    sizes = {len(r["_q"]) for r in rows}
+    groups = [(size, at := [i for i, r in enumerate(rows) if len(r["_q"]) == size], np.array([rows[i]["_q"] for i in at], float) / np.array([rows[i]["_m"] for i in at])[:, None]) for size in sizes]
+    kind = lambda df, n: df.schema[n].dataType.simpleString()
+    more = f", {facet} {kind(c, facet)}, _{facet} {kind(q, '_' + facet)}" if facet else ""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            lengths = b["_v"].map(len).to_numpy()
+            for size, at, unit in groups:
+                own = b[lengths == size].sort_values("id", kind="stable")
+                if own.empty:
+                    continue
+                v = np.stack(own["_v"].to_list()).astype(float) / own["_n"].to_numpy()[:, None]
+                d = 1 - unit @ v.T
+                order = np.round(d, 9)
+                if facet:
+                    order[facets[at][:, None] != own[facet].to_numpy(object)[None, :]] = np.inf
+                best = np.argsort(order, axis=1, kind="stable")[:, :k]
+                i = np.repeat(np.arange(len(at)), best.shape[1])
+                j = best.reshape(-1)
+                kept = np.isfinite(order[i, j])
+                i, j = i[kept], j[kept]
+                out = {"query_id": names[np.array(at)[i]], "id": own["id"].to_numpy()[j]}
+                if facet:
+                    out |= {facet: own[facet].to_numpy()[j], f"_{facet}": facets[np.array(at)[i]]}
+                yield pd.DataFrame(out | {"distance": d[i, j]})
+
+    return c.mapInPandas(run, f"query_id {kind(q, 'query_id')}, id {kind(c, 'id')}{more}, distance double")
+
+
 def precision(ranked: DataFrame, useful: str = "useful") -> DataFrame:
     """Context precision of each query: the mean of precision at the useful ranks; 0 without any."""
     run = Window.partitionBy("query_id").orderBy("rank").rowsBetween(Window.unboundedPreceding, 0)

@@ -71,6 +71,12 @@ def test_search_with_many_queries_is_the_same(spark, monkeypatch):
     few = found(), found(facet="label")
     monkeypatch.setattr(search, "BROADCAST_QUERIES", 7)
     assert (found(), found(facet="label")) == few and len(few[0]) == 120
+    monkeypatch.setattr(search, "BROADCAST_QUERIES", 1000)
+    monkeypatch.setattr(search, "MATRIX_QUERIES", 1)
+    assert (found(), found(facet="label")) == few
+    exact = {(r.query_id, r.id): r.distance for r in search.search(rows, rows.where("id < 30"), 4).collect()}
+    monkeypatch.setattr(search, "MATRIX_QUERIES", 64)
+    assert exact == pytest.approx({(r.query_id, r.id): r.distance for r in search.search(rows, rows.where("id < 30"), 4).collect()}, abs=1e-12)
     assert search.search(rows, rows.where("id = 1"), 500).count() == 60
     assert search.search(rows, rows.where("id = 1"), 5, where=F.col("label") == 2).where("id % 3 <> 2").count() == 0
     with pytest.raises(ValueError):
