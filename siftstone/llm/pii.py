@@ -110,6 +110,7 @@ def segments(text: str, tokens: list[Span]) -> list[tuple[int, int]]:
     """Candidate entities of a window as (first token, token after the last): they start and end on what an entity can start and end on, and hold enough digits or a spelled-out address. Tokens with a kind are fixed and in no candidate."""
     text_of = [text[a:b] for _, a, b in tokens]
     spelled = any(t.lower() == "dot" for t in text_of)
+    inner = ".-/()[]{}_@" if spelled else ".-/()"
     out = []
     for i, t in enumerate(text_of):
         if not (t[0].isascii() and (t[0].isdigit() or t[0] in "+(" or spelled and t[0].isalpha())):
@@ -120,7 +121,7 @@ def segments(text: str, tokens: list[Span]) -> list[tuple[int, int]]:
                 break
             u = text_of[j]
             digits += len(u) if u[0].isdigit() else 0
-            if digits > 19 or u[0] in "\n\r" or u[0].isalpha() and not spelled:
+            if digits > 19 or u[0] in "\n\r" or u[0].isalpha() and not spelled or not u[0].isalnum() and not u[0].isspace() and u[0] not in inner and j > i:
                 break
             if u[0].isascii() and (u[0].isdigit() and digits >= 7 or spelled and u[0].isalpha() and j - i >= 4):
                 out.append((i, j + 1))
