@@ -202,12 +202,12 @@ def links(distinct: DataFrame) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame, *keep: str) -> DataFrame:
-    """For each row of docs(doc_id, text): doc_id, keep columns, fp and component_id, the smallest doc_id that links reach."""
+    """For each row of docs(doc_id, text): doc_id, keep columns, fp, root, the fingerprint that stands for the component, and component_id, the smallest doc_id that links reach. Only root tells components apart: doc_ids may repeat or all be null."""
     prints = checkpoint(fingerprints(docs, *dict.fromkeys(("doc_id", *keep))))
     own = checkpoint(prints.groupBy("fp").agg(F.min("doc_id").alias("least")))
     stars = components(links(own)).select(F.col("node").alias("fp"), "root")
     rooted = own.join(stars, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
-    named = rooted.join(rooted.groupBy("root").agg(F.min("least").alias("component_id")), "root").select("fp", "component_id")
+    named = rooted.join(rooted.groupBy("root").agg(F.min("least").alias("component_id")), "root").select("fp", "root", "component_id")
     return prints.join(named, "fp")
 
 
@@ -220,5 +220,5 @@ def keep_one(docs: DataFrame) -> DataFrame:
     uid = "_simhash_row"
     numbered = docs.withColumn(uid, F.monotonically_increasing_id())
     found = near_duplicates(numbered, uid)
-    first = found.groupBy("component_id").agg(F.min_by(uid, F.struct(F.col("doc_id").isNull(), "doc_id", uid)).alias(uid))
+    first = found.groupBy("root").agg(F.min_by(uid, F.struct(F.col("doc_id").isNull(), "doc_id", uid)).alias(uid))
     return numbered.join(first.select(uid), uid, "left_semi").select(*docs.columns)

@@ -452,6 +452,13 @@ def test_near_duplicates(spark):
     assert simhash.near_duplicate_digest(empty).count() == 0 and simhash.keep_one(empty).count() == 0
 
 
+def test_components_of_null_or_repeated_ids_stay_apart(spark):
+    rng = random.Random(11)
+    rows = [(i, words(rng, 200, 5000), "a") for i in (None, None, None, 7, 7)]
+    kept = simhash.keep_one(docs_of(spark, [*rows, rows[0], (9, rows[3][1], "b")]))
+    assert sorted(r.text for r in kept.collect()) == sorted(t for _, t, _ in rows)
+
+
 # --- 10 ---
 
 
