@@ -62,7 +62,7 @@ def base_spans(text: str) -> list[Span]:
     for chain in CHAIN.finditer(text):
         lo, hi = chain.span()
         lo -= lo > 0 and text[lo - 1] == "+"
-        found += ((1, *m.span()) for m in IP.finditer(text, lo, hi) if all(int(x) <= 255 for x in m[0].split(".") if len(x) < 9) and max(map(len, m[0].split("."))) < 9) if hi - lo > 6 else ()
+        found += ((1, *m.span()) for m in IP.finditer(text, lo, hi) if all(int(x.lstrip("0")[:4] or "0") <= 255 for x in m[0].split("."))) if hi - lo > 6 else ()
         found += ((2, *m.span()) for m in CARD.finditer(text, lo, hi) if 13 <= len(d := re.sub("[ -]", "", m[0])) <= 19 and luhn(d)) if hi - lo > 12 else ()
         found += ((3, *m.span()) for m in PHONE.finditer(text, lo, hi) if 9 <= sum(c.isdigit() for c in m[0]) <= 15) if text[lo] == "+" else ()
     return sorted(found)

@@ -54,6 +54,12 @@ def test_base_pii_is_the_patterns_own():
         assert pii.base_spans(t) == base_pii(t), t
 
 
+@pytest.mark.parametrize("t", ["000000001.2.3.4", "1.2.3.0000000000255", "0000000256.1.1.1", "1.2.3.12345678901", "0" * 5000 + ".1.1.1", "1.1.1." + "9" * 5000])
+def test_long_parts_of_an_ip_are_tested_by_value(t):
+    want = all(int(x[-4000:]) <= 255 for x in t.split("."))
+    assert [s for s in pii.base_spans(f"at {t} now") if s[0] == 1] == [(1, 3, 3 + len(t))] * want
+
+
 def test_field_adds_spans_and_keeps_base_ones():
     w = pii.weights()
     for t, kind, span in [("call me (743) 555-3824 now", "phone", "(743) 555-3824"), ("card 4111.1111.1111.1111 x", "card", "4111.1111.1111.1111"), ("mail bob at example dot com ok", "email", "bob at example dot com")]:
