@@ -8,7 +8,7 @@ member. Reading stops only when that proves that few enough are left (or nothing
 exactly. A block's k best of a query are merged by a pre-aggregated, bounded top-k.
 
 Queries are dealt into groups of about QUERIES; a task holds one block and one group, whatever the table's size.
-Vectors that are null, hold null or non-finite components or differ in length from a query take no part against it. Rows that repeat a vec_id count once, at their best score; a null vec_id takes no part. Rows come from a scan or a checkpoint: their dealing into blocks must not change if a task is run again.
+Vectors that are null, hold null or non-finite components or differ in length from a query take no part against it. Rows that repeat a vec_id count once, at their best score; a null vec_id takes no part. Vectors come from a scan or a checkpoint: their dealing into blocks must not change if a task is run again. Queries are dealt by their values and may come from a shuffle.
 Ties go to the smaller vec_id; with fewer than k candidates all are returned; an empty table gives an empty table.
 """
 
@@ -16,7 +16,7 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import ship
@@ -104,6 +104,15 @@ def quantised(embeddings: DataFrame) -> DataFrame:
     return embeddings.where(F.col("vec_id").isNotNull() & F.col("embedding").isNotNull()).where(whole).select("vec_id", x.alias("x"))
 
 
+def dealt(*by: str | Column, n: int) -> Column:
+    return F.pmod(F.xxhash64(*by), F.lit(n)).cast("int")
+
+
+def query_group(groups: int) -> Column:
+    """By a query's own values, whatever the order of rows: a shuffle's isn't the same if a task is run again."""
+    return dealt("vec_id", "x", n=groups)
+
+
 def top_k(vectors: DataFrame, queries: DataFrame, k: int = K, block: int = BLOCK, group: int = QUERIES) -> DataFrame:
     """vectors and queries (vec_id, x array<long>; inner products fit 64 bits): query_id, rank from 1, vec_id and score of each query's k best vectors of other ids."""
     ship(vectors.sparkSession)
@@ -111,9 +120,8 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = K, block: int = BLOCK
     blocks = max(1, -(-n // block))
     # Groups as large as a task may hold, but not so large that cores stand idle: a block is sent to every group.
     groups = max(1, -(-m // group), min(-(-2 * vectors.sparkSession.sparkContext.defaultParallelism // blocks), m // LEAST))
-    dealt = lambda df, n: F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(n)).cast("int")
-    v = vectors.withColumn("b", dealt(vectors, blocks)).withColumn("g", F.explode(F.sequence(F.lit(0), F.lit(groups - 1))))
-    q = queries.withColumn("g", dealt(queries, groups)).withColumn("b", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
+    v = vectors.withColumn("b", dealt(F.monotonically_increasing_id(), n=blocks)).withColumn("g", F.explode(F.sequence(F.lit(0), F.lit(groups - 1))))
+    q = queries.withColumn("g", query_group(groups)).withColumn("b", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
 
     def search(vs: pd.DataFrame, qs: pd.DataFrame) -> pd.DataFrame:
         out = [(np.zeros(0, np.int64),) * 3]

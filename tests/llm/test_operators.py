@@ -138,6 +138,13 @@ def test_top_k_over_blocks_and_groups(spark):
     assert topk.vector_top_k(table.limit(0)).count() == 0
 
 
+def test_query_groups_do_not_depend_on_the_order_of_rows(spark):
+    rows = [(i // 2, [i, 2 * i, -i]) for i in range(200)]
+    group = lambda rows: {(r.vec_id, *r.x): r.g for r in spark.createDataFrame(rows, "vec_id long, x array<long>").withColumn("g", topk.query_group(8)).collect()}
+    assert group(rows) == group(rows[::-1])
+    assert set(group(rows).values()) == set(range(8))
+
+
 # --- 3 ---
 
 
