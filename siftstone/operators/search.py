@@ -22,15 +22,17 @@ PARTS = 64
 
 def search(collection: DataFrame, queries: DataFrame, k: int, where: Column | None = None, facet: str | None = None, id_col: str = "id", vector: str = "embedding") -> DataFrame:
     """(query_id, rank from 1, id, distance, facet): the k nearest rows of each query, ties to the smaller id; k above the number of rows gives all. where filters the
-    collection first; facet names a column that must be equal in query and row. Rows whose vector is null or zero are not found.
+    collection first; facet names a column that must be equal in query and row. Rows whose vector is null or zero, or whose norm isn't finite, are not found, and a null facet equals none.
 
     The window's top k is pre-aggregated in each task (WindowGroupLimit), so only k rows a query and task are shuffled."""
     if k < 1:
         raise ValueError("k must be positive")
     rows = collection if where is None else collection.where(where)
     keep = [facet] if facet else []
-    c = rows.select(F.col(id_col).alias("id"), F.col(vector).alias("_v"), *keep).withColumn("_n", norm("_v")).where("_n > 0")
-    q = queries.select(F.col(id_col).alias("query_id"), F.col(vector).alias("_q"), *(F.col(f).alias(f"_{f}") for f in keep)).withColumn("_m", norm("_q")).where("_m > 0")
+    c = rows.select(F.col(id_col).alias("id"), F.col(vector).alias("_v"), *keep).withColumn("_n", norm("_v")).where("_n > 0 AND _n < double('infinity')")
+    q = queries.select(F.col(id_col).alias("query_id"), F.col(vector).alias("_q"), *(F.col(f).alias(f"_{f}") for f in keep)).withColumn("_m", norm("_q")).where("_m > 0 AND _m < double('infinity')")
+    if facet:
+        c, q = c.where(F.col(facet).isNotNull()), q.where(F.col(f"_{facet}").isNotNull())
     same = (F.col(facet) == F.col(f"_{facet}")) if facet else F.lit(True)
     few = queries.limit(BROADCAST_QUERIES + 1).count()
     if MATRIX_QUERIES <= few <= BROADCAST_QUERIES:

@@ -83,6 +83,18 @@ def test_search_with_many_queries_is_the_same(spark, monkeypatch):
         search.search(rows, rows, 0)
 
 
+@pytest.mark.parametrize(("broadcast", "matrix"), [(1000, 64), (3, 64), (1000, 1)])
+def test_search_without_null_facets_and_non_finite_vectors(spark, monkeypatch, broadcast, matrix):
+    nan, inf = float("nan"), float("inf")
+    rows = [(i, [1.0, float(i)], "ab"[i % 2] if i % 3 else None) for i in range(12)] + [(20, [nan, 1.0], "a"), (21, [1.0, inf], "b"), (22, [1.0, nan], None), (23, [-inf, 1.0], "a")]
+    table = spark.createDataFrame(rows, "id int, embedding array<double>, label string")
+    monkeypatch.setattr(search, "BROADCAST_QUERIES", broadcast)
+    monkeypatch.setattr(search, "MATRIX_QUERIES", matrix)
+    found = lambda facet: sorted((r.query_id, r.id) for r in search.search(table, table, 100, facet=facet).collect())
+    assert found(None) == [(i, j) for i in range(12) for j in range(12)]
+    assert found("label") == [(i, j) for i in range(12) for j in range(12) if i % 3 and j % 3 and i % 2 == j % 2]
+
+
 def test_worked_scores(spark):
     ranked = spark.createDataFrame([("q", 1, True), ("q", 2, False), ("q", 3, True), ("z", 1, False)], "query_id string, rank int, useful boolean")
     got = {r.query_id: r.context_precision for r in search.precision(ranked).collect()}
