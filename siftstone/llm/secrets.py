@@ -1,30 +1,44 @@
 """Secrets: pattern matches that always stay, and values in a credential's place that are dear to guess.
 
-The guess cost of a value is the least sum, over all ways to cut it into known words, dates, repeats, keyboard walks and
+The guess cost of a value is the least sum, over all ways to cut it into known words, syllables, dates, repeats, keyboard walks and
 brute-force spans, of the parts' log10 guesses plus a charge for each cut: a dynamic program in the value's length. A value
-behind a credential word is a secret if that cost reaches MIN_COST and it mixes kinds of characters, as prose doesn't.
+behind a credential word and a sign is a secret if that cost reaches MIN_COST; one behind "is", where prose stands too, if it reaches
+MIN_COST_PROSE. Nothing but the cost decides.
 
-Null texts count as empty and give no span; repeated rows each give their own result; texts and values are never cut.
+Known words are COMMON and, behind them, the words of a public tokenizer's vocabulary in the order of its ranks (a file that the
+driver reads, by a parameter); without the file, COMMON alone.
+
+Null texts count as empty and give no span; texts and values are never cut, however long; of cuts that cost the same the kind first
+in the alphabet, then the longest last part, counts, and the cost is the same; repeated rows each give their own result; an
+empty table gives an empty table; columns beside doc_id and text are not read.
 """
 
 from __future__ import annotations
 
+import base64
 import math
+import os
 import re
+from collections.abc import Iterable
+from itertools import islice, takewhile
 
 from pyspark.sql import DataFrame
 
 from .common import map_rows
 
 KINDS = ("assign", "access", "hex", "guess")
-MIN_COST = 9.0
+MIN_COST, MIN_COST_PROSE = 9.0, 12.0
+#: A public tokenizer's vocabulary, as ranks.
+VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
+#: The longest words, and the longest blocks that stand twice. Walks and repeats are up to this long, or whole runs.
+LONGEST, MAX_PART = 16, 64
 
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]{24,}")
 #: What may stand before a value: a credential's word, then a sign or "is".
 CONTEXT = re.compile(
-    r"""(?<![A-Za-z])(?:pass(?:word|wd|phrase|code)|pwd|secret|token|bearer|credentials?|login|(?:api|access|private|auth|secret)[_ -]?key|client[_ -]?secret)["']?(?:\x20*(?:=>|:=|->|[:=])\x20*|\x20+is:?\x20+)["'`]?([^\s"'`<>,;]{6,})""",
+    r"""(?<![A-Za-z])(?:pass(?:word|wd|phrase|code)|pwd|secret|token|bearer|credentials?|login|(?:api|access|private|auth|secret)[_ -]?key|client[_ -]?secret)["']?(?:\x20*(?:=>|:=|->|[:=])\x20*|(?P<prose>\x20+is:?\x20+))["'`]?(?P<value>[^\s"'`<>,;]{6,})""",
     re.I | re.A,
 )
 CUES = (b"passw", b"passp", b"passc", b"pwd", b"secret", b"token", b"bearer", b"credential", b"login", b"key")
@@ -40,28 +54,54 @@ sun sky fire water earth wind money cash bank card house apple banana cherry cof
 # Rows of keys.
 KEYS = ("qwertyuiop", "asdfghjkl", "zxcvbnm", "1234567890", "qazwsxedcrfvtgbyhnujmikolp", "abcdefghijklmnopqrstuvwxyz")
 
-RANK = {w: math.log10(i + 2) for i, w in enumerate(COMMON)}
-LONGEST = max(map(len, RANK))
 PLAIN = str.maketrans("@4031!5$7", "aaoeliss" + "t")
 WALKS = {(a, b) for row in KEYS for s in (row, row[::-1]) for a, b in zip(s, s[1:], strict=False)}
 DATES = re.compile(r"(?:19|20)\d\d(?:[./-]?(?:0[1-9]|1[0-2])(?:[./-]?(?:0[1-9]|[12]\d|3[01]))?)?|(?:0[1-9]|[12]\d|3[01])[./-]?(?:0[1-9]|1[0-2])[./-]?(?:(?:19|20)\d\d|\d\d)")
 CLASSES = ((str.isdigit, 10), (str.islower, 26), (str.isupper, 26))
-#: log10 guesses for the place of a cut.
-CUT = 0.3
+#: log10 guesses for the place of a cut; for capitals in a word, for signs in place of its letters; of a date; of the length of a block that stands twice.
+CUT, CAPITALS, SIGNS, DATE, TWICE = 0.3, 0.3, 0.6, 4.6, 0.6
+#: log10 guesses of a vowel and of another letter of syllables; at most this many other letters in a row.
+VOWEL, OTHER, CLUSTER = math.log10(5), math.log10(21), 3
+VOWELS = frozenset("aeiou")
+
+Ranks = dict[str, float]
+
+
+def ranked(words: Iterable[str]) -> Ranks:
+    """log10 guesses of each word, most common first."""
+    out: Ranks = {}
+    for w in words:
+        if 3 <= len(w) <= LONGEST and w not in out:
+            out[w] = math.log10(len(out) + 2)
+    return out
+
+
+def dictionary(path: str | None = VOCABULARY) -> Ranks:
+    """COMMON, then the vocabulary's words (tokens of a space and letters) by rank. Without a file at path: COMMON. Some 30,000 short words: they travel with the task."""
+    told: list[str] = []
+    if path and os.path.exists(path):
+        with open(path, "rb") as f:
+            tokens = (base64.b64decode(line.split()[0]) for line in f if line.strip())
+            told = [t[1:].decode().lower() for t in tokens if t[:1] == b" " and t[1:].isalpha() and t.isascii()]
+    return ranked([*COMMON, *told])
+
+
+RANK = ranked(COMMON)
 
 
 def brute(c: str) -> float:
     return math.log10(next((n for test, n in CLASSES if c.isascii() and test(c)), 33 if c.isascii() else 1000))
 
 
-def parts(value: str) -> tuple[float, list[tuple[str, int, int]]]:
-    """The least log10 guesses, and the parts that reach them as (kind, start, end). Linear in the value for words and dates of bounded length; walks and repeats are extended greedily."""
+def parts(value: str, rank: Ranks = RANK) -> tuple[float, list[tuple[str, int, int]]]:
+    """The least log10 guesses, and the parts that reach them as (kind, start, end). Linear in the value: every kind of part has a bounded length, is told from its run's start, or (brute force, syllables) is a running minimum."""
     n, low = len(value), value.lower()
     low = low if len(low) == n else value
     plain = low.translate(PLAIN)
-    bulk = [0.0]
+    bulk, said = [0.0], [0.0]  # running sums: as brute force, as syllables
     for c in value:
         bulk.append(bulk[-1] + brute(c))
+        said.append(said[-1] + (VOWEL if c in VOWELS else OTHER))
     walk, same = [1] * n, [1] * n  # how long the walk, or the run of one character, is that ends here
     for i in range(1, n):
         walk[i] = walk[i - 1] + 1 if (low[i - 1], low[i]) in WALKS else 1
@@ -72,23 +112,32 @@ def parts(value: str) -> tuple[float, list[tuple[str, int, int]]]:
             dates.setdefault(m.end(), []).append(i)
     best: list[float] = [0.0]
     how: list[tuple[str, int]] = [("", 0)]
-    least = (0.0, 0)  # of best[j] - bulk[j]: the best start of a brute-force span
+    least = (0.0, 0)  # of best[i] - bulk[i]: the best start of a brute-force span
+    # Of best[i] - said[i]: the best start of syllables that end here, and by how many other letters in a row stand at the end, so that no more than CLUSTER do.
+    spoken: list[tuple[float, int] | None] = [None] * (CLUSTER + 1)
     for j in range(1, n + 1):
         options = [(bulk[j] + least[0] + CUT, "brute", least[1])]
         for size in range(3, min(j, LONGEST) + 1):
             i = j - size
-            if (r := RANK.get(low[i:j])) is not None:
-                options.append((best[i] + r + CUT + 0.3 * (value[i:j] != low[i:j]), "word", i))
-            elif (r := RANK.get(plain[i:j])) is not None:
-                options.append((best[i] + r + CUT + 0.6, "word", i))
-        options += ((best[i] + 4.6 + CUT, "date", i) for i in dates.get(j, ()))
-        if (k := walk[j - 1]) >= 3:
-            options += ((best[j - size] + 1.5 + math.log10(size) + CUT, "walk", j - size) for size in {3, k})
-        if (k := same[j - 1]) >= 3:
-            options += ((best[j - size] + brute(value[j - 1]) + math.log10(size) + CUT, "repeat", j - size) for size in {3, k})
-        for size in (2, 3, 4, 6, 8):  # a block that stands twice: the first is paid, the second is told by its length
-            if j >= 2 * size and value[j - size : j] == value[j - 2 * size : j - size]:
-                options.append((best[j - size] + 0.6, "repeat", j - size))
+            if (r := rank.get(low[i:j])) is not None:
+                options.append((best[i] + r + CUT + CAPITALS * (value[i:j] != low[i:j]), "word", i))
+            elif (r := rank.get(plain[i:j])) is not None:
+                options.append((best[i] + r + CUT + SIGNS, "word", i))
+        options += ((best[i] + DATE + CUT, "date", i) for i in dates.get(j, ()))
+        for kind, run, start in (("walk", walk[j - 1], 1.5), ("repeat", same[j - 1], brute(value[j - 1]))):
+            sizes = range(3, min(run, MAX_PART) + 1) if run <= MAX_PART else (*range(3, MAX_PART + 1), run)
+            options += ((best[j - size] + start + math.log10(size) + CUT, kind, j - size) for size in sizes)
+        for size in range(2, min(j // 2, MAX_PART) + 1):  # a block that stands twice: the first is paid, the second is told by its length
+            if value[j - 1] == value[j - 1 - size] and value[j - size : j] == value[j - 2 * size : j - size]:
+                options.append((best[j - size] + TWICE, "repeat", j - size))
+        c, fresh = value[j - 1], (best[j - 1] - said[j - 1], j - 1)
+        if not ("a" <= c <= "z"):
+            spoken = [None] * (CLUSTER + 1)
+        elif c in VOWELS:
+            spoken = [min(x for x in (*spoken, fresh) if x is not None), *[None] * CLUSTER]
+        else:
+            spoken = [None, min(x for x in (spoken[0], fresh) if x is not None), *spoken[1:-1]]
+        options += ((said[j] + x[0] + CUT, "syllables", x[1]) for x in spoken if x is not None)
         cost, kind, i = min(options)
         best.append(cost)
         how.append((kind, i))
@@ -101,18 +150,11 @@ def parts(value: str) -> tuple[float, list[tuple[str, int, int]]]:
     return best[n], out[::-1]
 
 
-def guess_cost(value: str) -> float:
-    return parts(value)[0]
-
-
-def mixed(value: str) -> bool:
-    """Letters with digits, or signs inside, or capitals inside: not a word of prose with its full stop."""
-    core = value.strip(".!?)([]{}:*#$%&")
-    kinds = (any(c.isdigit() for c in core), any(c.isalpha() for c in core), any(not c.isalnum() and c not in "-.'’" for c in core), any(c.isupper() for c in core[1:]) and any(c.islower() for c in core))
-    return sum(kinds) >= 2
+def guess_cost(value: str, rank: Ranks = RANK) -> float:
+    return parts(value, rank)[0]
 
 
-def find_secrets(text: str | None, least: float = MIN_COST) -> tuple[list[tuple[int, int, int]], list[tuple[int, int, int]], float | None]:
+def find_secrets(text: str | None, least: float = MIN_COST, rank: Ranks = RANK, prose: float = MIN_COST_PROSE) -> tuple[list[tuple[int, int, int]], list[tuple[int, int, int]], float | None]:
     """Base spans and all spans as (kind's index, start, end), by start, then kind; and the least cost of the values found."""
     if not text:
         return [], [], None
@@ -125,31 +167,32 @@ def find_secrets(text: str | None, least: float = MIN_COST) -> tuple[list[tuple[
     if any(c in low for c in CUES):
         assigned = [m for m in ASSIGN.finditer(text) if len(m[2]) >= 6]
         base += ((0, *m.span()) for m in assigned)
-        costs += (guess_cost(m[2]) for m in assigned)
+        costs += (guess_cost(m[2], rank) for m in assigned)
         spans = sorted((a, b) for _, a, b in base)
         at = 0
         for m in CONTEXT.finditer(text):
-            a, b = m.span(1)
-            b -= len(m[1]) - len(m[1].rstrip(".!?)]}"))
+            a, b = m.span("value")
+            b -= len(m["value"]) - len(m["value"].rstrip(".!?)]}"))
             while at < len(spans) and spans[at][1] <= m.start():
                 at += 1
-            if b - a < 6 or any(x < b and y > a for x, y in spans[at : at + 8]):
+            if b - a < 6 or any(y > a for x, y in takewhile(lambda s: s[0] < b, islice(spans, at, None))):
                 continue
-            if mixed(text[a:b]) and (cost := guess_cost(text[a:b])) >= least:
+            if (cost := guess_cost(text[a:b], rank)) >= (prose if m["prose"] else least):
                 added.append((3, a, b))
                 costs.append(cost)
     order = lambda s: (s[1], s[0], s[2])
     return sorted(base, key=order), sorted(base + added, key=order), min(costs, default=None)
 
 
-def secret_spans(docs: DataFrame, least: float = MIN_COST) -> DataFrame:
+def secret_spans(docs: DataFrame, least: float = MIN_COST, rank: Ranks | None = None) -> DataFrame:
     """One row for each row of docs(doc_id, text): base_spans and spans as arrays of (kind, start, end) in code points, and least_cost, the log10 guesses of the value that is easiest to guess (null without values). Other columns are not read."""
+    rank = dictionary() if rank is None else rank
     named = lambda spans: [{"kind": KINDS[k], "start": a, "end": b} for k, a, b in spans]
     span = "array<struct<kind:string,start:int,end:int>>"
 
     def start():
         def one(doc_id, text):
-            base, spans, cost = find_secrets(text, least)
+            base, spans, cost = find_secrets(text, least, rank)
             return doc_id, named(base), named(spans), cost
 
         return one
@@ -163,4 +206,4 @@ def secret_digest(docs: DataFrame) -> DataFrame:
     joined = lambda c: F.array_join(F.transform(c, lambda s: F.concat_ws(":", s.kind, s.start.cast("string"), s.end.cast("string"))), ",")
     of = lambda k: lambda s: s.kind == k
     counts = [F.size(F.filter("base_spans", of(k))).cast("long").alias(f"n_{k}") for k in KINDS[:3]]
-    return secret_spans(docs).select("doc_id", *counts, F.sha2(joined(F.col("base_spans")), 256).alias("base_sha256"), joined(F.col("spans")).alias("spans"), F.round("least_cost", 6).alias("least_cost"))
+    return secret_spans(docs).select("doc_id", *counts, F.sha2(joined(F.col("base_spans")), 256).alias("base_sha256"), joined(F.col("spans")).alias("spans"), F.round("least_cost", 6).alias("least_cost"), F.size("spans").cast("long").alias("n_spans"))
