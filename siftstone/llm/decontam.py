@@ -4,21 +4,27 @@ A text is normalised by lower-casing A-Z and taking every run of a-z, 0-9 and no
 one space. A window is SIZE consecutive words of an item (a shorter item is one window). Every word inside a window's occurrence
 is hit; word numbers map back to the original text's offsets.
 
-Null or wordless texts have no words and no hits, null or wordless items no windows; item ids that repeat count once; with an
-empty benchmark nothing is hit. Each row of docs gives one row, repeated rows too. Items travel to the workers in slices of at
-most SLICE_CHARS characters: one slice, so one automaton, unless the benchmark is larger; then each slice reads the texts.
+Null or wordless texts have no words and no hits, null or wordless items no windows; item ids that repeat count once, and a null item id
+hits without being counted; texts are scanned as a whole, however long; the result doesn't depend on the order of items; each row of docs
+gives one row, repeated rows too; an empty table gives an empty table, and with an empty benchmark nothing is hit.
+
+An automaton takes some 0.4 KB for a character of the items, so a worker holds one of at most SLICE_CHARS characters at a time. One is
+enough for all usual test sets. Beyond, a task gathers texts of HELD_CHARS characters and runs them through one slice's automaton
+after the other, each built once for so many texts; results are the same. Items are broadcast, at most MAX_CHARS characters, which is checked.
 """
 
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterable, Iterator
 from functools import lru_cache
+from typing import Any
 
 import ahocorasick
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+from pyspark.core.broadcast import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
@@ -26,11 +32,12 @@ from pyspark.sql.pandas.types import to_arrow_schema
 from .common import schema_of, ship
 
 SIZE = 10
-SLICE_CHARS = 8_000_000
-#: Texts that a task holds at once.
-ROWS = 1024
+SLICE_CHARS, MAX_CHARS = 1_000_000, 250_000_000
+#: Texts that a task holds at once with one automaton; characters of texts that it holds with several.
+ROWS, HELD_CHARS = 1024, 100_000_000
 #: Bytes that are no part of a word become a space, A-Z become a-z.
 NORMAL = bytes(b + 32 if 65 <= b <= 90 else b if b >= 128 or 48 <= b <= 57 or 97 <= b <= 122 else 32 for b in range(256))
+Item = tuple[object, str]
 WORD = re.compile(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+")
 
 
@@ -39,7 +46,7 @@ def words_of(text: str | None) -> list[bytes]:
 
 
 @lru_cache(1)
-def automaton(items: tuple[tuple[object, str], ...], size: int):
+def automaton(items: tuple[Item, ...], size: int):
     """Over " w1 ... wk " of every window; bytes stand as the characters of the same numbers. A window's value: its words, its items."""
     owners: dict[str, set] = {}
     lengths: dict[str, int] = {}
@@ -98,17 +105,53 @@ def offsets(text: str, runs: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return [(at[a][0], at[b - 1][1]) for a, b in runs]
 
 
-def slices(benchmark: DataFrame, chars: int) -> list[tuple[tuple[object, str], ...]]:
-    """The items, each once for a text, in slices of a bounded size."""
-    rows = benchmark.select("item_id", "text").where("text is not null").distinct().orderBy("item_id", "text")
-    out, held, size = [], [], 0
-    for item, text in rows.toLocalIterator():
-        held.append((item, text))
+def slices(benchmark: DataFrame, chars: int) -> list[Broadcast]:
+    """The items, each once for a text, in broadcast slices of a bounded size."""
+    rows = benchmark.select("item_id", "text").where("text is not null").distinct()
+    if (total := rows.agg(F.sum(F.length("text"))).first()[0] or 0) > MAX_CHARS:
+        raise ValueError(f"the benchmark has {total} characters, above {MAX_CHARS}: give its parts one by one")
+    out: list[list[Item]] = [[]]
+    size = 0
+    for item, text in rows.orderBy("item_id", "text").toLocalIterator():
+        if size + len(text) > chars and out[-1]:
+            out.append([])
+            size = 0
+        out[-1].append((item, text))
         size += len(text)
-        if size >= chars:
-            out.append(tuple(held))
-            held, size = [], 0
-    return [*out, tuple(held)] if held or not out else out
+    return [benchmark.sparkSession.sparkContext.broadcast(tuple(x)) for x in out]
+
+
+def gathered(batches: Iterable[Any], texts: Callable[[Any], list[str | None]], parts: list[Broadcast], size: int, look: Callable, join: Callable) -> Iterator[tuple[Any, list]]:
+    """Each batch with look(text, automaton) of its texts, joined over the slices. With one slice a batch goes through by itself; with several, batches of HELD_CHARS characters wait for each automaton in turn."""
+    if len(parts) == 1:
+        machine = automaton(parts[0].value, size)
+        for batch in batches:
+            yield batch, [look(t, machine) for t in texts(batch)]
+        return
+    held: list[Any] = []
+    n = 0
+
+    def done():
+        found: list[list] = [[] for _ in held]
+        for part in parts:
+            machine = automaton(part.value, size)
+            for k, batch in enumerate(held):
+                now = [look(t, machine) for t in texts(batch)]
+                found[k] = list(map(join, found[k], now)) if found[k] else now
+        return zip(held, found, strict=True)
+
+    for batch in batches:
+        held.append(batch)
+        n += sum(len(t) for t in texts(batch) if t)
+        if n >= HELD_CHARS:
+            yield from done()
+            held, n = [], 0
+    yield from done()
+
+
+def both(a: tuple[int, list, set], b: tuple[int, list, set]) -> tuple[int, list, set]:
+    """scan() over two slices."""
+    return a[0], merged(a[1] + b[1]), a[2] | b[2]
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame, size: int = SIZE, chars: int = SLICE_CHARS) -> DataFrame:
@@ -118,29 +161,18 @@ def contamination(docs: DataFrame, benchmark: DataFrame, size: int = SIZE, chars
     schema = to_arrow_schema(schema_of(ddl))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in (b.slice(i, ROWS) for b in batches for i in range(0, b.num_rows, ROWS)):
-            texts = batch.column("text").to_pylist()
+        few = (b.slice(i, ROWS) for b in batches for i in range(0, b.num_rows, ROWS))
+        for batch, found in gathered(few, lambda b: b.column("text").to_pylist(), parts, size, scan, both):
             out = []
-            for doc_id, text, (n, runs, found) in zip(batch.column("doc_id").to_pylist(), texts, scan_all(texts, parts, size), strict=True):
+            for doc_id, text, (n, runs, items) in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist(), found, strict=True):
                 spans = [{"start": a, "end": b} for a, b in offsets(text or "", runs)]
-                out.append((doc_id, n, spans, sum(b - a for a, b in runs), sorted(str(x) for x in found if x is not None)))
+                out.append((doc_id, n, spans, sum(b - a for a, b in runs), sorted(str(x) for x in items if x is not None)))
             yield pa.RecordBatch.from_arrays([pa.array(c, x.type) for c, x in zip(zip(*out, strict=True), schema, strict=True)], schema=schema)
 
     ship(docs.sparkSession)
     return docs.select("doc_id", "text").mapInArrow(run, ddl)
 
 
-def scan_all(texts: list[str | None], parts: list[tuple[tuple[object, str], ...]], size: int) -> list[tuple[int, list[tuple[int, int]], set]]:
-    """scan() of each text over all slices; one automaton is held at a time."""
-    found: list[tuple[int, list[tuple[int, int]], set]] = [(0, [], set())] * len(texts)
-    for k, part in enumerate(parts):
-        machine = automaton(part, size)
-        for i, text in enumerate(texts):
-            n, runs, items = scan(text, machine)
-            found[i] = (n, merged(found[i][1] + runs) if k else runs, found[i][2] | items)
-    return found
-
-
 def contamination_digest(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     return contamination(docs, benchmark).select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"))
 
@@ -157,12 +189,9 @@ def flagged(docs: DataFrame, benchmark: DataFrame, size: int, chars: int):
     parts = slices(benchmark, chars)
 
     @F.pandas_udf("boolean")
-    def held(text: pd.Series) -> pd.Series:
-        out = np.zeros(len(text), bool)
-        for part in parts:
-            machine = automaton(part, size)
-            out |= [hits(t, machine) for t in text]
-        return pd.Series(out)
+    def held(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for _, found in gathered(texts, list, parts, size, hits, bool.__or__):
+            yield pd.Series(found, dtype=bool)
 
     return held(F.col("text"))
 
@@ -180,7 +209,7 @@ d AS (SELECT row_number() OVER () AS r, doc_id, coalesce({_WORDS}, []) AS w FROM
 p AS (SELECT r, k, i, array_to_string(w[i : i + k - 1], ' ') AS x FROM (SELECT r, w, k, unnest(range(1, len(w) - k + 2)) AS i FROM d CROSS JOIN (SELECT DISTINCT k FROM win) WHERE len(w) >= k)),
 hit AS (SELECT r, i, p.k, item_id FROM p JOIN win ON p.x = win.x AND p.k = win.k),
 n AS (SELECT r, count(DISTINCT place) AS n_hit FROM (SELECT r, unnest(range(i, i + k)) AS place FROM hit) GROUP BY r),
-t AS (SELECT r, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS items FROM (SELECT DISTINCT r, CAST(item_id AS VARCHAR) AS item FROM hit) GROUP BY r)
+t AS (SELECT r, count(item) AS n_items, string_agg(item, ',' ORDER BY item) AS items FROM (SELECT DISTINCT r, CAST(item_id AS VARCHAR) AS item FROM hit) GROUP BY r)
 SELECT doc_id, len(w) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
 FROM d LEFT JOIN n USING (r) LEFT JOIN t USING (r)
 """
