@@ -1,9 +1,11 @@
 """The corpus operators against brute force, on small tables with nulls, empty and long texts, ties and repeats."""
 
 import hashlib
+import math
 import random
 import re
 import zlib
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -426,7 +428,8 @@ def test_mix(spark):
     assert len(got) == len(rows) and (got["taken"] <= 2 * got["size"]).all()
     by = got.groupby("source_size").agg(target=("target", "first"), taken=("taken", "sum"))
     assert ((by["taken"] - by["target"]).abs() <= 0.03 * by["target"] + 64).all()
-    assert sorted(got.itertuples(index=False)) == sorted(mixing.mix_digest(full).toPandas().itertuples(index=False)) or got["doc_id"].isna().any()
+    plain = lambda df: Counter(tuple(r) for r in df.collect())
+    assert plain(mixing.mix_digest(full)) == plain(mixing.mix_digest(full)) == plain(mixing.mix_digest(docs_of(spark, rows[::-1]).repartition(5)))
     assert got["size"].sum() == sum(len(re.findall(r"[^\x20\x09-\x0D]+", t or "")) for _, t, _ in rows)
     made = mixing.mixed(full)
     assert made.columns == full.columns and made.exceptAll(full.union(full)).isEmpty() and mixing.mixed(empty).count() == 0 and mixing.mix_digest(empty).count() == 0
@@ -464,6 +467,54 @@ def test_non_negative_risk_turns():
     assert m.score(u[:60]).mean() > 0.8 and m.score(u[60:]).mean() < 0.2
 
 
+@pytest.mark.parametrize("seed", range(4))
+def test_risk_and_its_direction_are_the_brute_ones(seed):
+    rng = np.random.default_rng(seed)
+    p, u, w, prior, decay = rng.normal(1, 1, (7, 5)), rng.normal(0, 1, (11, 5)), rng.normal(0, 2, 5), 0.6, 0.01
+    loss = lambda g: math.log1p(math.exp(-g))
+    dot = lambda x, w: sum(a * b for a, b in zip(x, w, strict=True))
+    told = lambda w: prior * sum(loss(dot(x, w)) for x in p) / len(p)
+    rest = lambda w: sum(loss(-dot(x, w)) for x in u) / len(u) - prior * sum(loss(-dot(x, w)) for x in p) / len(p)
+    penalty = lambda w: decay * sum(x * x for x in w[:-1]) / 2
+    value, bracket, way = quality.risk(w, p, u, prior, decay)
+    assert (value, bracket) == pytest.approx((told(w) + max(0.0, rest(w)) + penalty(w), rest(w)))
+    goal = (lambda w: told(w) + rest(w) + penalty(w)) if rest(w) >= 0 else (lambda w: -rest(w) + penalty(w))
+    for i in range(5):
+        step = np.eye(5)[i] * 1e-6
+        assert (goal(w + step) - goal(w - step)) / 2e-6 == pytest.approx(way[i], rel=1e-4, abs=1e-7)
+
+
+def test_both_signs_of_the_bracket_are_met():
+    signs = set()
+    for seed in range(4):
+        rng = np.random.default_rng(seed)
+        signs.add(quality.risk((w := rng.normal(1, 1, (7, 5)), rng.normal(0, 1, (11, 5)), rng.normal(0, 2, 5))[2], w, rng.normal(0, 1, (11, 5)), 0.6, 0.01)[1] >= 0)
+    signs.add(quality.risk(np.ones(3), np.ones((4, 3)), -np.ones((4, 3)), 0.5, 0.0)[1] >= 0)
+    assert signs == {True, False}
+
+
+def test_prior_is_estimated_without_negatives():
+    rng = np.random.default_rng(2)
+    x = lambda n, at: rng.normal(at, 1, (n, quality.N_FEATURES))
+    for part in (0.2, 0.6, 0.9):
+        n = int(2000 * part)
+        u = np.concatenate([x(n, 1), x(2000 - n, -1)])[rng.permutation(2000)]
+        assert abs(quality.class_prior(x(800, 1), u) - part) < 0.05
+    assert quality.class_prior(x(1, 1), x(0, 1)) == 0.5
+
+
+def test_the_sample_is_bounded_in_rows(spark):
+    """One id that stands for thousands of texts; ids that stand for one."""
+    rows = [(3, f"text number {i} of one id", "a") for i in range(5000)] + [(100 + i, f"own text {i}", "a") for i in range(60)] + [(3, "text number 7 of one id", "b")] * 5
+    labels = spark.createDataFrame([(3, 1), *((100 + i, i % 2) for i in range(60))], "doc_id long, quality int")
+    docs = docs_of(spark, rows).repartition(6)
+    assert zlib.crc32(b"3") % 5  # not held out
+    got = quality.sample(docs, labels, 20).groupBy("kind").count().collect()
+    assert {r["kind"]: r["count"] for r in got} == {0: 20, 1: 20}
+    again = [sorted((r["kind"], r["doc_id"], tuple(r["x"])) for r in quality.sample(d, labels, 20).collect()) for d in (docs, docs.orderBy("text"))]
+    assert again[0] == again[1]
+
+
 # --- 9 ---
 
 
@@ -622,7 +673,36 @@ def test_contamination(spark):
     kept = decontam.clean(full, bench)
     assert kept.columns == full.columns and kept.count() == sum(brute_hits(t, items)[1] == 0 for _, t, _ in rows)
     assert decontam.contamination(empty, bench).count() == 0 and decontam.contamination(full, bench.limit(0)).where("n_hit > 0").count() == 0
+    null_id = decontam.contamination_digest(full, spark.createDataFrame([(None, "ÉLAN vital")], "item_id long, text string")).where("doc_id = 70").first()
+    assert (null_id.n_hit, null_id.n_items, null_id.items_sha256) == (2, 0, hashlib.sha256(b"").hexdigest())
     text = "Say, ÉLAN-vital: now"
     assert [text[a:b] for a, b in decontam.offsets(text, decontam.scan(text, decontam.automaton(((1, "élan vital"),), 10))[1])] == []
     assert [text[a:b] for a, b in decontam.offsets(text, decontam.scan(text, decontam.automaton(((1, "Élan vital"),), 10))[1])] == ["ÉLAN-vital"]
     assert [text[a:b] for a, b in decontam.offsets(text, decontam.scan(text, decontam.automaton(((1, "ÉLAN VITAL"),), 10))[1])] == ["ÉLAN-vital"]
+
+
+def test_each_slice_is_built_once_for_the_texts_held():
+    class Part:
+        def __init__(self, *items):
+            self.value = items
+
+    parts = [Part((1, "alpha beta")), Part((2, "gamma delta")), Part((3, "beta gamma"))]
+    batches = [["x alpha beta gamma", None], ["delta"], ["gamma delta alpha beta"]] * 5
+    decontam.automaton.cache_clear()
+    got = [x for b, found in decontam.gathered(iter(batches), list, parts, 10, decontam.scan, decontam.both) for x in zip(b, found, strict=True)]
+    assert decontam.automaton.cache_info().misses == len(parts)
+    assert got == [(t, brute_scan(t, [(p.value[0]) for p in parts])) for b in batches for t in b]
+
+
+def brute_scan(text, items):
+    n, hit, found = brute_hits(text, items)
+    words = (text or "").split()
+    at = {i for i in range(n) for _, t in items if any(words[p : p + 2] == t.split() and p <= i < p + 2 for p in range(n))}
+    assert len(at) == hit
+    runs = []
+    for i in sorted(at):
+        if runs and runs[-1][1] == i:
+            runs[-1] = (runs[-1][0], i + 1)
+        else:
+            runs.append((i, i + 1))
+    return n, runs, {int(x) for x in found}

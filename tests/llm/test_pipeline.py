@@ -77,7 +77,7 @@ def corpus(spark, tmp_path_factory):
     items = [(i, good()) for i in range(4)]
     rows += [(1000 + i, rows[1][1], "d") for i in range(30)] + [(7, rows[7][1], rows[7][2])] + [(2000 + i, f"{good()} {items[i % 4][1]} {good()}", "b") for i in range(8)]
     rows += [(3000, None, "b"), (3001, "", None), (None, good(), None)]
-    labels = [(i, int(i % 5 > 0), 0) for i in range(0, 300, 2)]
+    labels = [(i, int(i % 5 > 0), 0) for i in range(300)]
     at = str(tmp_path_factory.mktemp("corpus"))
     spark.createDataFrame([(i, t, "en", s, len(t or "")) for i, t, s in rows], DOCS).write.parquet(f"{at}/documents.parquet")
     spark.createDataFrame(labels, "doc_id long, quality int, toxic int").write.parquet(f"{at}/labels.parquet")
