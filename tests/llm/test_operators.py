@@ -364,7 +364,16 @@ def test_lines_on_many_sites_go(spark):
     rows += [(100, "site7 everywhere", None), (101, "only four", None), *EDGES]
     full, empty = both(spark, rows)
     got = {}
-    for r in linededup.drop_spread_lines(full).collect():
+    clashing = full
+    for c in ("_d", "_t", "_removed", "_table", "_kept", "_row", "_key", "_gone", "_hash", "_site", "a.b"):
+        clashing = clashing.withColumn(c, F.lit(c))
+    found = linededup.drop_spread_lines(clashing)
+    assert found.columns == [*(c for c in clashing.columns if c != "text"), "text", "n_lines", "n_removed"] and found.first()["a.b"] == "a.b"
+    told = lambda df: Counter(tuple(r) for r in df.select("doc_id", "source", "text", "n_lines", "n_removed").collect())
+    for most in (0, 2, linededup.TABLE_LINES):  # by joins; near lines by a join; by tables
+        assert told(linededup.drop_spread_lines(full, most=most)) == told(found)
+    assert told(linededup.drop_spread_lines(clashing, most=0)) == told(found)
+    for r in found.collect():
         got.setdefault((r.doc_id, r.source), []).append((r.text, r.n_lines, r.n_removed))
     sites = {}
     for _, t, s in rows:
@@ -376,6 +385,16 @@ def test_lines_on_many_sites_go(spark):
         want = (None, 0, 0) if t is None else ("\n".join(keep), len(t.split("\n")), len(t.split("\n")) - len(keep))
         assert want in got[i, s], (i, want, got[i, s])
     assert linededup.line_digest(empty).count() == 0
+    alone = linededup.drop_spread_lines(full.where("source = 'b'"))  # one site: nothing goes
+    assert alone.where("n_removed > 0").count() == 0 and alone.count() == sum(s == "b" for *_, s in rows)
+
+
+def test_only_near_lines_are_counted_exactly(spark):
+    rows = [(i, "\n".join(["on all forty", *(["on five"] if i < 5 else []), f"own {i}"]), f"s{i}") for i in range(40)]
+    spread = linededup.spread_lines(docs_of(spark, rows))
+    assert {r[0] for r in spread.collect()} == {r[0] for r in spark.createDataFrame([("on all forty",), ("on five",)], "l string").select(F.xxhash64("l")).collect()}
+    plan = linededup.drop_spread_lines(docs_of(spark, rows))._jdf.queryExecution().executedPlan().toString()
+    assert "Join" not in plan.split("Subquery")[0] and plan.count("Project [") <= 3  # the table is in the expression, not in the rows
 
 
 # --- 7 ---
