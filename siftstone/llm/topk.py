@@ -1,33 +1,47 @@
 """Exact top-k inner products over an impact-ordered, score-at-a-time index.
 
-Vectors are quantised to integers floor(1024 x). Rows are dealt into blocks of about BLOCK vectors, and each block is an index of its own:
-for every dimension the vectors in order of their component, cut into segments of one impact level (LEVEL units). A query takes
-segments in descending order of their contribution, rounds of ever lower ones over all dimensions: a positive query component reads from the top, a negative one from the
-bottom. After each round the unread segments bound what any vector can still gain; a vector whose bound is below the k-th lower bound is no
-member. Reading stops only when that proves that few enough are left (or nothing is unread), and all possible members are rescored
-exactly. A block's k best of a query are merged by a pre-aggregated, bounded top-k.
-
-Queries are dealt into groups of about QUERIES; a task holds one block and one group, whatever the table's size.
-Vectors that are null, hold null or non-finite components or differ in length from a query take no part against it. Rows that repeat a vec_id count once, at their best score; a null vec_id takes no part. Vectors come from a scan or a checkpoint: their dealing into blocks must not change if a task is run again. Queries are dealt by their values and may come from a shuffle.
-Ties go to the smaller vec_id; with fewer than k candidates all are returned; an empty table gives an empty table.
+Vectors are quantised to integers floor(1024 x). Rows are dealt into blocks, and each block is an index of its own: for every dimension the
+rows in order of their component, cut into segments of one impact level (LEVEL units). A query takes segments in descending order
+of their contribution, in rounds of ever lower ones over all dimensions: a positive query component reads a list from the top, a negative one
+from the bottom. After each round the unread segments bound what any vector can still gain; a vector whose bound is below the k-th
+lower bound is no member. Once a round would read more than the TAIL-th part of all postings one by one, what is left of each list is
+read as one segment, kept in the order of rows, the list with the most to add first. Reading stops only when the bounds prove that few
+enough vectors are left, or nothing is unread, and all possible members are rescored exactly. A block's k best of a query are merged by a pre-aggregated, bounded top-k.
+
+A task meets a block's rows first, builds its index once, and then the queries, batch by batch: it holds a block (BLOCK_BYTES) and a batch,
+whatever the table's size. Vectors are shuffled once, queries once for each block. They come from a scan or a checkpoint: their dealing into
+blocks must not change if a task is run again.
+
+Vectors that are null, hold null or non-finite components or differ in length from a query take no part against it. A vec_id stands for one row: rows that
+repeat one count once, at their best score against the best of the query's, and none of the query's own id is a candidate; a null vec_id takes no
+part. Ties go to the smaller vec_id; with fewer than k candidates all are returned; an empty table gives an empty table.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
-import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+import pyarrow as pa
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import ship
 
-K, BLOCK, QUERIES, LEVEL, SCALE = 10, 32_768, 2048, 16, 1024
-#: Each round takes segments down to this part of the last one's least contribution; the last takes all.
-ROUNDS, SHRINK = 5, 0.2
-#: Queries that are worth a task with an index of its own.
-LEAST = 32
-#: Rescoring starts when at most this many vectors (beside k) of a block may be members.
-FEW = 256
+K, LEVEL, SCALE = 10, 16, 1024
+#: A block's components at 4 bytes each, at most (an index takes five times as much); rows of a block below which cores may rather stand idle.
+BLOCK_BYTES, LEAST_ROWS = 32 << 20, 4096
+#: Each round takes segments down to this part of the last one's least contribution.
+SHRINK = 0.5
+#: Postings read one by one, at most: this part of all.
+TAIL = 16
+#: Rescoring starts when at most this many vectors (beside k), or this part of a block, may be members.
+FEW, FEW_PART = 256, 64
+
+
+def narrow(x: np.ndarray) -> np.ndarray:
+    """As 32 bits if that holds all values."""
+    return x.astype(np.int32) if not x.size or np.abs(x).max() < 1 << 31 else x
 
 
 class Block:
@@ -35,67 +49,77 @@ class Block:
 
     def __init__(self, ids: np.ndarray, x: np.ndarray):
         order = np.argsort(ids, kind="stable")
-        self.ids, self.x = ids[order], x[order]
+        self.ids, self.x = ids[order], narrow(x[order])
         self.starts = np.flatnonzero(np.r_[True, self.ids[1:] != self.ids[:-1]])  # of each id's rows
         self.unique = len(self.starts) == len(ids)
-        level = np.floor_divide(self.x, LEVEL).T
-        self.order = np.empty(level.shape, np.intp)  # of each dimension, by rising level
-        self.sorted = np.empty(level.shape, np.int64)
-        for d, line in enumerate(level):
-            self.order[d] = np.argsort(line, kind="stable")
-            self.sorted[d] = line[self.order[d]]
-        self.low, self.high = self.sorted[:, 0].copy(), self.sorted[:, -1].copy()
+        level = np.ascontiguousarray(np.floor_divide(self.x, LEVEL).T)
+        self.low, self.high = level.min(1).astype(np.int64), level.max(1).astype(np.int64)
+        above = narrow(level - self.low[:, None])  # of each dimension and row: levels above the least
+        self.order = np.argsort(above, axis=1, kind="stable").astype(np.int32)  # of each dimension, by rising level
+        self.sorted, self.above = np.take_along_axis(above, self.order, 1), above.astype(np.float64)
 
     def search(self, q: np.ndarray, own: int, k: int) -> tuple[np.ndarray, np.ndarray]:
         """ids and scores of the k best of all rows whose id is not own; repeated ids once."""
         n = len(self.ids)
-        up = q >= 0
-        worth = np.abs(q)
-        # Impact 0 is a dimension's worst level for this query: read segments only add, unread ones count as 0 so far.
-        floor = np.where(up, self.low * LEVEL * q, (self.high * LEVEL + LEVEL - 1) * q)
-        spread = (self.high - self.low) * LEVEL * worth  # the most a dimension adds
-        slack = int((worth * (LEVEL - 1)).sum())  # within levels
-        top = float(spread.max(initial=0))
-        gained = np.zeros(n, np.int64)
-        read = np.zeros(len(q), np.int64)  # postings read of each dimension
-        base = int(floor.sum())
         others = self.ids != own
         kinds = self.ids[self.starts] != own
-        few, bar = kinds.sum() <= k, 0
-        for r in range(1, ROUNDS + 1):
-            cut = top * SHRINK**r if r < ROUNDS else 0.0
-            left = 0
-            for d in np.flatnonzero(worth):
-                steps = worth[d] * LEVEL
-                if spread[d] <= cut:
-                    left += spread[d]
-                    continue
-                need = int(np.floor(cut / steps)) + 1  # levels above the worst whose impact exceeds cut
-                line = self.sorted[d]
-                if up[d]:
-                    a, b = int(np.searchsorted(line, self.low[d] + need, "left")), n - read[d]
-                    rows, levels = self.order[d, a:b], line[a:b] - self.low[d]
-                    read[d] = n - a
-                else:
-                    a, b = read[d], int(np.searchsorted(line, self.high[d] - need, "right"))
-                    rows, levels = self.order[d, a:b], self.high[d] - line[a:b]
-                    read[d] = max(a, b)
-                if len(rows):
-                    gained[rows] += levels * steps
-                left += min(spread[d], (need - 1) * steps)
-            # A vector's score is in base + gained + [0, left + slack].
-            if few:
-                break
+        if kinds.sum() <= k:
+            return self.best(np.flatnonzero(others), q, k)
+        up, worth = q >= 0, np.abs(q)
+        depth = self.high - self.low
+        step = LEVEL * worth
+        spread = depth * step  # the most a dimension adds to its worst level for this query
+        slack = int((worth * (LEVEL - 1)).sum())  # within levels
+        # Floating point counts whole numbers exactly up to 2 ** 53, and faster.
+        kind = np.float64 if float(spread.sum()) + slack < 1 << 53 else np.int64
+        gained, added = np.zeros(n, kind), np.zeros(n, kind)
+        read = np.zeros(len(q), np.int64)  # postings read of each dimension
+        unread = spread.copy()  # the most that a dimension's unread postings add
+        top = float(spread.max(initial=0))
+
+        def members() -> np.ndarray | None:
+            """Rows that may be among the best, if that's proven of few enough. A vector's gain is in gained + [0, unread + slack]."""
             sure = gained if self.unique else np.maximum.reduceat(gained, self.starts)
             bar = np.partition(sure[kinds], -k)[-k]
-            if r == ROUNDS or np.count_nonzero(gained + left + slack >= bar) <= FEW + k:
+            open_ = others & (gained + (int(unread.sum()) + slack) >= bar)
+            few = np.count_nonzero(open_) <= max(FEW, n // FEW_PART) + k
+            return np.flatnonzero(open_) if few or not unread.any() else None
+
+        cut, found = top, None
+        while found is None and unread.any():
+            cut *= SHRINK
+            need = np.floor_divide(cut, np.maximum(step, 1)).astype(np.int64) + 1  # levels above the worst whose impact exceeds cut
+            due = np.flatnonzero((step > 0) & (spread > cut) & (unread > 0))
+            ends = {d: n - int(np.searchsorted(self.sorted[d], need[d], "left")) if up[d] else int(np.searchsorted(self.sorted[d], depth[d] - need[d], "right")) for d in due}
+            if sum(ends.values()) > n * len(q) // TAIL:
                 break
-        members = np.flatnonzero(others if few else others & (gained + left + slack >= bar))
-        scores = self.x[members] @ q
-        best = np.lexsort((self.ids[members], -scores))
-        ids, first = np.unique(self.ids[members][best], return_index=True)
+            for d, end in ends.items():
+                part = slice(n - end, n - read[d]) if up[d] else slice(read[d], end)
+                levels = self.sorted[d, part].astype(np.int64)
+                gained[self.order[d, part]] += (levels if up[d] else depth[d] - levels) * step[d]
+                read[d], unread[d] = end, min(unread[d], (need[d] - 1) * step[d])
+            if ends:
+                found = members()
+        for i, d in enumerate(tail := np.argsort(-unread, kind="stable")[: np.count_nonzero(unread)] if found is None else ()):
+            part = slice(n - read[d], n) if up[d] else slice(0, read[d])
+            before = self.sorted[d, part].astype(np.int64)
+            gained[self.order[d, part]] -= (before if up[d] else depth[d] - before) * step[d]  # read before, and again now
+            np.subtract(depth[d], self.above[d], out=added, casting="unsafe") if not up[d] else np.copyto(added, self.above[d], casting="unsafe")
+            added *= step[d]
+            gained += added
+            unread[d] = 0
+            if i + 1 == len(tail) or 4 * (i + 1) // len(tail) > max(2, 4 * i // len(tail)):
+                found = members()
+                if found is not None:
+                    break
+        return self.best(members() if found is None else found, q, k)
+
+    def best(self, rows: np.ndarray, q: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+        scores = self.x[rows].astype(np.int64) @ q
+        best = np.lexsort((self.ids[rows], -scores))
+        _, first = np.unique(self.ids[rows][best], return_index=True)
         first = np.sort(first)[:k]
-        return self.ids[members][best][first], scores[best][first]
+        return self.ids[rows][best][first], scores[best][first]
 
 
 def quantised(embeddings: DataFrame) -> DataFrame:
@@ -104,38 +128,58 @@ def quantised(embeddings: DataFrame) -> DataFrame:
     return embeddings.where(F.col("vec_id").isNotNull() & F.col("embedding").isNotNull()).where(whole).select("vec_id", x.alias("x"))
 
 
-def dealt(*by: str | Column, n: int) -> Column:
-    return F.pmod(F.xxhash64(*by), F.lit(n)).cast("int")
-
-
-def query_group(groups: int) -> Column:
-    """By a query's own values, whatever the order of rows: a shuffle's isn't the same if a task is run again."""
-    return dealt("vec_id", "x", n=groups)
-
-
-def top_k(vectors: DataFrame, queries: DataFrame, k: int = K, block: int = BLOCK, group: int = QUERIES) -> DataFrame:
+def blocks_of(rows: int, length: int, cores: int, block_bytes: int = BLOCK_BYTES) -> int:
+    """As few blocks as memory allows, for queries go to each; but work for all cores."""
+    return max(1, -(-rows * max(1, length) * 4 // block_bytes), min(2 * cores, rows // LEAST_ROWS))
+
+
+RESULT = "query_id long, vec_id long, score long"
+
+
+def searched(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[pa.RecordBatch]:
+    """From rows (b, is_query, vec_id, x) in order of b and is_query: each query's k best of each block."""
+    held: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []  # ids, components, lengths of the block's rows so far
+    now, index = None, {}
+    for batch in batches:
+        b, is_query = batch.column("b").to_numpy(), batch.column("is_query").to_numpy(zero_copy_only=False)
+        cuts = np.flatnonzero(np.r_[True, (b[1:] != b[:-1]) | (is_query[1:] != is_query[:-1])])
+        for at, end in zip(cuts, [*cuts[1:], len(b)], strict=True):
+            part = batch.slice(at, end - at)
+            ids, x = part.column("vec_id").to_numpy(), part.column("x")
+            flat, lengths = x.flatten().to_numpy(), np.diff(x.offsets.to_numpy())
+            if b[at] != now:
+                held, now, index = [], b[at], {}
+            if not is_query[at]:
+                held.append((ids, flat, lengths))
+                continue
+            if held:
+                index, held = indexes(held), []
+            out = [(np.zeros(0, np.int64),) * 3]
+            for own, q in zip(ids, np.split(flat, np.cumsum(lengths)[:-1]), strict=True):
+                if len(q) in index:
+                    found, scores = index[len(q)].search(q.astype(np.int64), own, k)
+                    out.append((np.full(len(found), own), found, scores))
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*out, strict=True)], names=["query_id", "vec_id", "score"])
+
+
+def indexes(held: list[tuple[np.ndarray, np.ndarray, np.ndarray]]) -> dict[int, Block]:
+    """An index for each length of vectors."""
+    ids, flat, lengths = (np.concatenate(c) for c in zip(*held, strict=True))
+    starts = np.cumsum(lengths) - lengths
+    return {int(size): Block(ids[own := lengths == size], flat[(starts[own][:, None] + np.arange(size)).reshape(-1)].reshape(int(own.sum()), size)) for size in np.unique(lengths)}
+
+
+def top_k(vectors: DataFrame, queries: DataFrame, k: int = K, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """vectors and queries (vec_id, x array<long>; inner products fit 64 bits): query_id, rank from 1, vec_id and score of each query's k best vectors of other ids."""
-    ship(vectors.sparkSession)
-    n, m = vectors.count(), queries.count()
-    blocks = max(1, -(-n // block))
-    # Groups as large as a task may hold, but not so large that cores stand idle: a block is sent to every group.
-    groups = max(1, -(-m // group), min(-(-2 * vectors.sparkSession.sparkContext.defaultParallelism // blocks), m // LEAST))
-    v = vectors.withColumn("b", dealt(F.monotonically_increasing_id(), n=blocks)).withColumn("g", F.explode(F.sequence(F.lit(0), F.lit(groups - 1))))
-    q = queries.withColumn("g", query_group(groups)).withColumn("b", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
-
-    def search(vs: pd.DataFrame, qs: pd.DataFrame) -> pd.DataFrame:
-        out = [(np.zeros(0, np.int64),) * 3]
-        if len(vs) and len(qs):
-            sizes = vs["x"].map(len)
-            for size, part in vs.groupby(sizes):
-                index = Block(part["vec_id"].to_numpy(), np.stack(part["x"].to_list()).astype(np.int64).reshape(len(part), size))
-                for own, x in zip(qs["vec_id"], qs["x"], strict=True):
-                    if len(x) == size:
-                        ids, scores = index.search(np.asarray(x, np.int64), own, k)
-                        out.append((np.full(len(ids), own), ids, scores))
-        return pd.DataFrame(dict(zip(("query_id", "vec_id", "score"), map(np.concatenate, zip(*out, strict=True)), strict=True)))
-
-    found = v.groupBy("b", "g").cogroup(q.groupBy("b", "g")).applyInPandas(search, "query_id long, vec_id long, score long")
+    spark = vectors.sparkSession
+    ship(spark)
+    n, length = vectors.agg(F.count("*"), F.coalesce(F.max(F.size("x")), F.lit(0))).first()
+    blocks = blocks_of(n, length, spark.sparkContext.defaultParallelism, block_bytes)
+    # Equal vectors are dealt over all blocks: by place, not by value.
+    v = vectors.select(F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(blocks)).cast("int").alias("b"), F.lit(False).alias("is_query"), "vec_id", "x")
+    q = queries.select(F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("b"), F.lit(True).alias("is_query"), "vec_id", "x")
+    met = v.unionByName(q).repartition(blocks, "b").sortWithinPartitions("b", "is_query")
+    found = met.mapInArrow(lambda batches: searched(batches, k), RESULT)
     best = found.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
     return best.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
@@ -151,8 +195,8 @@ WITH v AS (
   SELECT vec_id, list_transform(embedding, lambda x: CAST(floor({SCALE} * CAST(x AS DOUBLE)) AS BIGINT)) AS x FROM embeddings
   WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
 s AS (
-  SELECT q.vec_id AS query_id, c.vec_id, CAST(list_sum(list_transform(list_zip(q.x, c.x), lambda p: p[1] * p[2])) AS BIGINT) AS score
-  FROM v q JOIN v c ON q.vec_id % 100 = 0 AND c.vec_id <> q.vec_id)
+  SELECT q.vec_id AS query_id, c.vec_id, max(CAST(list_sum(list_transform(list_zip(q.x, c.x), lambda p: p[1] * p[2])) AS BIGINT)) AS score
+  FROM v q JOIN v c ON q.vec_id % 100 = 0 AND c.vec_id <> q.vec_id AND len(q.x) = len(c.x) GROUP BY ALL)
 SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score
 FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s) WHERE rank <= {K}
 """

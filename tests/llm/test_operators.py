@@ -204,27 +204,54 @@ def test_block_search_is_exact(seed):
         assert list(zip(got_ids.tolist(), got.tolist(), strict=True)) == [(i, int(s)) for i, s in want]
 
 
-def test_top_k_over_blocks_and_groups(spark):
+@pytest.mark.parametrize("big", [False, True])
+def test_reading_stops_on_proof_only(monkeypatch, big):
+    """Sparse vectors, where a few long lists decide, and dense ones; with numbers beyond 53 bits the sums are whole numbers of 64."""
+    rng = np.random.default_rng(7)
+    monkeypatch.setattr(topk, "FEW", 3)
+    monkeypatch.setattr(topk, "FEW_PART", 10**9)
+    for part in (0.05, 1.0):
+        x = (rng.integers(-500, 500, (900, 12)) * (rng.random((900, 12)) < part)) * (10**6 if big else 1)
+        index = topk.Block(np.arange(900), x)
+        for i in range(40):
+            got = index.search(x[i], i, 10)
+            want = sorted(((-int(s), j) for j, s in enumerate((x.astype(object) @ x[i].astype(object)).tolist()) if j != i))[:10]
+            assert list(zip((-got[1]).tolist(), got[0].tolist(), strict=True)) == want
+
+
+def test_top_k_over_blocks(spark, monkeypatch):
+    import duckdb
+
     rng = np.random.default_rng(5)
     rows = [(i, [float(v) for v in rng.normal(size=8) / 3]) for i in range(300)]
-    rows += [(300, None), (301, [0.1, None] + [0.0] * 6), (302, [float("nan")] + [0.0] * 7), (303, [float("inf")] + [0.0] * 7), (None, [0.5] * 8), (305, []), *((400 + i, rows[7][1]) for i in range(40)), (0, rows[0][1])]
-    table = spark.createDataFrame(rows, "vec_id long, embedding array<float>").withColumn("score", F.lit("extra"))
+    rows += [(300, None), (301, [0.1, None] + [0.0] * 6), (302, [float("nan")] + [0.0] * 7), (303, [float("inf")] + [0.0] * 7), (None, [0.5] * 8), (305, []), *((400 + i, rows[7][1]) for i in range(40)), (0, rows[0][1]), (100, rows[9][1]), (7, rows[100][1])]
+    table = spark.createDataFrame(rows, "vec_id long, embedding array<float>").withColumn("score", F.lit("extra")).repartition(3, "vec_id")
     v = topk.quantised(table)
-    got = [tuple(r) for r in topk.top_k(v, v.where("vec_id % 100 = 0").distinct(), 10, block=64, group=2).orderBy("query_id", "rank").collect()]
-    good = {i: np.floor(1024 * np.float32(x).astype(float)).astype(int) for i, x in rows if i is not None and x and len(x) == 8 and all(c is not None and np.isfinite(c) for c in x)}
+    told = lambda df: [tuple(r) for r in df.orderBy("query_id", "rank").collect()]
+    some = told(topk.top_k(v, v.where("vec_id % 100 = 0").distinct(), 10, block_bytes=2000))
+    assert some == told(topk.vector_top_k(table))
+    monkeypatch.setattr(topk, "LEAST_ROWS", 50)
+    assert some == told(topk.vector_top_k(table))
+    good = [(i, tuple(int(c) for c in np.floor(1024 * np.float32(x).astype(float)))) for i, x in rows if i is not None and x and len(x) == 8 and all(c is not None and np.isfinite(c) for c in x)]
     want = []
-    for q in sorted(i for i in good if i % 100 == 0):
-        best = sorted(((-int(good[q] @ x), i) for i, x in good.items() if i != q))[:10]
-        want += [(q, r + 1, i, -s) for r, (s, i) in enumerate(best)]
-    assert [g for g in got if g[0] != 305] == want
+    for q in sorted({i for i, _ in good if i % 100 == 0}):
+        best = {}
+        for _, a in (r for r in good if r[0] == q):
+            for i, x in good:
+                if i != q:
+                    best[i] = max(best.get(i, -(10**18)), sum(m * n for m, n in zip(a, x, strict=True)))
+        want += [(q, r + 1, i, s) for r, (i, s) in enumerate(sorted(best.items(), key=lambda p: (-p[1], p[0]))[:10])]
+    assert some == want
+    at = duckdb.connect()
+    at.execute("CREATE TABLE embeddings (vec_id BIGINT, embedding FLOAT[])")
+    at.executemany("INSERT INTO embeddings VALUES (?, ?)", rows)
+    assert sorted((q, r, i, s) for q, r, i, s in at.execute(topk.TOP_K_SQL).fetchall()) == want  # the SQL reads repeated ids alike
     assert topk.vector_top_k(table.limit(0)).count() == 0
 
 
-def test_query_groups_do_not_depend_on_the_order_of_rows(spark):
-    rows = [(i // 2, [i, 2 * i, -i]) for i in range(200)]
-    group = lambda rows: {(r.vec_id, *r.x): r.g for r in spark.createDataFrame(rows, "vec_id long, x array<long>").withColumn("g", topk.query_group(8)).collect()}
-    assert group(rows) == group(rows[::-1])
-    assert set(group(rows).values()) == set(range(8))
+def test_blocks_are_bounded_in_bytes():
+    assert topk.blocks_of(0, 0, 8) == topk.blocks_of(4095, 64, 8) == 1
+    assert topk.blocks_of(51_282, 64, 6) == 12 and topk.blocks_of(10**9, 1536, 6) * topk.BLOCK_BYTES >= 4 * 10**9 * 1536
 
 
 # --- 3 ---
