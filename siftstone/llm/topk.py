@@ -5,7 +5,7 @@ rows in order of their component, cut into segments of one impact level (LEVEL u
 of their contribution, in rounds of ever lower ones over all dimensions: a positive query component reads a list from the top, a negative one
 from the bottom. After each round the unread segments bound what any vector can still gain; a vector whose bound is below the k-th
 lower bound is no member. Once a round would read more than the TAIL-th part of all postings one by one, what is left of each list is
-read as one segment, kept in the order of rows, the list with the most to add first. Reading stops only when the bounds prove that few
+read as one segment, kept in the order of rows, the lists with the most to add first. Reading stops only when the bounds prove that few
 enough vectors are left, or nothing is unread, and all possible members are rescored exactly. A block's k best of a query are merged by a pre-aggregated, bounded top-k.
 
 A task meets a block's rows first, builds its index once, and then the queries, batch by batch: it holds a block (BLOCK_BYTES) and a batch,
@@ -33,8 +33,8 @@ K, LEVEL, SCALE = 10, 16, 1024
 BLOCK_BYTES, LEAST_ROWS = 32 << 20, 4096
 #: Each round takes segments down to this part of the last one's least contribution.
 SHRINK = 0.5
-#: Postings read one by one, at most: this part of all.
-TAIL = 16
+#: Postings read one by one, at most: this part of all; how many times reading whole lists stops to look for a proof.
+TAIL, TAIL_PARTS = 16, 3
 #: Rescoring starts when at most this many vectors (beside k), or this part of a block, may be members.
 FEW, FEW_PART = 256, 64
 
@@ -72,7 +72,7 @@ class Block:
         slack = int((worth * (LEVEL - 1)).sum())  # within levels
         # Floating point counts whole numbers exactly up to 2 ** 53, and faster.
         kind = np.float64 if float(spread.sum()) + slack < 1 << 53 else np.int64
-        gained, added = np.zeros(n, kind), np.zeros(n, kind)
+        gained = np.zeros(n, kind)
         read = np.zeros(len(q), np.int64)  # postings read of each dimension
         unread = spread.copy()  # the most that a dimension's unread postings add
         top = float(spread.max(initial=0))
@@ -100,18 +100,18 @@ class Block:
                 read[d], unread[d] = end, min(unread[d], (need[d] - 1) * step[d])
             if ends:
                 found = members()
-        for i, d in enumerate(tail := np.argsort(-unread, kind="stable")[: np.count_nonzero(unread)] if found is None else ()):
-            part = slice(n - read[d], n) if up[d] else slice(0, read[d])
-            before = self.sorted[d, part].astype(np.int64)
-            gained[self.order[d, part]] -= (before if up[d] else depth[d] - before) * step[d]  # read before, and again now
-            np.subtract(depth[d], self.above[d], out=added, casting="unsafe") if not up[d] else np.copyto(added, self.above[d], casting="unsafe")
-            added *= step[d]
-            gained += added
-            unread[d] = 0
-            if i + 1 == len(tail) or 4 * (i + 1) // len(tail) > max(2, 4 * i // len(tail)):
-                found = members()
-                if found is not None:
-                    break
+        tail = np.argsort(-unread, kind="stable")[: np.count_nonzero(unread)] if found is None else []
+        for lists in np.array_split(tail, TAIL_PARTS):
+            if not len(lists) or found is not None:
+                continue
+            for d in lists[read[lists] > 0]:  # read before, and again now
+                part = slice(n - read[d], n) if up[d] else slice(0, read[d])
+                before = self.sorted[d, part].astype(np.int64)
+                gained[self.order[d, part]] -= (before if up[d] else depth[d] - before) * step[d]
+            gained += np.where(up, step, -step)[lists].astype(kind) @ self.above[lists].astype(kind, copy=False)
+            gained += int((depth * step)[lists[~up[lists]]].sum())
+            unread[lists] = 0
+            found = members()
         return self.best(members() if found is None else found, q, k)
 
     def best(self, rows: np.ndarray, q: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
@@ -178,7 +178,7 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = K, block_bytes: int =
     # Equal vectors are dealt over all blocks: by place, not by value.
     v = vectors.select(F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(blocks)).cast("int").alias("b"), F.lit(False).alias("is_query"), "vec_id", "x")
     q = queries.select(F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("b"), F.lit(True).alias("is_query"), "vec_id", "x")
-    met = v.unionByName(q).repartition(blocks, "b").sortWithinPartitions("b", "is_query")
+    met = v.unionByName(q).repartitionById(blocks, F.col("b")).sortWithinPartitions("b", "is_query")
     found = met.mapInArrow(lambda batches: searched(batches, k), RESULT)
     best = found.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
