@@ -6,6 +6,7 @@ from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
@@ -13,6 +14,10 @@ from .. import session
 
 #: Rows that Python holds as objects at once, and rows of an Arrow batch: texts are long, and Spark's 10,000 of them crowd a worker.
 SLICE, BATCH = 256, 2000
+#: So many keys can be hot, with more than so many rows; parts that a hot key's rows are dealt to.
+HOT, HOT_ROWS, SALTS = 500, 5_000, 64
+#: Bytes of an emitted or a shuffled partition aimed at; rows of a few numbers that may travel to every task.
+PART_BYTES, BROADCAST_ROWS = 64 << 20, 2_000_000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -25,8 +30,11 @@ def plain_name(column: str) -> str:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir; where it is unset (tests), one in the warehouse."""
-    return spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir() or spark.conf.get("spark.sql.warehouse.dir") + "/checkpoints"
+    """The folder that driver and executors share: spark.checkpoint.dir. Where it is unset, in tests on one machine, a folder in the warehouse."""
+    at = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not at and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    return at or spark.conf.get("spark.sql.warehouse.dir") + "/checkpoints"
 
 
 def checkpoint(df: DataFrame) -> DataFrame:
@@ -45,6 +53,27 @@ def ship(spark: SparkSession) -> None:
         spark.conf.set(rows, str(BATCH))
 
 
+def hot_values(counts: DataFrame, key: str, n: str = "n") -> list:
+    """Of counts(key, n) the HOT values with the most rows, if more than HOT_ROWS: whatever the table's size, any other value has less than the HOT-th part of all rows or few."""
+    return [r[0] for r in counts.where(F.col(n) > HOT_ROWS).orderBy(F.desc(n)).limit(HOT).select(key).collect()]
+
+
+def salted_join(rows: DataFrame, small: DataFrame, hot: list, key: str = "u") -> DataFrame:
+    """rows joined with small, which has a value of key once: rows of a hot value are dealt to SALTS parts, and so are copies of its row of small."""
+    if not hot:
+        return rows.join(small, key)
+    is_hot = F.col(key).isin(hot)
+    salt = F.when(is_hot, F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(SALTS)).cast("int")).otherwise(0)
+    copies = small.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.when(is_hot, SALTS - 1).otherwise(0))))
+    return rows.withColumn("_salt", salt).join(copies, [key, "_salt"]).drop("_salt")
+
+
+def drop_folder(spark: SparkSession, path: str) -> None:
+    """Through Hadoop's file system: path may be anywhere that Spark can write."""
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+
+
 def schema_of(ddl: str) -> T.StructType:
     return T._parse_datatype_string(ddl)
 

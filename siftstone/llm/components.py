@@ -5,22 +5,29 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import checkpoint
+from .common import checkpoint, hot_values, salted_join
+
+
+def least_neighbour(edges: DataFrame) -> tuple[DataFrame, list]:
+    """(u, m): the least v of each u, and the u that hold a large part of all edges, as a star's root does."""
+    least = checkpoint(edges.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n")))
+    return least.select("u", "m"), hot_values(least, "u")
 
 
 def components(links: DataFrame) -> DataFrame:
     """links(a, b): undirected, repeats and loops allowed. Gives (node, root) for each node with a link to another; root is the smallest node of its component. Empty links give an empty table.
 
     A large-star step ties every larger neighbour of a node to the node's least neighbour, a small-star step every smaller one:
-    the number of rounds is logarithmic in practice and no step gathers a node's neighbours. Each round is checkpointed."""
+    the number of rounds is logarithmic in practice. No step gathers a node's neighbours: least neighbours are pre-aggregated, and edges of
+    nodes with many are salted. Each round is checkpointed."""
     edges = checkpoint(links.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct())
     sign = None
     while True:
         both = edges.union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        low = large.groupBy("u").agg(F.min("v").alias("m"))
-        tied = large.join(low, "u")
+        least, hot = least_neighbour(both)
+        low = least.select("u", F.least("u", "m").alias("m"))
+        large = checkpoint(salted_join(both.where("v > u"), low, hot).select(F.col("v").alias("u"), F.col("m").alias("v")).distinct())
+        tied = salted_join(large, *least_neighbour(large))
         edges = checkpoint(tied.select(F.explode(F.array(F.struct("u", F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e")).select("e.*").where("u <> v").distinct())
         now = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if now == sign:

@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from .common import checkpoint, map_rows, schema_of, ship
+from .common import BROADCAST_ROWS, PART_BYTES, checkpoint, hot_values, map_rows, plain_name, salted_join, schema_of, ship
 from .components import components
 
 RADIUS = 3
@@ -34,6 +34,8 @@ BLOCKS = 3
 SEED = 42
 #: Fingerprints of one variant whose links are verified in one go.
 DENSE = 2048
+#: Variants of a fingerprint: rests of BLOCKS blocks with their one-bit variants; up to two bits of all 64.
+NARROW, WIDE = BLOCKS + 2 * 64, 1 + 64 + 2 * 32 * 31 // 2
 #: Below this, all pairs of a variant are compared by shifting.
 FEW = 8
 
@@ -119,8 +121,8 @@ def forest(fp: np.ndarray, radius: int = RADIUS) -> Iterator[tuple[int, int]]:
         front, left = np.concatenate([front[1:], left[near]]), left[~near]
 
 
-def _collide(batches):
-    """From rows sorted by (z, fp): verified links; (fp, fp) for members of a variant that more than DENSE share."""
+def _collide(batches, dense: int = DENSE):
+    """From rows sorted by (z, fp): verified links; (fp, fp) for members of a variant that more than dense share."""
     held_z, held_fp = np.zeros(0, np.int64), np.zeros(0, np.int64)
     hot: int | None = None
 
@@ -137,7 +139,7 @@ def _collide(batches):
             near = np.flatnonzero((zs[s:] == zs[:-s]) & (np.bitwise_count((fs[s:] ^ fs[:-s]).view(np.uint64)) <= RADIUS)) if len(zs) > s else []
             a.append(fs[near]) if len(near) else None
             b.append(fs[near + s]) if len(near) else None
-        large = [(x, y) for c, n in zip(cuts[size > FEW], size[size > FEW], strict=True) for x, y in (forest(fp[c : c + n]) if n <= DENSE else ((f, f) for f in fp[c : c + n].tolist()))]
+        large = [(x, y) for c, n in zip(cuts[size > FEW], size[size > FEW], strict=True) for x, y in (forest(fp[c : c + n]) if n <= dense else ((f, f) for f in fp[c : c + n].tolist()))]
         if large:
             a.append(np.array([x for x, _ in large], np.int64))
             b.append(np.array([y for _, y in large], np.int64))
@@ -150,7 +152,7 @@ def _collide(batches):
         fp = np.concatenate([held_fp, batch.column("fp").to_numpy()])
         once = np.r_[True, (z[1:] != z[:-1]) | (fp[1:] != fp[:-1])][: len(z)]  # rests of two blocks may give one variant
         z, fp = z[once], fp[once]
-        if hot is not None:  # the variant that went over DENSE goes on
+        if hot is not None:  # the variant that went over dense goes on
             n = int(np.searchsorted(z != hot, True)) if (z != hot).any() else len(z)
             if n:
                 yield fp[:n], fp[:n]
@@ -163,7 +165,7 @@ def _collide(batches):
         last = len(z) - int(np.argmax((z != z[-1])[::-1])) if (z != z[-1]).any() else 0
         yield from links(z[:last], fp[:last])
         held_z, held_fp = z[last:], fp[last:]
-        if len(held_z) > DENSE:
+        if len(held_z) > dense:
             hot = int(held_z[0])
             yield held_fp, held_fp
             held_z, held_fp = held_z[:0], held_fp[:0]
@@ -185,17 +187,22 @@ def _emit_wide(batches):
                     yield v.reshape(-1).view(np.int64), np.full(v.size, side, np.int8), np.repeat(own, v.shape[1])
 
 
+def spread_out(fps: DataFrame, bytes_each: int) -> DataFrame:
+    """fps(fp) in so many parts that what each emits, at bytes_each for a fingerprint, stays near PART_BYTES."""
+    return fps.repartition(max(1, -(-fps.count() * bytes_each // PART_BYTES)), "fp")
+
+
 def wide_links(hot: DataFrame) -> DataFrame:
     """Links (a, b) among hot(fp) that have the components of all links within RADIUS: each variant's members are tied to its least one-bit member. They are at most 1 + 1 or 1 + 2 bits apart."""
-    emitted = _stream(hot, "z long, side byte, fp long", _emit_wide)
+    emitted = _stream(spread_out(hot, WIDE * 17), "z long, side byte, fp long", _emit_wide)
     anchor = emitted.where("side = 0").groupBy("z").agg(F.min("fp").alias("a"))
     return emitted.join(anchor, "z").where("a <> fp").select("a", F.col("fp").alias("b")).distinct()
 
 
-def links(distinct: DataFrame) -> DataFrame:
-    """(a, b): links among distinct(fp), enough for the components of all that are within RADIUS bits."""
-    emitted = _stream(distinct.select("fp"), "z long, fp long", _emit)
-    met = checkpoint(_stream(emitted.repartition("z").sortWithinPartitions("z", "fp"), "a long, b long", _collide).distinct())
+def links(distinct: DataFrame, dense: int = DENSE) -> DataFrame:
+    """(a, b): links among distinct(fp), enough for the components of all that are within RADIUS bits. dense: fingerprints of one variant that are verified in one go."""
+    emitted = _stream(spread_out(distinct.select("fp"), NARROW * 16), "z long, fp long", _emit)
+    met = checkpoint(_stream(emitted.repartition("z").sortWithinPartitions("z", "fp"), "a long, b long", lambda batches: _collide(batches, dense)).distinct())
     hot = met.where("a = b").select(F.col("a").alias("fp")).distinct()
     near = met.where("a <> b")
     return near if met.where("a = b").isEmpty() else near.union(wide_links(checkpoint(hot)))
@@ -204,21 +211,28 @@ def links(distinct: DataFrame) -> DataFrame:
 def near_duplicates(docs: DataFrame, *keep: str) -> DataFrame:
     """For each row of docs(doc_id, text): doc_id, keep columns, fp, root, the fingerprint that stands for the component, and component_id, the smallest doc_id that links reach. Only root tells components apart: doc_ids may repeat or all be null."""
     prints = checkpoint(fingerprints(docs, *dict.fromkeys(("doc_id", *keep))))
-    own = checkpoint(prints.groupBy("fp").agg(F.min("doc_id").alias("least")))
+    own = checkpoint(prints.groupBy("fp").agg(F.min("doc_id").alias("least"), F.count("*").alias("n")))
     stars = components(links(own)).select(F.col("node").alias("fp"), "root")
-    rooted = own.join(stars, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
-    named = rooted.join(rooted.groupBy("root").agg(F.min("least").alias("component_id")), "root").select("fp", "root", "component_id")
-    return prints.join(named, "fp")
+    rooted = own.select("fp", "least").join(stars, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
+    # Fingerprints of one component may be many: its name goes back to them like a hot key's.
+    rooted = checkpoint(rooted)
+    names = rooted.groupBy("root").agg(F.min("least").alias("component_id"), F.count("*").alias("n"))
+    named = salted_join(rooted, names.select("root", "component_id"), hot_values(names, "root"), "root").select("fp", "root", "component_id")
+    return salted_join(prints, named, hot_values(own, "fp"), "fp")
 
 
 def near_duplicate_digest(docs: DataFrame) -> DataFrame:
     return near_duplicates(docs).select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def keep_one(docs: DataFrame) -> DataFrame:
-    """The rows of docs, all columns, but of each component only one: its smallest doc_id, then its first row."""
-    uid = "_simhash_row"
-    numbered = docs.withColumn(uid, F.monotonically_increasing_id())
-    found = near_duplicates(numbered, uid)
-    first = found.groupBy("root").agg(F.min_by(uid, F.struct(F.col("doc_id").isNull(), "doc_id", uid)).alias(uid))
-    return numbered.join(first.select(uid), uid, "left_semi").select(*docs.columns)
+def keep_one(docs: DataFrame, broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
+    """The rows of docs, all columns, but of each component only one: its smallest doc_id, then its first row.
+
+    Rows are told by monotonically_increasing_id, which is the same in every scan of the same files in the same splits: docs must be a scan (with or without filters) or a
+    checkpoint. The rows that go are counted; up to broadcast_rows of their numbers travel to the texts, beyond, texts meet them in a shuffle."""
+    whole, uid = F.struct(*map(plain_name, docs.columns)).alias("_doc"), F.monotonically_increasing_id().alias("_uid")
+    found = checkpoint(near_duplicates(docs.select("doc_id", "text", uid), "_uid"))
+    first = found.groupBy("root").agg(F.min_by("_uid", F.struct(F.col("doc_id").isNull(), "doc_id", "_uid")).alias("_uid"))
+    gone = checkpoint(found.select("_uid").join(first.select("_uid"), "_uid", "left_anti"))
+    few = gone.count() <= broadcast_rows
+    return docs.select(whole, uid).join(F.broadcast(gone) if few else gone, "_uid", "left_anti").select("_doc.*")
