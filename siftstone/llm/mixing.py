@@ -6,10 +6,15 @@ its shards by their size (a shard is a hash range of a source's texts), so each
 filled on its own. In a shard, documents stand in seeded hash order, and the quota takes the shard's words from the start, around
 again if it is larger than the shard: every document is taken whole 0, 1 or 2 times, but for one at the quota's end.
 
+A block of the mix is BLOCK words of a source's texts in the seeded order; quotas count blocks, and a shard's blocks are its texts' words from the
+first on. Whole documents (mixed) are taken or left at a quota's end by a seeded chance of the part that the quota covers, so that a source's words
+come out at its target on average, however few documents a shard holds.
+
 Only seats near the last one given are ranked; those surely won are counted, so the work is in proportion to sources and shards.
-Equal rows are summed before any window: a row that is repeated often is one line with a count, and no window holds a source.
+Equal rows are summed before any window: a row that is repeated often is one line with a count, and no window holds a source: shards are
+doubled until they hold SHARD_ROWS rows at most on average. Windows over all sources hold one line for each.
 Null texts and texts without words have size 0 and are never taken; a null source is a source, the last; doc_ids may repeat or be
-null; an empty table gives an empty table.
+null; texts are counted as a whole, however long; texts of equal hash and size share their place; columns beside doc_id, text and source pass through mixed, whatever their names; an empty table gives an empty table.
 """
 
 from __future__ import annotations
@@ -17,9 +22,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import checkpoint
+from .common import BROADCAST_ROWS, checkpoint, plain_name
 
 RATIO, CAP, BLOCK, SHARDS, SEED = 1.5, 2, 16, 256, 7
+#: Rows of a shard above which there are twice as many shards.
+SHARD_ROWS = 200_000
 WEIGHTS = (3, 1, 2)
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -74,6 +81,14 @@ def shard_of(shards: int) -> Column:
     return F.pmod(F.xxhash64("_hash"), F.lit(shards)).cast("int")
 
 
+def shards_for(count: int) -> int:
+    """SHARDS for each source, doubled while a source of all rows would have more than SHARD_ROWS in each."""
+    shards = SHARDS
+    while count > shards * SHARD_ROWS:
+        shards *= 2
+    return shards
+
+
 def mix_plan(rows: DataFrame, block: int = BLOCK, shards: int = SHARDS, ratio: float = RATIO, cap: int = CAP, weights: tuple[int, ...] = WEIGHTS) -> tuple[DataFrame, DataFrame]:
     """From slim rows: the sources (source, source_size, target), and of each source's shard how often every document is taken whole (_full) and where the rest of the quota ends: documents before _cut in hash order once more, that at _cut for _part words in each copy."""
     kinds = checkpoint(rows.where("size > 0").groupBy("source", "_hash", "size").agg(F.count("*").alias("_copies")).withColumn("_shard", shard_of(shards)))
@@ -98,22 +113,33 @@ def mix_plan(rows: DataFrame, block: int = BLOCK, shards: int = SHARDS, ratio: f
 
 def taken(rows: DataFrame, sources: DataFrame, ends: DataFrame, shards: int = SHARDS) -> DataFrame:
     """rows with slim's columns: adds source_size, target and taken, the words that the mix takes."""
-    e = ends.select(F.col("source").alias("_s"), F.col("_shard").alias("_c"), "_full", "_cut", "_part")
-    t = sources.select(F.col("source").alias("_t"), "source_size", "target")
+    few = lambda df: F.broadcast(df) if df.count() <= BROADCAST_ROWS // 10 else df  # noqa: E731  a line for each shard of a source: counted, else rows meet them by a shuffle
+    e = few(ends.select(F.col("source").alias("_s"), F.col("_shard").alias("_c"), "_full", "_cut", "_part"))
+    t = few(sources.select(F.col("source").alias("_t"), "source_size", "target"))
     met = rows.withColumn("_shard", shard_of(shards)).join(e, F.col("source").eqNullSafe(F.col("_s")) & (F.col("_shard") == F.col("_c")), "left").join(t, F.col("source").eqNullSafe(F.col("_t")))
     more = F.when(F.col("_hash") < F.col("_cut"), F.col("size")).when(F.col("_hash") == F.col("_cut"), F.least("size", "_part")).otherwise(0)
     return met.withColumn("taken", F.coalesce(F.col("_full") * F.col("size") + more, F.lit(0)).cast("long")).drop("_s", "_c", "_t", "_shard", "_full", "_cut", "_part")
 
 
+def planned(rows: DataFrame) -> tuple[DataFrame, DataFrame, int]:
+    shards = shards_for(rows.count())
+    return *mix_plan(rows, shards=shards), shards
+
+
 def mix_digest(docs: DataFrame) -> DataFrame:
     rows = checkpoint(slim(docs))  # texts are read once
-    return taken(rows, *mix_plan(rows)).select("doc_id", "size", "source_size", "target", "taken")
+    return taken(rows, *planned(rows)).select("doc_id", "size", "source_size", "target", "taken")
+
+
+def chance(key: str) -> Column:
+    """A number from 0 to below 1 that a row's hash gives."""
+    return F.pmod(F.xxhash64(key, F.lit(SEED)), F.lit(1 << 20)) / (1 << 20)
 
 
 def mixed(docs: DataFrame) -> DataFrame:
-    """The mixture: rows of docs, all columns, each as often as the mix takes it. Texts stay whole: a document taken in part is there if at least half of that copy is taken."""
-    numbered = docs.withColumns({"_doc": F.struct(*docs.columns), "_words": word_count("text"), "_key": F.xxhash64("doc_id", "text", F.lit(SEED))})
-    rows = numbered.select("_doc", F.col("_doc.source").alias("source"), F.col("_words").alias("size"), F.col("_key").alias("_hash"))
-    out = taken(rows, *mix_plan(slim(docs)))
-    copies = F.when(F.col("size") > 0, F.round(F.col("taken") / F.col("size"))).otherwise(0).cast("int")
-    return out.withColumn("_n", copies).where("_n > 0").select(F.explode(F.array_repeat("_doc", F.col("_n"))).alias("_doc")).select("_doc.*")
+    """The mixture: rows of docs, all columns, each as often as the mix takes it. Texts stay whole: a document that is taken in part is there by a seeded chance of that part."""
+    whole = F.struct(*map(plain_name, docs.columns)).alias("_doc")
+    rows = docs.select(whole, "source", word_count("text").alias("size"), F.xxhash64("doc_id", "text", F.lit(SEED)).alias("_hash"))
+    out = taken(rows, *planned(checkpoint(slim(docs))))
+    copies = F.when(F.col("size") > 0, F.floor(F.col("taken") / F.col("size") + chance("_hash"))).otherwise(0).cast("int")
+    return out.select("_doc", copies.alias("_n")).where("_n > 0").select(F.explode(F.array_repeat("_doc", F.col("_n"))).alias("_doc")).select("_doc.*")

@@ -477,10 +477,28 @@ def test_mix(spark):
     plain = lambda df: Counter(tuple(r) for r in df.collect())
     assert plain(mixing.mix_digest(full)) == plain(mixing.mix_digest(full)) == plain(mixing.mix_digest(docs_of(spark, rows[::-1]).repartition(5)))
     assert got["size"].sum() == sum(len(re.findall(r"[^\x20\x09-\x0D]+", t or "")) for _, t, _ in rows)
+    odd = full.withColumn("a.b", F.lit("x")).withColumn("_doc", F.lit(1)).withColumn("target", F.lit(2)).withColumn("_hash", F.lit(3))
+    assert mixing.mixed(odd).columns == odd.columns and Counter(r.doc_id for r in mixing.mixed(odd).collect()) == Counter(r.doc_id for r in mixing.mixed(full).collect())
     made = mixing.mixed(full)
     assert made.columns == full.columns and made.exceptAll(full.union(full)).isEmpty() and mixing.mixed(empty).count() == 0 and mixing.mix_digest(empty).count() == 0
 
 
+def test_few_long_documents_meet_the_target_on_average(spark):
+    """A document or two in each shard: whole documents still come out near the target."""
+    rng = random.Random(16)
+    rows = [(i, words(rng, rng.randrange(200, 400)), f"s{i % 3}") for i in range(900)]
+    docs = docs_of(spark, rows)
+    target = {round(r.target): r.source_size for r in mixing.mix_digest(docs).select("target", "source_size").distinct().collect()}
+    made = mixing.mixed(docs).groupBy("source").agg(F.sum(mixing.word_count("text")).alias("n")).collect()
+    own = {s: sum(len(t.split()) for _, t, x in rows if x == s) for s in ("s0", "s1", "s2")}
+    want = {s: next(t for t, n in target.items() if n == own[s]) for s in own}
+    assert all(abs(r.n - want[r.source]) < 0.06 * want[r.source] for r in made), (made, want)
+
+
+def test_shards_grow_with_the_table():
+    assert mixing.shards_for(0) == mixing.shards_for(256 * 200_000) == 256 and mixing.shards_for(256 * 200_000 + 1) == 512 and mixing.shards_for(10**11) * mixing.SHARD_ROWS >= 10**11
+
+
 # --- 8 ---
 
 
@@ -599,27 +617,36 @@ def signed(x):
     return x - (1 << 64) if x >> 63 else x
 
 
-def test_links_have_all_components(spark, monkeypatch):
+@pytest.mark.parametrize("dense", [simhash.DENSE, 3, 20])
+def test_links_have_all_components(spark, dense):
+    """With a small limit some or nearly all variants are hot and go through the wide step, the others don't."""
     rng = random.Random(9)
     centres = [rng.getrandbits(64) for _ in range(12)]
     fps = set()
     for c in centres:
-        for _ in range(25):
+        for _ in range(rng.choice([2, 25, 60])):
             x = c
             for _ in range(rng.randrange(0, 6)):
                 x ^= 1 << rng.randrange(64)
             fps.add(x)
     fps |= {0, 1, 7, (1 << 64) - 1}
-    for dense in (simhash.DENSE, 3):  # the second sends all shared variants to the wide step
-        source = spark.createDataFrame([(signed(x),) for x in fps], "fp long")
-        if dense == 3:
-            got = components.components(simhash.wide_links(source))
-        else:
-            got = components.components(simhash.links(source))
-        label = {r.node: r.root for r in got.collect()}
-        want = brute_components({signed(x): x for x in fps})
-        groups = lambda of: sorted(sorted(i for i in want if of(i) == r) for r in {of(i) for i in want})
-        assert groups(lambda i: label.get(i, i)) == groups(lambda i: want[i])
+    source = spark.createDataFrame([(signed(x),) for x in fps], "fp long")
+    met = simhash._stream(simhash._stream(source, "z long, fp long", simhash._emit).repartition("z").sortWithinPartitions("z", "fp"), "a long, b long", lambda batches: simhash._collide(batches, dense))
+    kinds = {r[0] for r in met.select(F.col("a") == F.col("b")).distinct().collect()}
+    assert kinds == ({False} if dense == simhash.DENSE else {False, True})
+    label = {r.node: r.root for r in components.components(simhash.links(source, dense)).collect()}
+    want = brute_components({signed(x): x for x in fps})
+    groups = lambda of: sorted(sorted(i for i in want if of(i) == r) for r in {of(i) for i in want})
+    assert groups(lambda i: label.get(i, i)) == groups(lambda i: want[i])
+
+
+def test_components_of_stars_and_paths(spark, monkeypatch):
+    from siftstone.llm import common
+
+    monkeypatch.setattr(common, "HOT_ROWS", 3)  # nearly every star is salted
+    edges = [(0, i) for i in range(1, 200)] + [(1000 + i, 1001 + i) for i in range(40)] + [(5, 5), (2000, 2001), (2001, 2000), (199, 3000)]
+    got = {r.node: r.root for r in components.components(spark.createDataFrame(edges, "a long, b long")).collect()}
+    assert got == {i: 0 for i in (*range(1, 200), 3000)} | {i: 1000 for i in range(1001, 1041)} | {2001: 2000}
 
 
 def test_stream_of_variants_over_batches():
@@ -635,11 +662,7 @@ def test_stream_of_variants_over_batches():
     for a, b in rows:
         groups.setdefault(a, []).append(b)
     for dense in (2048, 60):
-        simhash_dense, simhash.DENSE = simhash.DENSE, dense
-        try:
-            got = [p for a, b in simhash._collide(batch(i, 97) for i in range(0, len(z), 97)) for p in zip(a.tolist(), b.tolist(), strict=True)]
-        finally:
-            simhash.DENSE = simhash_dense
+        got = [p for a, b in simhash._collide((batch(i, 97) for i in range(0, len(z), 97)), dense) for p in zip(a.tolist(), b.tolist(), strict=True)]
         assert all((a ^ b).bit_count() <= 3 for a, b in got)
         hot = {a for a, b in got if a == b}
         assert hot == {x for g in groups.values() if len(g) > dense for x in g}
@@ -659,7 +682,11 @@ def test_stream_of_variants_over_batches():
                 assert {y for y in g if want[y] == want[x]} <= seen
 
 
-def test_near_duplicates(spark):
+@pytest.mark.parametrize("hot", [2, 5000])
+def test_near_duplicates(spark, monkeypatch, hot):
+    from siftstone.llm import common
+
+    monkeypatch.setattr(common, "HOT_ROWS", hot)
     rng = random.Random(10)
     long = [words(rng, 300, 5000) for _ in range(12)]
     rows = [(20 + i, t, "a") for i, t in enumerate(long)] + [(60 + i, t.upper(), "b") for i, t in enumerate(long[:5])]
@@ -672,6 +699,11 @@ def test_near_duplicates(spark):
     want = sorted(((i, f"{brute_fp(t):016x}", root[i, k][0]) for k, (i, (_, t, _)) in enumerate(zip(ids, rows, strict=True))))
     none = lambda x: 10**9 if x is None else x
     assert sorted((none(r.doc_id), r.fingerprint, none(r.component_id)) for r in got) == want
+    clashing = full.withColumn("_uid", F.lit("u")).withColumn("a.b", F.lit("x")).withColumn("_simhash_row", F.lit("own")).withColumn("root", F.lit(7))
+    for most in (0, 10**6):  # texts meet the rows that go in a shuffle, or those travel
+        kept = simhash.keep_one(clashing, most)
+        assert kept.columns == clashing.columns and {(r["_uid"], r["a.b"], r["_simhash_row"], r["root"]) for r in kept.collect()} == {("u", "x", "own", 7)}
+        assert sorted(none(r.doc_id) for r in kept.collect()) == sorted(set(w[2] for w in want))
     kept = simhash.keep_one(full)
     assert kept.columns == full.columns and sorted(none(r.doc_id) for r in kept.collect()) == sorted(set(w[2] for w in want))
     assert simhash.near_duplicate_digest(empty).count() == 0 and simhash.keep_one(empty).count() == 0

@@ -4,6 +4,7 @@ import random
 import re
 import zlib
 from collections import Counter
+from pathlib import Path
 
 import numpy as np
 import pytest
@@ -103,8 +104,14 @@ def test_pipeline_is_the_brute_one(spark, corpus):
     kept = [kept[k] for _, k in sorted(set(root.values()))]
     kept = [r for r in kept if not brute_hits(r[1], items)[1]]
     size, _, _, taken = brute_mix(kept)
-    want = [r for r, z, t in zip(kept, size, taken, strict=True) if z for _ in range(int(t / z + 0.5))]
+    chance = lambda r: spark_hash(spark_hash(r[0], r[1], ("int", mixing.SEED)), ("int", mixing.SEED)) % (1 << 20) / (1 << 20)
+    want = [r for r, z, t in zip(kept, size, taken, strict=True) if z for _ in range(int(t / z + chance(r)))]
+    from siftstone.llm.common import shared_dir
+
+    seen = lambda: {f"{x.parent.name}/{x.name}" for x in Path(shared_dir(spark).removeprefix("file:")).glob("pipeline-*/*")}
+    before = seen()
     got = corpus_pipeline.run(spark, at).toPandas()
+    assert {x.rsplit("/")[-1] for x in seen() - before} == {"sharding"}  # the stages' rows are gone
     text = lambda t: (len((t or "").encode()) + 1, zlib.crc32((t or "").encode()))
     ids = ["" if i != i else str(int(i)) for i in got["doc_id"].astype(float)]
     assert Counter(zip(ids, got["size"], got["text_crc32"], strict=True)) == Counter(("" if i is None else str(i), *text(t)) for i, t, _ in want)
