@@ -364,6 +364,65 @@ def test_trees_learn_from_labels():
     assert (again.score(np.array([model.inputs(*u) for u, _ in test])) == score).all()
 
 
+def test_gains_are_the_brute_ones(monkeypatch):
+    monkeypatch.setattr(urls, "LEAST", 3)
+    rng = np.random.default_rng(1)
+    for _ in range(20):
+        n = int(rng.integers(4, 40))
+        bins, grad, curve = rng.integers(0, 6, n), rng.normal(size=n), rng.random(n)
+        loss = lambda s: sum(g for g, _ in s) ** 2 / (sum(h for _, h in s) + 1)
+        want = []
+        for cut in range(5):
+            left, right = ([(g, h) for b, g, h in zip(bins, grad, curve, strict=True) if (b <= cut) == side] for side in (True, False))
+            want.append(loss(left) + loss(right) - loss(left + right) if min(len(left), len(right)) >= 3 else 0.0)
+        assert urls.gains(bins, grad, curve, 5) == pytest.approx(want)
+
+
+def test_verdicts_of_a_fixed_model(spark):
+    """Two trees by hand; every row's score is the sum of the leaves that it reaches."""
+    size = 2 ** (urls.DEPTH + 1) - 1
+    tree = lambda f, t, left, right: (np.array([f, *[-1] * (size - 1)]), np.array([t, *[0.0] * (size - 1)]), np.array([0.0, left, right, *[0.0] * (size - 3)]))
+    model = urls.Trees(-0.5, {(0, "com"): 0.9}, 0.2, [tree(0, 20.0, -1.0, 2.0), tree(18, 0.5, -0.25, 0.75)])  # by length, by the ending's rate
+    for url, want in {"http://a.com/x": -0.5 - 1 + 0.75, "http://a.org/a/long/path/here": -0.5 + 2 - 0.25, "": -0.5 - 1 - 0.25}.items():
+        assert model.score(np.array([model.inputs(*urls.parted(url))]))[0] == pytest.approx(want)
+    cases = ["HTTP://Ab.CÉ/x?y#z", "no scheme", "a://b://c/en/", "x://", "y://h#f/p", "z://H?q"]
+    for r in spark.createDataFrame([(u,) for u in cases], "url string").select("url", urls.host_of().alias("h"), urls.path_of().alias("p")).collect():
+        assert urls.parted(r.url) == (r.url, r.h, r.p)
+
+
+def test_a_label_does_not_enter_its_own_rate():
+    """Labels by chance and a path of each URL's own pair: without folds the rates would tell the labels."""
+    rng = random.Random(4)
+    rows = [(*urls.parted(f"http://h.org/p{i // 2}/x"), rng.randrange(2)) for i in range(1200)]
+    model = urls.fit_trees(rows)
+    fresh = [urls.parted(f"http://h.org/p{i}/x") for i in range(5000, 5400)]
+    assert np.abs(model.score(np.array([model.inputs(*u) for u in fresh]))).mean() < 1.0
+
+
+def auc(score, label):
+    order = np.argsort(np.argsort(score, kind="stable"))
+    good = order[np.array(label) == 1]
+    return (good.sum() - len(good) * (len(good) - 1) / 2) / (len(good) * (len(label) - len(good)))
+
+
+def other_urls(seed, count):
+    """Labelled URLs in forms that the generator of the training set doesn't make."""
+    r = random.Random(seed)
+    name = lambda: r.choice("harbor maple quiet stone river lamp orchard museum council bakery".split())
+    good = lambda: r.choice([f"https://{name()}{name()}.gov/reports/{r.randint(1990, 2025)}/{name()}.pdf", f"http://shop.{name()}.se/item/{r.randint(1, 9999)}", f"https://{name()}.ac.jp/~{name()}/index.htm", f"https://{name()}.wordpress.com/{r.randint(2005, 2024)}/0{r.randint(1, 9)}/{name()}-{name()}/"])
+    bad = lambda: r.choice([f"http://{name()}-best-{name()}-discount-{r.randint(10, 999)}.shop/buy-now-cheap-{name()}-online-no-prescription", f"http://{r.randint(11, 222)}.{r.randint(1, 255)}.{r.randint(1, 255)}.{r.randint(1, 255)}:8080/wp-content/{''.join(r.choice('0123456789abcdef') for _ in range(32))}.exe", f"http://{''.join(r.choice('bcdfghjklmnpqrstvwxz0123456789') for _ in range(18))}.cc/?id={r.getrandbits(64):x}&sid={r.getrandbits(64):x}&clk={r.getrandbits(32):x}", f"http://signin.{name()}-bank.verify-account{r.randint(1, 99)}.tk/update/login.php?session={r.getrandbits(80):x}"])
+    return [((bad if i % 3 == 0 else good)(), int(i % 3 == 0)) for i in range(count)]
+
+
+def test_usual_trees_tell_held_out_urls():
+    model = urls.usual_trees()
+    for name, made, least in (("another seed", urls.made_urls(77, 3000), 0.95), ("other forms", other_urls(5, 3000), 0.9)):
+        score = model.score(np.array([model.inputs(*urls.parted(u)) for u, _ in made]))
+        right = np.mean((score > 0) == [y == 1 for _, y in made])
+        print(f"URLs of {name}: AUC {auc(score, [y for _, y in made]):.4f}, right {right:.4f}")
+        assert auc(score, [y for _, y in made]) > least
+
+
 # --- 5 ---
 
 
