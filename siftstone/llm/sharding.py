@@ -2,13 +2,14 @@
 
 A record's key is (hash of its text, doc_id, row). Equal texts lie side by side: groups of up to 1 / GROUP of a shard stay whole, and
 one of any size can still be cut. A size-weighted sample of keys (the smallest exponential priorities, SAMPLE for each range) gives
-splitters at even quantiles of weight; records are range-partitioned by them, overfull ranges are subdivided by splitters drawn
-from their own records, and running sums inside the ranges place every record. A record's weight is its size plus the mean size, so
-a range is bounded in bytes and in rows. Splitters and a line for each range are all that the driver sees: RANGES and SAMPLE bound
-them.
-
-Null texts count as empty: size 1, checksum 0. Null doc_ids sort first; repeated rows are placed one by one; an empty table gives
-an empty table.
+splitters at even quantiles of weight; records are range-partitioned by them, overfull ranges and those of more than RANGE_MOST rows are
+subdivided by splitters drawn from their own records until none is left, and running sums inside the ranges place every record. A
+record's weight is its size plus the mean size, so a range is bounded in bytes and in rows. Splitters and a line for each range are
+all that the driver sees: a range for each RANGE_ROWS to RANGE_MOST rows.
+
+Null texts count as empty: size 1, checksum 0; texts are measured as a whole, however long, and a text above a shard's share is one
+record of one shard. Null doc_ids sort first; ties of the key are settled by the row's number; repeated rows are placed one by one; columns beside doc_id and text are not
+read; an empty table gives an empty table.
 """
 
 from __future__ import annotations
@@ -21,14 +22,13 @@ from pyspark.sql import functions as F
 from .common import checkpoint, ship
 
 SHARDS = 8
-#: Rows of a range aimed at, and bounds on the number of ranges.
-RANGE_ROWS, RANGES = 20_000, (64, 4096)
+#: Rows of a range aimed at; bounds on the number of ranges that the first splitters make; rows of a range above which it is subdivided.
+RANGE_ROWS, RANGES, RANGE_MOST = 20_000, (64, 4096), 400_000
 SAMPLE = 24
 #: A range of more than this many times the mean weight is subdivided.
 OVERFULL = 2.0
 #: Equal texts of up to this part of a shard aren't parted, but by a range's end.
 GROUP = 200
-ROUNDS = 4
 KEY = ("_k", "_id", "_row")
 
 
@@ -73,7 +73,7 @@ def splitters_of(keys: list[tuple[int, int, int]], parts: int) -> list[tuple[int
     return sorted({keys[len(keys) * i // parts] for i in range(1, parts)}) if keys else []
 
 
-def assign_shards(docs: DataFrame, shards: int = SHARDS, range_rows: int = RANGE_ROWS) -> DataFrame:
+def assign_shards(docs: DataFrame, shards: int = SHARDS, range_rows: int = RANGE_ROWS, most: int = RANGE_MOST) -> DataFrame:
     """For each row of docs(doc_id, text): doc_id, size, text_crc32, law, shard from 0, slot (gapless from 0 in its shard, in key order)."""
     spark = docs.sparkSession
     ship(spark)
@@ -84,22 +84,21 @@ def assign_shards(docs: DataFrame, shards: int = SHARDS, range_rows: int = RANGE
     pick = lambda found: [tuple(r[c] for c in KEY) for r in found.toLocalIterator()]  # noqa: E731  at most SAMPLE * RANGES rows
     cuts = splitters_of(pick(weighted_sample(weighed, SAMPLE * aim)), aim)
     dtype = np.dtype([(c, np.int64) for c in KEY])
-    for _ in range(ROUNDS):
+    while True:
         ranged = weighed.withColumn("_range", range_of(np.array(cuts, dtype)))
         sums = {r["_range"]: r for r in ranged.groupBy("_range").agg(F.sum("size").alias("size"), F.count("*").alias("n"), F.sum("_w").alias("w"), F.max("_w").alias("top")).toLocalIterator()}
         mean = sum(r["w"] for r in sums.values()) / max(1, len(sums))
-        full = {k: int(np.ceil(r["w"] / mean)) for k, r in sums.items() if r["w"] > OVERFULL * mean and r["n"] > 1 and r["top"] < r["w"] / 2}
-        if not full:
-            break
+        # A record that is most of its range can't be parted from itself.
+        full = {k: int(np.ceil(max(r["w"] / mean, r["n"] / most))) for k, r in sums.items() if r["n"] > most or r["w"] > OVERFULL * mean and r["n"] > 1 and r["top"] < r["w"] / 2}
         # An overfull range's sample is salted: no task sorts a whole range for it.
-        salted = ranged.where(F.col("_range").isin(list(full))).withColumn("_salt", F.pmod(F.xxhash64(*KEY), F.lit(16)))
+        salted = ranged.where(F.col("_range").isin(list(full))).withColumn("_salt", F.pmod(F.xxhash64(*KEY), F.lit(4)))
         more: dict[int, list] = {}
-        for r in weighted_sample(salted, 4 * SAMPLE, "_range", "_salt").toLocalIterator():
+        for r in weighted_sample(salted, 4 * SAMPLE, "_range", "_salt").toLocalIterator() if full else ():
             more.setdefault(r["_range"], []).append((r["_p"], tuple(r[c] for c in KEY)))
-        cuts = sorted({*cuts, *(c for k, found in more.items() for c in splitters_of([key for _, key in sorted(found)[: 4 * SAMPLE]], full[k]))})
-    else:
-        ranged = weighed.withColumn("_range", range_of(np.array(cuts, dtype)))
-        sums = {r["_range"]: r for r in ranged.groupBy("_range").agg(F.sum("size").alias("size"), F.count("*").alias("n")).toLocalIterator()}
+        new = {c for k, found in more.items() for c in splitters_of([key for _, key in sorted(found)[: 4 * SAMPLE]], full[k])} - {*cuts}
+        if not new:
+            break
+        cuts = sorted({*cuts, *new})
     before, start = {}, (0, 0)  # bytes and rows ahead of each range
     for k in sorted(sums):
         before[k] = start

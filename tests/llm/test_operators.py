@@ -440,6 +440,36 @@ def test_shards_are_even_whole_and_in_order(spark):
     assert sharding.shard_digest(empty).count() == 0
 
 
+def brute_shards(rows, shards):
+    """Where each row belongs: by its key in one list, by the middle of its group of equal texts or, if that is large, its own."""
+    size = lambda t: len((t or "").encode()) + 1
+    total = sum(size(t) for _, t, _ in rows)
+    at, out = 0, []
+    for t in sorted({t or "" for _, t, _ in rows}, key=lambda t: signed(xxhash.xxh64_intdigest(t.encode(), 42))):
+        same = sorted(i if i is not None else -(1 << 63) for i, x, _ in rows if (x or "") == t)
+        whole = size(t) * len(same)
+        for k, i in enumerate(same):
+            middle = at + whole / 2 if whole <= total // shards // sharding.GROUP else at + (k + 0.5) * size(t)
+            out.append((i, size(t), min(shards - 1, int(middle * shards / total))))
+        at += whole
+    return out
+
+
+@pytest.mark.parametrize("most", [sharding.RANGE_MOST, 9])
+def test_placement_is_the_brute_one(spark, most):
+    """One range a shard's part, and ranges that are subdivided again and again."""
+    rng = random.Random(14)
+    rows = [(i, words(rng, rng.randrange(1, 40), 9000), "a") for i in range(700)] + [(2000 + i, "one text of many rows", "b") for i in range(200)] + EDGES
+    want = brute_shards(rows, 8)
+    got = [(r.doc_id if r.doc_id is not None else -(1 << 63), r["size"], r.shard) for r in sharding.assign_shards(docs_of(spark, rows), most=most).collect()]
+    cut = lambda x: Counter((z, s) for i, z, s in x if z == len("one text of many rows") + 1)
+    assert cut(got) == cut(want)
+    # The texts' ranges cut no group here but the large one.
+    rest = lambda x: Counter(r for r in x if r[1] != len("one text of many rows") + 1)
+    assert most < 100 or rest(got) == rest(want)
+    assert sum((rest(got) - rest(want)).values()) <= 0.02 * len(rows)
+
+
 # --- 6 ---
 
 
