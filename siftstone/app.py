@@ -5,7 +5,9 @@ Everything between a file and a report is a DataFrame; only counts, one answer,
 from __future__ import annotations
 
 import argparse
+import logging
 from dataclasses import dataclass, field
+from datetime import UTC, datetime
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -63,16 +65,9 @@ def file_chunks(records: DataFrame, size: int = chunks.SIZE, overlap: int = chun
 
 
 def ingest_corpus(spark: SparkSession, base: str, collection: store.Collection, mode: str = "skip", embedder: models.Embedder | None = None, size: int = chunks.SIZE, overlap: int = chunks.OVERLAP, catalog=sources.CATALOG) -> dict:
-    """The catalog's files, one after the other; a file that fails is counted and the others go on."""
+    """The catalog's files as one version of the collection; a file that fails is counted, and the others go on."""
     _, _, records = sources.catalog_records(spark, base, catalog)
-    made = file_chunks(records.persist(), size, overlap).persist()  # parsed once, not once for each file
-    try:
-        paths = sorted(r[0] for r in made.select("source_path").distinct().collect())  # the catalog's files
-        by_file = {p: made.where(F.col("source_path") == p) for p in paths}
-        return store.ingest(collection, by_file, mode, lambda d: models.embed_rows(d, embedder or models.HashEmbedder()))
-    finally:
-        made.unpersist()
-        records.unpersist()
+    return store.ingest(collection, file_chunks(records, size, overlap), mode, lambda d: models.embed_rows(d, embedder or models.HashEmbedder()))
 
 
 def mission_or_all(mission: str | None) -> str | None:
@@ -179,6 +174,7 @@ def parser() -> argparse.ArgumentParser:
     sub = p.add_subparsers(dest="what", required=True)
     for name in ("ingest", "evaluate", "ask"):
         s = sub.add_parser(name)
+        s.add_argument("--log-file")
         s.add_argument("--store", default="./collections")
         s.add_argument("--collection-name", default="missions_text")
     s = sub.choices["ingest"]
@@ -200,6 +196,18 @@ def parser() -> argparse.ArgumentParser:
     return p
 
 
+def log_to(path: str | None) -> None:
+    """The engine's own messages, with their times, to standard error and, if path is given, to a file."""
+    logger = logging.getLogger("siftstone")
+    logger.setLevel(logging.INFO)
+    for h in [*logger.handlers]:
+        logger.removeHandler(h)
+        h.close()
+    for h in (logging.StreamHandler(), *([logging.FileHandler(path)] if path else [])):
+        h.setFormatter(logging.Formatter("%(asctime)s - %(levelname)s - %(message)s"))
+        logger.addHandler(h)
+
+
 def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> int:
     """Argument errors end with code 2 before anything starts."""
     p = parser()
@@ -211,13 +219,14 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> in
             chunks.check_sizes(a.chunk_size, a.chunk_overlap)
         except ValueError as e:
             p.error(str(e))
+    log_to(a.log_file)
     spark = spark or SparkSession.builder.appName("siftstone").getOrCreate()
     held = store.Collection(spark, a.store, a.collection_name, create=a.what == "ingest")
     if a.what == "ask":
         print(Chat(held, k=a.top_k, mission=a.mission).ask(a.question))
     elif a.what == "evaluate":
         results = evaluate_batch(sources.questions(spark, a.dataset), held, a.top_k).cache()
-        report = batch_report(results, {"dataset": a.dataset, "collection_name": a.collection_name, "top_k": a.top_k})
+        report = batch_report(results, {"dataset": a.dataset, "collection_name": a.collection_name, "top_k": a.top_k, "run_at": datetime.now(UTC).isoformat(timespec="seconds")})
         at = reports.write_report(report, a.output)
         print("\n".join([*reports.report_lines(report, METRICS), at]))
     elif a.delete_source:

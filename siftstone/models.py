@@ -57,6 +57,20 @@ class ExtractiveGenerator:
         return f"{best[1]} [DOCUMENT {-best[2]}]" if best[0] else "The retrieved documents do not answer this."
 
 
+def reasoning_effort(model: str) -> str | None:
+    """The least effort that a hosted model's family takes, by its name; None where that isn't known."""
+    name = model.casefold()
+    return "low" if name.startswith("gpt-5.") else "minimal" if name == "gpt-5" or name.startswith("gpt-5-") else None
+
+
+def request_arguments(model: str, arguments: dict, most_tokens: int) -> dict:
+    """Arguments as the model's family takes them: dotted versions of the fifth know no max_tokens and no top_p, and want temperature 1."""
+    if not model.casefold().startswith("gpt-5."):
+        return dict(arguments)
+    own = {k: v for k, v in arguments.items() if k not in ("max_tokens", "top_p")}
+    return own | {"temperature": 1.0, "max_completion_tokens": most_tokens, "reasoning_effort": reasoning_effort(model)}
+
+
 class OverlapJudge:
     """A claim (sentence) is supported if most of its words are in one of the texts."""
 

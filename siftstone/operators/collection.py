@@ -26,11 +26,11 @@ def upsert(stored: DataFrame, incoming: DataFrame, mode: str, key: str = "id", s
     return kept.select(*stored.columns).unionByName(incoming.select(*stored.columns))
 
 
-def upsert_counts(stored: DataFrame, incoming: DataFrame, mode: str, key: str = "id") -> DataFrame:
-    """One row: added, updated, skipped."""
-    seen = incoming.join(stored.select(key).withColumn("_seen", F.lit(True)), key, "left").agg(F.count_if(F.col("_seen").isNull()).alias("added"), F.count_if(F.col("_seen").isNotNull()).alias("_old"))
+def upsert_counts(stored: DataFrame, incoming: DataFrame, mode: str, key: str = "id", by: tuple[str, ...] = ()) -> DataFrame:
+    """One row, or one for each value of by: added, updated, skipped."""
+    seen = incoming.join(stored.select(key).withColumn("_seen", F.lit(True)), key, "left").groupBy(*by).agg(F.count_if(F.col("_seen").isNull()).alias("added"), F.count_if(F.col("_seen").isNotNull()).alias("_old"))
     none = F.lit(0).cast("long")
-    return seen.select("added", (none if mode == "skip" else F.col("_old")).alias("updated"), (F.col("_old") if mode == "skip" else none).alias("skipped"))
+    return seen.select(*by, "added", (none if mode == "skip" else F.col("_old")).alias("updated"), (F.col("_old") if mode == "skip" else none).alias("skipped"))
 
 
 def without_source(stored: DataFrame, part: str, source: str = "source") -> DataFrame:

@@ -1,13 +1,18 @@
 """A keyed vector collection as Parquet snapshots: a write makes a new snapshot and then moves the pointer, so a reader sees the old state or the new one, never half.
 
-Layout: <root>/<name>/v=<n> holds a snapshot partitioned by mission, <root>/<name>/current/<n> is an empty marker; the largest marker counts. All access goes
-through Hadoop's file system, so root may be anywhere that Spark can write."""
+Layout: <root>/<name>/data/<id> holds a snapshot partitioned by mission, <root>/<name>/current/<n> is a marker that names one; the largest marker counts. A
+marker is made once: of two writers that started from the same version one makes the next marker, and the other builds its state again from
+that. Snapshots that no reader should still need go with vacuum(). All access goes through Hadoop's file system, so root may be anywhere that Spark can write."""
 
 from __future__ import annotations
 
+import logging
+import uuid
 from collections.abc import Callable
+from typing import Any
 
-from pyspark.sql import DataFrame, SparkSession
+from py4j.protocol import Py4JJavaError
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text as X
@@ -20,6 +25,16 @@ SCHEMA = (
 )
 
 
+log = logging.getLogger(__name__)
+
+#: Times that a writer builds its state before it gives up; files whose failure is told one by one.
+ATTEMPTS, FAILURES = 20, 1000
+
+
+class Lost(RuntimeError):
+    """Another writer has made the next version."""
+
+
 class Collection:
     def __init__(self, spark: SparkSession, root: str, name: str, create: bool = True):
         if not name.strip():
@@ -31,20 +46,67 @@ class Collection:
         if self.version() is None:
             if not create:
                 raise FileNotFoundError(f"no collection {name}")
-            self._commit(spark.createDataFrame([], SCHEMA))
+            try:
+                self._commit(0, spark.createDataFrame([], SCHEMA))
+            except Lost:
+                pass  # another one has just made it
 
     def version(self) -> int | None:
-        marks = self._path(f"{self.at}/current")
-        found = [int(s.getPath().getName()) for s in self._fs.listStatus(marks)] if self._fs.exists(marks) else []
-        return max(found, default=None)
+        return max(self._markers(), default=None)
 
-    def _commit(self, rows: DataFrame) -> None:
-        n = (self.version() or 0) + 1
-        rows.write.mode("overwrite").partitionBy("mission").parquet(f"{self.at}/v={n}")
-        self._fs.create(self._path(f"{self.at}/current/{n}"), True).close()
+    def _markers(self) -> list[int]:
+        at = self._path(f"{self.at}/current")
+        # An empty marker is one that its writer hasn't finished.
+        return sorted(int(s.getPath().getName()) for s in self._fs.listStatus(at) if s.getLen() > 0 and s.getPath().getName().isdigit()) if self._fs.exists(at) else []
 
-    def rows(self) -> DataFrame:
-        return self.spark.read.schema(SCHEMA).parquet(f"{self.at}/v={self.version()}")
+    def _folder(self, version: int) -> str:
+        stream = self._fs.open(self._path(f"{self.at}/current/{version}"))
+        try:
+            return f"{self.at}/data/{self.spark.sparkContext._jvm.org.apache.commons.io.IOUtils.toString(stream, 'UTF-8')}"
+        finally:
+            stream.close()
+
+    def _commit(self, base: int, rows: DataFrame) -> None:
+        """The state after version base; Lost if there is another one already."""
+        name = uuid.uuid4().hex
+        rows.write.partitionBy("mission").parquet(f"{self.at}/data/{name}")
+        try:
+            marker = self._fs.create(self._path(f"{self.at}/current/{base + 1}"), False)
+        except Py4JJavaError as e:
+            self._fs.delete(self._path(f"{self.at}/data/{name}"), True)
+            if "AlreadyExists" in e.java_exception.getClass().getName():
+                raise Lost from e
+            raise
+        marker.write(name.encode())
+        marker.close()
+
+    def _change(self, step: Callable[[DataFrame], tuple[DataFrame | None, Any]]) -> Any:
+        """step gives the next state (None: no change) and what to tell of it, from the stored rows; again, if another writer was faster."""
+        for _ in range(ATTEMPTS):
+            base = self.version() or 0
+            rows, told = step(self.rows(base))
+            if rows is None:
+                return told
+            try:
+                self._commit(base, rows)
+                return told
+            except Lost:
+                continue
+        raise Lost(f"{ATTEMPTS} times another writer was faster")
+
+    def vacuum(self, keep: int = 2) -> int:
+        """Removes snapshots but for the last keep versions, and those that no marker names (of writers that failed or are still at work: run it when none is); returns how many."""
+        marks = self._markers()
+        held = {self._folder(v).rsplit("/", 1)[-1] for v in marks[-max(1, keep) :]}
+        gone = [s.getPath() for s in self._fs.listStatus(self._path(f"{self.at}/data")) if s.getPath().getName() not in held]
+        for path in gone:
+            self._fs.delete(path, True)
+        for v in marks[: -max(1, keep)]:
+            self._fs.delete(self._path(f"{self.at}/current/{v}"), False)
+        return len(gone)
+
+    def rows(self, version: int | None = None) -> DataFrame:
+        return self.spark.read.schema(SCHEMA).parquet(self._folder(self.version() if version is None else version))
 
     def count(self) -> int:
         return self.rows().count()
@@ -59,19 +121,27 @@ class Collection:
     def write(self, incoming: DataFrame, mode: str = "skip") -> dict[str, int]:
         """Checks everything, then makes the next state. Counts: added, updated, skipped."""
         prepared = prepare(incoming)
-        stored = self.rows()
         if mode == "replace" and prepared.select("mission", "filepath").distinct().count() > 1:
             raise ValueError("replace takes one file at a time")
-        counts = C.upsert_counts(stored, prepared, mode).first().asDict()
-        self._commit(C.upsert(stored, prepared, mode))
-        return counts
+        told = self.write_files(prepared, mode)
+        return {k: sum(own[k] for own in told.values()) for k in ("added", "updated", "skipped")}
+
+    def write_files(self, prepared: DataFrame, mode: str) -> dict[str, dict[str, int]]:
+        """Rows of any number of files, prepared, as one version; counts for each mission. In replace mode each file replaces its own rows."""
+
+        def step(stored: DataFrame) -> tuple[DataFrame, dict]:
+            counts = C.upsert_counts(stored, prepared, mode, by=("mission",)).collect()  # a line for each mission
+            return C.upsert(stored, prepared, mode), {r["mission"]: {k: r[k] for k in ("added", "updated", "skipped")} for r in counts}
+
+        return self._change(step)
 
     def delete_source(self, part: str) -> int:
-        kept = C.without_source(self.rows(), part)
-        gone = self.count() - kept.count()
-        if gone:
-            self._commit(kept)
-        return gone
+        def step(stored: DataFrame) -> tuple[DataFrame | None, int]:
+            kept = C.without_source(stored, part)
+            gone = stored.count() - kept.count()
+            return kept if gone else None, gone
+
+        return self._change(step)
 
     def stats(self) -> DataFrame:
         rows = self.rows()
@@ -80,21 +150,35 @@ class Collection:
         return facets.unionByName(totals)
 
 
-def prepare(incoming: DataFrame) -> DataFrame:
-    """incoming(document, mission or collection, source, ..., chunk_index) with canonical mission, source, filepath and id; ValueError with counts if any row can't be stored."""
+def keyed(incoming: DataFrame) -> DataFrame:
+    """incoming(document, mission or collection, source, ..., chunk_index) with canonical mission, source, filepath and id."""
     have = set(incoming.columns)
     pick = lambda *cs: X.first_filled(*(c for c in cs if c in have)) if any(c in have for c in cs) else F.lit(None).cast("string")
     from ..operators.chunks import chunk_id
 
     named = incoming.withColumns({"mission": X.mission_key(pick("collection", "mission")), "source": pick("source", "doc_id", "source_file"), "filepath": pick("source_path", "filepath")})
-    keyed = named.withColumn("id", chunk_id("mission", "source", "chunk_index"))
-    bad = {r["check"]: r["n"] for r in violations(keyed, {"mission": F.col("mission").isNull(), "source": blank("source"), "filepath": blank("filepath"), "document": blank("document"), "id": F.col("id").isNull()}).collect() if r["n"]}
-    if twice := duplicates(keyed, "id").count():
+    return named.withColumn("id", chunk_id("mission", "source", "chunk_index"))
+
+
+def checks() -> dict[str, Column]:
+    """What a keyed row that can't be stored breaks."""
+    return {"mission": F.col("mission").isNull(), "source": blank("source"), "filepath": blank("filepath"), "document": blank("document"), "id": F.col("id").isNull()}
+
+
+def stored_columns(rows: DataFrame) -> DataFrame:
+    wanted = [f.strip().split(" ", 1) for f in SCHEMA.split(", ")]
+    return rows.select(*((F.col(n) if n in rows.columns else F.lit(None)).cast(t).alias(n) for n, t in wanted))
+
+
+def prepare(incoming: DataFrame) -> DataFrame:
+    """Keyed rows with the stored columns; ValueError with counts if any row can't be stored."""
+    rows = keyed(incoming)
+    bad = {r["check"]: r["n"] for r in violations(rows, checks()).collect() if r["n"]}
+    if twice := duplicates(rows, "id").count():
         bad["repeated ids"] = twice
     if bad:
         raise ValueError(f"rows that can't be stored: {bad}")
-    wanted = [f.strip().split(" ", 1) for f in SCHEMA.split(", ")]
-    return keyed.select(*((F.col(n) if n in keyed.columns else F.lit(None)).cast(t).alias(n) for n, t in wanted))
+    return stored_columns(rows)
 
 
 def discover(spark: SparkSession, root: str) -> dict[str, str]:
@@ -110,23 +194,66 @@ def discover(spark: SparkSession, root: str) -> dict[str, str]:
     return out
 
 
-def ingest(collection: Collection, files: dict[str, DataFrame], mode: str, embed: Callable[[DataFrame], DataFrame]) -> dict:
-    """Chunks of each file in turn; a file that fails is counted and the others go on. Missions are counted under their canonical key."""
-    out: dict = {"files_processed": 0, "documents_added": 0, "documents_updated": 0, "documents_skipped": 0, "errors": 0, "missions": {}}
-    for chunks in files.values():
+def broken_files(rows: DataFrame) -> DataFrame:
+    """(filepath, why) of keyed rows: the files that hold rows that can't be stored, or ids that other rows have too."""
+    twice = duplicates(rows.where("id is not null"), "id").select("id", F.lit(True).alias("_twice"))
+    told = {**checks(), "repeated ids": F.col("_twice").isNotNull()}
+    counts = rows.join(twice, "id", "left").groupBy("filepath").agg(*(F.count_if(F.coalesce(c, F.lit(False))).alias(f"_n{i}") for i, c in enumerate(told.values())))
+    broken = [F.when(F.col(f"_n{i}") > 0, F.concat(F.lit(f"{k}: "), F.col(f"_n{i}").cast("string"))) for i, k in enumerate(told)]
+    why = F.concat(F.lit("ValueError: rows that can't be stored: "), F.concat_ws(", ", *broken))
+    return counts.where(F.coalesce(*broken).isNotNull()).select("filepath", why.alias("why"))
+
+
+def ingest(collection: Collection, chunks: DataFrame, mode: str, embed: Callable[[DataFrame], DataFrame]) -> dict:
+    """Chunks of any number of files, told by their paths, as one version of the collection. A file with rows that can't be stored is counted and told with the reason, and the
+    others go on; where embedding fails, files are written one by one, so that a file's failure is its own. Missions are counted under their canonical key."""
+    rows = keyed(chunks).persist()
+    try:
+        bad = broken_files(rows).persist()
+        good = rows.join(bad.select(F.col("filepath").alias("_bad")), F.col("filepath").eqNullSafe(F.col("_bad")), "left_anti")
+        out: dict = {"files_processed": 0, "documents_added": 0, "documents_updated": 0, "documents_skipped": 0, "errors": bad.count(), "missions": {}, "failures": []}
+        out["failures"] = [(r["filepath"], r["why"]) for r in bad.orderBy("filepath").limit(FAILURES).collect()]
+        files = good.groupBy("mission").agg(F.count_distinct("filepath").alias("files"), F.count("*").alias("chunks")).collect()  # a line for each mission
+        if files:
+            try:
+                counts = collection.write_files(stored_columns(embed(good)), mode)
+            except Lost:
+                raise
+            except Exception as e:  # noqa: BLE001  of some file's text; which one is found by writing them alone
+                log.warning("one write for all files failed, files are written one by one: %s", e)
+                return _one_by_one(collection, good, mode, embed, out)
+            for r in files:
+                own = counts.get(r["mission"], {"added": 0, "updated": 0, "skipped": 0})
+                out["missions"][r["mission"]] = {"files": r["files"], "chunks": r["chunks"], **own}
+                out["files_processed"] += r["files"]
+                for k, v in own.items():
+                    out[f"documents_{k}"] += v
+        return _told(out)
+    finally:
+        rows.unpersist()
+
+
+def _one_by_one(collection: Collection, good: DataFrame, mode: str, embed: Callable[[DataFrame], DataFrame], out: dict) -> dict:
+    for r in good.groupBy("filepath", "mission").agg(F.count("*").alias("n")).orderBy("filepath").toLocalIterator():
+        own = out["missions"].setdefault(r["mission"], {"files": 0, "chunks": 0, "added": 0, "updated": 0, "skipped": 0})
         try:
-            n = chunks.count()
-            if not n:
-                continue
-            counts = collection.write(embed(chunks), mode)
-            mission = chunks.select(X.mission_key(F.first("mission"))).first()[0]
-            own = out["missions"].setdefault(mission, {"files": 0, "chunks": 0, "added": 0, "updated": 0, "skipped": 0})
-            own["files"] += 1
-            own["chunks"] += n
-            for k, v in counts.items():
-                own[k] += v
-                out[f"documents_{k}"] += v
-            out["files_processed"] += 1
-        except Exception:  # noqa: BLE001  one file's failure is its own
+            counts = collection.write_files(stored_columns(embed(good.where(F.col("filepath") == r["filepath"]))), mode)[r["mission"]]
+        except Exception as e:  # noqa: BLE001  one file's failure is its own
             out["errors"] += 1
+            out["failures"] += [(r["filepath"], f"{type(e).__name__}: {str(e).splitlines()[0] if str(e) else ''}")][: max(0, FAILURES - len(out["failures"]))]
+            continue
+        out["files_processed"] += 1
+        own["files"] += 1
+        own["chunks"] += r["n"]
+        for k, v in counts.items():
+            own[k] += v
+            out[f"documents_{k}"] += v
+    out["missions"] = {k: v for k, v in out["missions"].items() if v["files"]}
+    return _told(out)
+
+
+def _told(out: dict) -> dict:
+    for path, why in out["failures"]:
+        log.warning("%s was not stored: %s", path, why)
+    log.info("%d files, %d chunks added, %d updated, %d skipped, %d failed", out["files_processed"], out["documents_added"], out["documents_updated"], out["documents_skipped"], out["errors"])
     return out

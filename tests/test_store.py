@@ -45,10 +45,61 @@ def test_store_modes(spark, tmp_path):
 
 def test_ingest_isolates_files(spark, tmp_path):
     c = store.Collection(spark, str(tmp_path), "c")
-    good, bad = chunk(spark, ("t", "STS-51L", "a", "/a", "report", 0)), chunk(spark, ("t", "Nowhere", "b", "/b", "report", 0))
-    out = store.ingest(c, {"a": good, "b": bad, "empty": good.limit(0)}, "skip", lambda d: models.embed_rows(d, models.HashEmbedder(8)))
-    assert (out["files_processed"], out["documents_added"], out["errors"], list(out["missions"])) == (1, 1, 1, ["challenger"])
+    good, bad = ("t", "STS-51L", "a", "/a", "report", 0), ("t", "Nowhere", "b", "/b", "report", 0)
+    twice = [("t", "Apollo 11", "d", p, "report", 0) for p in ("/d", "/e")]
+    out = store.ingest(c, chunk(spark, good, bad, *twice), "skip", lambda d: models.embed_rows(d, models.HashEmbedder(8)))
+    assert (out["files_processed"], out["documents_added"], out["errors"], list(out["missions"])) == (1, 1, 3, ["challenger"])
+    assert {p: why.split(": ", 2)[2] for p, why in out["failures"]} == {"/b": "mission: 1, id: 1", "/d": "repeated ids: 1", "/e": "repeated ids: 1"}
     assert c.rows().select(F.size("embedding")).first()[0] == 8
+    assert store.ingest(c, chunk(spark, good).limit(0), "skip", lambda d: d)["files_processed"] == 0
+
+
+def test_many_files_are_one_version(spark, tmp_path, caplog):
+    c = store.Collection(spark, str(tmp_path), "c")
+    rows = [(f"text {i}", "Apollo 11" if i % 2 else "STS-51L", f"f{i}", f"/f{i}", "report", 0) for i in range(50)]
+    plain = lambda d: d
+    out = store.ingest(c, chunk(spark, *rows), "skip", plain)
+    assert c.version() == 2 and out["files_processed"] == 50 and out["missions"]["apollo11"] == {"files": 25, "chunks": 25, "added": 25, "updated": 0, "skipped": 0}
+    out = store.ingest(c, chunk(spark, *[(f"new {r[0]}", *r[1:3], r[3], r[4], 1) for r in rows]), "replace", plain)
+    assert c.version() == 3 and c.count() == 50 and c.rows().where("document like 'new %'").count() == 50  # each file replaces its own rows
+    assert c.vacuum(1) == 2 and c.version() == 3 and c.count() == 50 and len(list((tmp_path / "c" / "data").iterdir())) == 1
+
+    class Choosy(models.HashEmbedder):
+        def embed(self, texts):
+            if any("text 7" in t for t in texts):
+                raise KeyError("no vector")
+            return super().embed(texts)
+
+    with caplog.at_level("WARNING"):
+        out = store.ingest(c, chunk(spark, *rows[6:9]), "update", lambda d: models.embed_rows(d, Choosy(4)))
+    assert (out["files_processed"], out["errors"], [p for p, _ in out["failures"]]) == (2, 1, ["/f7"]) and "KeyError" in out["failures"][0][1] + caplog.text
+
+
+def test_two_writers_lose_nothing(spark, tmp_path):
+    a, b = store.Collection(spark, str(tmp_path), "c"), store.Collection(spark, str(tmp_path), "c")
+    rows = [(f"text {i}", "Apollo 11", f"f{i}", f"/f{i}", "report", 0) for i in range(3)]
+    commit, raced = a._commit, []
+
+    def late(base, state):
+        """The other one commits between a's reading and a's commit."""
+        if not raced:
+            raced.append(b.write(chunk(spark, rows[1])))
+        commit(base, state)
+
+    a._commit = late
+    assert a.write(chunk(spark, rows[0])) == {"added": 1, "updated": 0, "skipped": 0} and raced
+    assert sorted(r.document for r in b.rows().collect()) == ["text 0", "text 1"] and b.version() == 3
+    a._commit = lambda base, state: commit(0, state)  # always too late
+    with pytest.raises(store.Lost):
+        a.write(chunk(spark, rows[2]))
+    assert b.count() == 2
+
+
+def test_model_arguments():
+    assert [models.reasoning_effort(m) for m in ("GPT-5.4-mini", "gpt-5", "gpt-5-nano", "gpt-4o", "gpt-50")] == ["low", "minimal", "minimal", None, None]
+    given = {"max_tokens": 9, "top_p": 0.1, "seed": 1}
+    assert models.request_arguments("gpt-4o", given, 50) == given
+    assert models.request_arguments("gpt-5.4", given, 50) == {"seed": 1, "temperature": 1.0, "max_completion_tokens": 50, "reasoning_effort": "low"}
 
 
 def test_chunk_sizes(spark):
