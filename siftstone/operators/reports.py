@@ -457,6 +457,6 @@ def report_records(files: DataFrame, options: Options | None = None) -> DataFram
         for b in batches:
             for path, text in zip(b["path"], b["value"], strict=True):
                 rows = parse_report(path, text or "", o)
-                yield pd.DataFrame({"id": [r["id"] for r in rows], "document": [r["document"] for r in rows], "metadata": [{f: r["metadata"].get(f) for f in fields} for r in rows]})
+                yield pd.DataFrame({"id": [r["id"] for r in rows], "document": [r["document"] for r in rows], "metadata": [{f: r["metadata"].get(f) for f in fields} for r in rows]}, dtype=object)  # of a file without records, too
 
     return files.select("path", "value").mapInPandas(run, RECORD)

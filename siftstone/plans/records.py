@@ -6,7 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import text as X
-from ..operators import context, files, reports, transcripts, validate
+from ..operators import context, files, transcripts, validate
 from .base import collapse, strip, table
 
 
@@ -121,15 +121,6 @@ def parsed_transcripts(spark, sf_dir):
     return m.select(F.col("source_path").alias("path"), "utterance_index", "timestamp", "timestamp_sec", "speaker_id", F.col("source_line_start").cast("int").alias("line_start"), F.col("source_line_end").cast("int").alias("line_end"), F.md5("document").alias("document_md5"))
 
 
-def parsed_reports(spark, sf_dir):
-    """Documents as pages of the report that their source's volume is."""
-    page = F.concat(F.lit("--- PAGE "), F.col("doc_id").cast("string"), F.lit(" ---\nSECTION "), (F.col("doc_id") % 9 + 1).cast("string"), F.lit(" - "), F.upper("lang"), F.lit("\n"), F.col("text"))
-    parts = F.transform(F.array_sort(F.collect_list(F.struct("doc_id", page.alias("t")))), lambda x: x.t)
-    whole = _docs(spark, sf_dir).groupBy("source", _volume().alias("v")).agg(F.array_join(parts, "\n").alias("value")).select(F.concat(F.lit("memory://"), "source", F.lit("_"), "v", F.lit(".txt")).alias("path"), "value")
-    m = reports.report_records(whole, reports.Options(start_page=0, mission="Apollo 11", collection="apollo11"))
-    return m.select("id", "metadata.section_path", "metadata.page_start", "metadata.page_end", F.md5("document").alias("document_md5"))
-
-
 def forward_fill(spark, sf_dir):
     """Each event with the user's latest purchase before it or at it."""
     by = Window.partitionBy("user_id").orderBy("ts", "event_id").rowsBetween(Window.unboundedPreceding, 0)
@@ -192,7 +183,6 @@ QUERIES = {
     "question_coverage": (coverage, "SELECT coalesce(l.doc_id, d.doc_id) AS doc_id, l.doc_id IS NULL AS without_label FROM labels l FULL OUTER JOIN documents d ON l.doc_id = d.doc_id WHERE l.doc_id IS NULL OR d.doc_id IS NULL"),
     "speaker_islands": (speaker_islands, _SPOKEN),
     "transcript_records": (parsed_transcripts, _SPOKEN),
-    "report_records": (parsed_reports, None),
     "forward_fill_state": (forward_fill, "SELECT event_id, user_id, last_value(CASE WHEN event_type = 'purchase' THEN event_id END IGNORE NULLS) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS latest FROM events"),
     "dense_utterance_index": (dense_index, f"SELECT conv_id, turn, i::INT AS utterance_index, 'conv_' || conv_id || '_utt_' || lpad(i::VARCHAR, 6, '0') AS id FROM (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS i FROM conversations WHERE role IN ('user', 'assistant') AND {strip('text')} <> '')"),
 }

@@ -144,6 +144,17 @@ _TOKENS = f"""WITH t AS (SELECT doc_id, lang, source, {strip('text')} AS s FROM
 c AS (SELECT *, CASE WHEN n <= 500 THEN 1 ELSE ceil((n - 100) / 400.0)::INT END AS total FROM w),
 x AS (SELECT *, unnest(range(total)) AS i FROM c), y AS (SELECT *, CASE WHEN total = 1 THEN s ELSE array_to_string(k[i * 400 + 1 : i * 400 + 500], ' ') END AS chunk, len(k[i * 400 + 1 : i * 400 + 500]) AS m FROM x)
 """
+#: Pieces end at a space and count their words. A chunk takes pieces while it has at most 500; the next looks back over at most 100, and less if its first piece needs the room.
+_PACKED = f"""WITH RECURSIVE t AS (SELECT row_number() OVER () AS r, doc_id, {strip('text')} AS s FROM documents), w AS (SELECT *, len(regexp_extract_all(s, '\\S+')) AS n, string_split(s, ' ') AS p FROM t WHERE s <> ''),
+q AS (SELECT r, list_transform(p, lambda x, i: CASE WHEN i < len(p) THEN x || ' ' ELSE x END) AS p, list_transform(p, lambda x: len(regexp_extract_all(x, '\\S+'))) AS c FROM w WHERE n > 500),
+u AS (SELECT r, p, c, list_transform(range(len(c) + 1), lambda i: coalesce(list_sum(c[1:i]), 0)::BIGINT) AS m FROM q),
+g AS (SELECT r, 0 AS k, 0::BIGINT AS a, len(list_filter(m, lambda v: v <= 500)) - 1 AS e FROM u
+  UNION ALL SELECT r, k, a, len(list_filter(m, lambda v: v <= m[a + 1] + 500)) - 1 FROM (
+    SELECT g.r, g.k + 1 AS k, u.m, len(list_filter(u.m, lambda v: v < greatest(u.m[g.e + 1] - 100, u.m[g.e + 2] - 500))) AS a FROM g JOIN u USING (r) WHERE g.e < len(u.p))),
+x AS (SELECT r, k, array_to_string(p[a + 1 : e], '') AS chunk FROM g JOIN u USING (r)),
+y AS (SELECT r, row_number() OVER (PARTITION BY r ORDER BY k) - 1 AS i, count(*) OVER (PARTITION BY r) AS total, chunk FROM x WHERE {strip('chunk')} <> ''
+  UNION ALL SELECT r, 0, 1, s FROM w WHERE n <= 500)
+SELECT doc_id, i::INT AS chunk_index, total::INT AS total_chunks, len(regexp_extract_all(chunk, '\\S+'))::INT AS token_count, md5(chunk) AS chunk_md5 FROM y JOIN t USING (r)"""
 _HTML = collapse(
     r"regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(html, '(?s)<!--.*?-->', ' ', 'g'), '(?si)<(script|style)\b.*?</(script|style)>', ' ', 'g'), '(?s)<[^>]*>', ' ', 'g'), '&nbsp;', ' ', 'g'), '&lt;', '<', 'g'), '&gt;', '>', 'g'), '&amp;', '&', 'g')"
 )
@@ -206,5 +217,5 @@ QUERIES = {
     "chunk_fixed_stride": (stride, _TOKENS + "SELECT doc_id, i::INT AS chunk_index, total AS total_chunks, m::INT AS token_count, md5(chunk) AS chunk_md5 FROM y"),
     "chunk_audit": (audit, _TOKENS + "SELECT lang, source, count(*) AS chunks, count(DISTINCT doc_id) AS files, max(m)::INT AS most_tokens FROM y GROUP BY lang, source"),
     "chunk_ids": (ids, _TOKENS + "SELECT doc_id, i::INT AS chunk_index, regexp_replace(lower(source), '[^a-z0-9]+', '_', 'g') || '::doc_' || doc_id || '_v1::chunk_' || lpad(i::VARCHAR, 4, '0') AS id FROM y"),
-    "chunk_packed": (packed, None),
+    "chunk_packed": (packed, _PACKED),
 }

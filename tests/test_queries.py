@@ -47,6 +47,6 @@ def test_entry_and_keys(spark):
     assert entry.entry(spark).count() > 0
 
 
-@pytest.mark.parametrize("name", ["chunk_packed", "report_records", "rag_evaluation"])
+@pytest.mark.parametrize("name", ["rag_evaluation"])
 def test_queries_without_sql_give_rows(spark, name):
     assert entry.queries()[name](spark, SF).count() > 0
