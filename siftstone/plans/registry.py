@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import parsers, records, search, state, talks, text
+from . import parsers, records, search, state, stores, talks, text
 
-_ALL = search.QUERIES | text.QUERIES | records.QUERIES | state.QUERIES | parsers.QUERIES | talks.QUERIES
+_ALL = search.QUERIES | text.QUERIES | records.QUERIES | state.QUERIES | parsers.QUERIES | talks.QUERIES | stores.QUERIES
 
 
 def flagship(spark, sf_dir):

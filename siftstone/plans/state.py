@@ -34,13 +34,18 @@ def existing_and_new(spark, sf_dir):
     return old.select("id", F.lit("existing").alias("kind")).unionByName(new.select("id", F.lit("new").alias("kind"))).unionByName(stale.select("id", F.lit("stale").alias("kind")))
 
 
+def _stored(spark, sf_dir):
+    """All documents as stored rows."""
+    return table(spark, sf_dir, "documents").select(F.expr(_ID).alias("id"), F.col("lang").alias("mission"), F.col("source").alias("filepath"), F.col("n_chars").cast("long").alias("n"))
+
+
 def delete_source(spark, sf_dir):
-    return collection.without_source(_sides(spark, sf_dir)[0], "src1", "filepath")
+    return collection.without_source(_stored(spark, sf_dir), "src1", "filepath")
 
 
 def file_rows(spark, sf_dir):
     """Stored rows of the one file (mission and path); both filters reach the scan."""
-    return _sides(spark, sf_dir)[0].where("mission = 'en' AND filepath = 'src3'")
+    return _stored(spark, sf_dir).where("mission = 'en' AND filepath = 'src3'")
 
 
 def stats(spark, sf_dir):
@@ -80,6 +85,7 @@ def rag(spark, sf_dir):
 _SIDES = """WITH s AS (SELECT source || '::' || lpad(doc_id::VARCHAR, 5, '0') AS id, lang AS mission, source AS filepath, n_chars AS n FROM documents WHERE doc_id % 2 = 0 OR doc_id % 3 = 0),
 i AS (SELECT source || '::' || lpad(doc_id::VARCHAR, 5, '0') AS id, lang AS mission, source AS filepath, n_chars + 1 AS n FROM documents WHERE doc_id % 2 = 1 OR doc_id % 5 = 0)
 """
+_STORED = "WITH s AS (SELECT source || '::' || lpad(doc_id::VARCHAR, 5, '0') AS id, lang AS mission, source AS filepath, n_chars AS n FROM documents) "
 _COUNT = "(SELECT count(*) FROM i WHERE id {} IN (SELECT id FROM s))"
 
 QUERIES = {
@@ -88,8 +94,8 @@ QUERIES = {
     "upsert_replace": (upsert("replace"), _SIDES + "SELECT * FROM s WHERE id NOT IN (SELECT id FROM i) AND NOT EXISTS (SELECT 1 FROM i WHERE i.mission = s.mission AND i.filepath = s.filepath) UNION ALL SELECT * FROM i"),
     "upsert_counts": (counts, _SIDES + f"SELECT {_COUNT.format('NOT')} AS added, CASE WHEN mode = 'skip' THEN 0 ELSE {_COUNT.format('')} END AS updated, CASE WHEN mode = 'skip' THEN {_COUNT.format('')} ELSE 0 END AS skipped, mode FROM (VALUES ('skip'), ('update'), ('replace')) m(mode)"),
     "existing_vs_new": (existing_and_new, _SIDES + "SELECT id, 'existing' AS kind FROM i WHERE id IN (SELECT id FROM s) UNION ALL SELECT id, 'new' FROM i WHERE id NOT IN (SELECT id FROM s) UNION ALL SELECT id, 'stale' FROM s WHERE id NOT IN (SELECT id FROM i)"),
-    "delete_by_source": (delete_source, _SIDES + "SELECT * FROM s WHERE NOT contains(filepath, 'src1')"),
-    "file_rows": (file_rows, _SIDES + "SELECT * FROM s WHERE mission = 'en' AND filepath = 'src3'"),
+    "delete_by_source": (delete_source, _STORED + "SELECT * FROM s WHERE NOT contains(filepath, 'src1')"),
+    "file_rows": (file_rows, _STORED + "SELECT * FROM s WHERE mission = 'en' AND filepath = 'src3'"),
     "collection_stats": (
         stats,
         "SELECT 'mission' AS facet, lang AS value, count(*) AS n FROM documents GROUP BY lang UNION ALL SELECT 'category', source, count(*) FROM documents GROUP BY source UNION ALL SELECT 'data_type', CASE WHEN n_chars > 2000 THEN 'long' WHEN n_chars > 200 THEN 'unknown' ELSE 'short' END, count(*) FROM documents GROUP BY 2",
