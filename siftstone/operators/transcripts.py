@@ -125,6 +125,7 @@ def parse_diarized(text: str, o: Options) -> Iterator[dict]:
     yield from done()
 
 
+# How time stamps are written, who may be glued to one, and how words begin behind it.
 TIME = r"-?\d{2,3}\s+\d{2}\s+\d{2}\s+\d{2}"
 CREW = "CDR|CMP|LMP|CC"
 SAID = r"[A-Z][a-z]|I(?:\s|')|\.\.\."
@@ -192,6 +193,7 @@ def parse_blocks(text: str, o: Options) -> Iterator[dict]:
     yield from done()
 
 
+# Dates and headers of commentary.
 DATE = re.compile(r"\d{1,2}[/-]\d{1,2}(?:[/-]\d{2,4})?")
 SEGMENT = re.compile(r"(?:APOLLO\s+\d+\s+(?:MISSION\s+COMMENTARY|STATUS\s+REPORT|SPACECRAFT\s+COMMENTARY).*|CDT\b.*GET\b.*|MC\s+\d+)", re.I)
 # Speakers that commentary names before their words.
@@ -243,7 +245,7 @@ PARSE: dict[str, Callable] = {"challenger": parse_diarized, "apollo": parse_bloc
 
 
 def detect(text: str, name: str) -> str:
-    """By the diarized header, then the file's name, then the head of the text."""
+    """By the diarized header, then the file's name, then the head of the text: its first 5,000 characters, which is the rule and no shortcut."""
     if re.search(r"(?m)^\[\d+(?::\d+)+\]\s+spk_\d+:", text):
         return "challenger"
     if any(x in name.lower() for x in ("pao", "commentary")) or re.search(r"(?i)MISSION\s+COMMENTARY|STATUS\s+REPORT|SPACECRAFT\s+COMMENTARY", text[:5000]):
