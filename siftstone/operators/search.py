@@ -12,12 +12,12 @@ from pyspark.sql import functions as F
 from ..functions.vectors import cosine_distance, norm
 from ..session import ship
 
-#: Queries that are broadcast; more are dealt into groups of this many, each meeting the collection's rows by an equi-join.
+#: Queries that are broadcast; more stream past parts of the collection.
 BROADCAST_QUERIES = 1_000
-#: From this many queries on, a batch of rows meets them as one matrix product instead of pair by pair.
+#: From this many queries on, rows meet them as a matrix product instead of pair by pair.
 MATRIX_QUERIES = 64
-#: Parts that the collection is dealt into for that join.
-PARTS = 64
+#: Bytes of a part's vectors in memory, so that parts grow in number with the collection; distances that are held at once.
+PART_BYTES, HELD = 64 << 20, 4_000_000
 
 
 def search(collection: DataFrame, queries: DataFrame, k: int, where: Column | None = None, facet: str | None = None, id_col: str = "id", vector: str = "embedding") -> DataFrame:
@@ -33,17 +33,13 @@ def search(collection: DataFrame, queries: DataFrame, k: int, where: Column | No
     q = queries.select(F.col(id_col).alias("query_id"), F.col(vector).alias("_q"), *(F.col(f).alias(f"_{f}") for f in keep)).withColumn("_m", norm("_q")).where("_m > 0 AND _m < double('infinity')")
     if facet:
         c, q = c.where(F.col(facet).isNotNull()), q.where(F.col(f"_{facet}").isNotNull())
-    same = (F.col(facet) == F.col(f"_{facet}")) if facet else F.lit(True)
     few = queries.limit(BROADCAST_QUERIES + 1).count()
-    if MATRIX_QUERIES <= few <= BROADCAST_QUERIES:
+    if few > BROADCAST_QUERIES:
+        return _top(by_parts(c, q, k, facet), k)
+    if few >= MATRIX_QUERIES:
         return _top(by_matrix(c, q, k, facet), k)
-    if few <= BROADCAST_QUERIES:
-        met = c.join(F.broadcast(q), same)
-    else:
-        groups = -(-queries.count() // BROADCAST_QUERIES)
-        q = q.withColumn("_g", F.pmod(F.xxhash64("query_id"), F.lit(groups))).withColumn("_part", F.explode(F.sequence(F.lit(0), F.lit(PARTS - 1))))
-        c = c.withColumn("_part", F.pmod(F.xxhash64("id"), F.lit(PARTS)).cast("int")).withColumn("_g", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(groups - 1).cast("long"))))
-        met = c.join(q, (c["_g"] == q["_g"]) & (c["_part"] == q["_part"]) & same)
+    same = (F.col(facet) == F.col(f"_{facet}")) if facet else F.lit(True)
+    met = c.join(F.broadcast(q), same)
     scored = met.select("query_id", "id", *keep, *(f"_{f}" for f in keep), cosine_distance("_q", "_v", "_m", "_n").alias("distance"))
     return _top(scored, k)
 
@@ -54,40 +50,103 @@ def _top(scored: DataFrame, k: int) -> DataFrame:
     return scored.withColumn("rank", F.row_number().over(nearest)).where(F.col("rank") <= k).where("distance is not null")
 
 
+class Part:
+    """Rows of the collection whose vectors have one length, in order of their ids, as unit vectors."""
+
+    def __init__(self, rows: pd.DataFrame, facet: str | None):
+        rows = rows.sort_values("id", kind="stable")
+        self.ids = rows["id"].to_numpy()
+        self.facets = rows[facet].to_numpy(object) if facet else None
+        self.unit = np.stack(rows["_v"].to_list()).astype(float) / rows["_n"].to_numpy(float)[:, None]
+
+    def nearest(self, names: np.ndarray, unit: np.ndarray, facets: np.ndarray | None, k: int) -> Iterator[tuple]:
+        """(query_id, id, facet of the row, facet of the query, distance): the k nearest rows of each query, ranked on distances rounded as the final ranking rounds them."""
+        step = max(1, HELD // len(self.ids))
+        for at in range(0, len(unit), step):
+            d = 1 - unit[at : at + step] @ self.unit.T
+            order = np.round(d, 9)
+            if facets is not None:
+                order[facets[at : at + step][:, None] != self.facets[None, :]] = np.inf
+            best = np.argsort(order, axis=1, kind="stable")[:, :k]
+            i, j = np.repeat(np.arange(len(d)), best.shape[1]), best.reshape(-1)
+            kept = np.isfinite(order[i, j])
+            i, j = i[kept], j[kept]
+            own = (self.facets[j], facets[at + i]) if facets is not None else (None, None)
+            yield names[at + i], self.ids[j], *own, d[i, j]
+
+
+def _kind(df: DataFrame, name: str) -> str:
+    return df.schema[name].dataType.simpleString()
+
+
+def _found(c: DataFrame, q: DataFrame, facet: str | None) -> tuple[str, list[str]]:
+    """The schema of what nearest() gives, and the names of its columns."""
+    more = f", {facet} {_kind(c, facet)}, _{facet} {_kind(q, '_' + facet)}" if facet else ""
+    return f"query_id {_kind(q, 'query_id')}, id {_kind(c, 'id')}{more}, distance double", ["query_id", "id", *([facet, f"_{facet}"] if facet else []), "distance"]
+
+
+def _frames(found: Iterator[tuple], names: list[str]) -> Iterator[pd.DataFrame]:
+    for columns in found:
+        yield pd.DataFrame(dict(zip(names, (x for x in columns if x is not None), strict=True)))
+
+
 def by_matrix(c: DataFrame, q: DataFrame, k: int, facet: str | None) -> DataFrame:
-    """c(id, _v, _n, facet) against at most BROADCAST_QUERIES rows of q(query_id, _q, _m, _facet): the k nearest of each Arrow batch for each query, ranked on distances rounded as the final ranking rounds them."""
+    """c(id, _v, _n, facet) against at most BROADCAST_QUERIES rows of q(query_id, _q, _m, _facet): the k nearest of each Arrow batch for each query."""
     ship(c.sparkSession)
     rows = q.collect()  # bounded by BROADCAST_QUERIES
-    names = np.array([r["query_id"] for r in rows], object)
-    facets = np.array([r[f"_{facet}"] for r in rows], object) if facet else None
-    sizes = {len(r["_q"]) for r in rows}
-    groups = [(size, at := [i for i, r in enumerate(rows) if len(r["_q"]) == size], np.array([rows[i]["_q"] for i in at], float) / np.array([rows[i]["_m"] for i in at])[:, None]) for size in sizes]
-    kind = lambda df, n: df.schema[n].dataType.simpleString()
-    more = f", {facet} {kind(c, facet)}, _{facet} {kind(q, '_' + facet)}" if facet else ""
+    groups = []
+    for size in sorted({len(r["_q"]) for r in rows}):
+        own = [r for r in rows if len(r["_q"]) == size]
+        facets = np.array([r[f"_{facet}"] for r in own], object) if facet else None
+        groups.append((size, np.array([r["query_id"] for r in own], object), np.array([r["_q"] for r in own], float) / np.array([r["_m"] for r in own])[:, None], facets))
+    ddl, names = _found(c, q, facet)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             lengths = b["_v"].map(len).to_numpy()
-            for size, at, unit in groups:
-                own = b[lengths == size].sort_values("id", kind="stable")
-                if own.empty:
+            for size, ids, unit, facets in groups:
+                if (lengths == size).any():
+                    yield from _frames(Part(b[lengths == size], facet).nearest(ids, unit, facets, k), names)
+
+    return c.mapInPandas(run, ddl)
+
+
+def by_parts(c: DataFrame, q: DataFrame, k: int, facet: str | None) -> DataFrame:
+    """As by_matrix, for any number of queries: a task meets a part's rows first, then the queries, batch by batch. Rows are shuffled once, queries once for each part."""
+    ship(c.sparkSession)
+    n, length = c.agg(F.count("*"), F.coalesce(F.max(F.size("_v")), F.lit(1))).first()
+    parts = max(1, -(-n * length * 8 // PART_BYTES), min(2 * c.sparkSession.sparkContext.defaultParallelism, n // 1000))
+    keep = [facet] if facet else []
+    # Rows have no query's columns, and queries none of rows; no nulls, which would make numbers of whole ones floating in pandas.
+    blank = lambda df, name: F.lit(0).cast(_kind(df, name)).alias(name)
+    # Rows by their ids' hash: equal vectors are spread.
+    rows = c.select(F.pmod(F.xxhash64("id"), F.lit(parts)).cast("int").alias("_part"), F.lit(False).alias("_is_query"), "id", blank(q, "query_id"), "_v", "_n", *keep, *(blank(q, f"_{f}") for f in keep))
+    asked = q.select(F.explode(F.sequence(F.lit(0), F.lit(parts - 1))).alias("_part"), F.lit(True).alias("_is_query"), blank(c, "id"), "query_id", F.col("_q").cast(c.schema["_v"].dataType).alias("_v"), F.col("_m").alias("_n"), *(blank(c, f) for f in keep), *(f"_{f}" for f in keep))
+    met = rows.unionByName(asked).repartitionById(parts, F.col("_part")).sortWithinPartitions("_part", "_is_query")
+    ddl, names = _found(c, q, facet)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held: list[pd.DataFrame] = []
+        now, known = None, {}
+        for batch in batches:
+            for (part, is_query), b in batch.groupby(["_part", "_is_query"], sort=True):
+                if part != now:
+                    held, now, known = [], part, {}
+                if not is_query:
+                    held.append(b[["id", "_v", "_n", *keep]])
                     continue
-                v = np.stack(own["_v"].to_list()).astype(float) / own["_n"].to_numpy()[:, None]
-                d = 1 - unit @ v.T
-                order = np.round(d, 9)
-                if facet:
-                    order[facets[at][:, None] != own[facet].to_numpy(object)[None, :]] = np.inf
-                best = np.argsort(order, axis=1, kind="stable")[:, :k]
-                i = np.repeat(np.arange(len(at)), best.shape[1])
-                j = best.reshape(-1)
-                kept = np.isfinite(order[i, j])
-                i, j = i[kept], j[kept]
-                out = {"query_id": names[np.array(at)[i]], "id": own["id"].to_numpy()[j]}
-                if facet:
-                    out |= {facet: own[facet].to_numpy()[j], f"_{facet}": facets[np.array(at)[i]]}
-                yield pd.DataFrame(out | {"distance": d[i, j]})
-
-    return c.mapInPandas(run, f"query_id {kind(q, 'query_id')}, id {kind(c, 'id')}{more}, distance double")
+                if held:
+                    whole = pd.concat(held)
+                    lengths = whole["_v"].map(len)
+                    known, held = {size: Part(whole[lengths == size], facet) for size in lengths.unique()}, []
+                lengths = b["_v"].map(len)
+                for size, own in known.items():
+                    some = b[lengths == size]
+                    if len(some):
+                        unit = np.stack(some["_v"].to_list()).astype(float) / some["_n"].to_numpy(float)[:, None]
+                        yield from _frames(own.nearest(some["query_id"].to_numpy(), unit, some[f"_{facet}"].to_numpy(object) if facet else None, k), names)
+
+    return met.mapInPandas(run, ddl)
 
 
 def precision(ranked: DataFrame, useful: str = "useful") -> DataFrame:

@@ -146,6 +146,17 @@ def test_search_without_null_facets_and_non_finite_vectors(spark, monkeypatch, b
     assert found("label") == [(i, j) for i in range(12) for j in range(12) if i % 3 and j % 3 and i % 2 == j % 2]
 
 
+def test_search_past_parts_keeps_ids_whole(spark, monkeypatch):
+    big = (1 << 62) + 1
+    rows = spark.createDataFrame([(big + i, [1.0, float(i)], f"{i % 2}") for i in range(30)] + [(7, [1.0], "0")], "id long, embedding array<float>, label string")
+    monkeypatch.setattr(search, "BROADCAST_QUERIES", 3)
+    monkeypatch.setattr(search, "PART_BYTES", 64)
+    monkeypatch.setattr(search, "HELD", 5)
+    got = {(r.query_id, r["rank"], r.id) for r in search.search(rows, rows, 1).collect()}
+    assert got == {(big + i, 1, big + i) for i in range(30)} | {(7, 1, 7)}
+    assert {(r.query_id - big, r.id - big) for r in search.search(rows, rows.where("id > 7"), 15, facet="label").collect()} == {(i, j) for i in range(30) for j in range(30) if i % 2 == j % 2}
+
+
 def test_worked_scores(spark):
     ranked = spark.createDataFrame([("q", 1, True), ("q", 2, False), ("q", 3, True), ("z", 1, False)], "query_id string, rank int, useful boolean")
     got = {r.query_id: r.context_precision for r in search.precision(ranked).collect()}
