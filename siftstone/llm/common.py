@@ -14,9 +14,9 @@ from .. import session
 from ..session import shared_dir
 
 #: Rows that Python holds as objects at once, and rows of an Arrow batch: texts are long, and Spark's 10,000 of them crowd a worker.
-SLICE, BATCH = 256, 2000
+SLICE, BATCH = 256, 1000
 #: So many keys can be hot, with more than so many rows; parts that a hot key's rows are dealt to.
-HOT, HOT_ROWS, SALTS = 500, 5_000, 64
+HOT, HOT_ROWS, SALTS = 500, 100_000, 64
 #: Bytes of an emitted or a shuffled partition aimed at; rows of a few numbers that may travel to every task.
 PART_BYTES, BROADCAST_ROWS = 64 << 20, 2_000_000
 
