@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from .audit import AUDIT_SQL, filter_audit
 from .common import table
 from .decontam import CONTAMINATION_SQL, contamination_digest
 from .linededup import LINE_SQL, line_digest
@@ -11,10 +12,18 @@ from .quality import scores, train
 from .secrets import secret_digest
 from .sharding import shard_digest
 from .simhash import near_duplicate_digest
+from .tokens import token_digest
 from .topk import TOP_K_SQL, vector_top_k
 from .urls import url_verdicts
 
 
+def tokenizer_path(name: str = "byte_bpe_50k.json") -> str:
+    """Where this machine has the public vocabulary; only the driver reads it."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
 def pipeline(spark, sf_dir):
     import corpus_pipeline
 
@@ -34,9 +43,11 @@ def queries():
         "op8_quality_scores": lambda spark, sf_dir: scores(table(spark, sf_dir, "documents"), train(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))),
         "op9_simhash_groups": docs(near_duplicate_digest),
         "op10_contamination": lambda spark, sf_dir: contamination_digest(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")),
+        "op11_filter_audit": lambda spark, sf_dir: filter_audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")),
+        "op12_token_counts": docs(lambda d: token_digest(d, tokenizer_path())),
         "pipeline": pipeline,
     }
 
 
 def oracle_sql():
-    return {"op2_exact_top_k": TOP_K_SQL, "op6_line_spread": LINE_SQL, "op10_contamination": CONTAMINATION_SQL}
+    return {"op2_exact_top_k": TOP_K_SQL, "op6_line_spread": LINE_SQL, "op10_contamination": CONTAMINATION_SQL, "op11_filter_audit": AUDIT_SQL}
