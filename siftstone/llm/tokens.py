@@ -1,14 +1,15 @@
 """Token counts without token ids: pieces once for each distinct pre-token, times its frequency in each document.
 
 A tokenizer's model sees one pre-token at a time, so a text's count is the sum over its pre-tokens. A first scan gathers the corpus's distinct
-pre-tokens with the number of documents that hold each; the model counts the pieces of each of them once; a second scan takes
-each document's pre-token frequencies and meets them with those counts. Pre-tokens of at least 1 / HEAD_ROWS of all (document, pre-token) pairs,
-which are fewer than HEAD_ROWS whatever the table's size, travel to every task as a dictionary; each of the others is in less
-than that share of the pairs, so that a join by pre-token has no hot key.
+pre-tokens with how often each stands there; the model counts the pieces of each of them once; a second scan takes each
+document's pre-token frequencies and meets them with those counts. Pre-tokens that are at least 1 / HEAD_ROWS of all of the corpus's,
+which are fewer than HEAD_ROWS whatever the table's size, travel to every task as a dictionary; each of the others stands
+in fewer documents than that share, so that a join by pre-token has no hot key.
 
 Pre-tokens are the library's own. Where the pre-tokenizer is the byte-level one, a space between two characters that are no white space always
-begins a pre-token and nothing reaches across it, so texts are cut there first, and a task asks the library once for each
-distinct piece. Strings of added tokens inside a text are one token each, as the library takes them by default.
+begins a pre-token and nothing reaches across it, so texts are cut there first and each distinct piece is looked at once: a word of Latin letters,
+with or without ASCII signs after it, is that word and those signs; all other pieces are cut by the library. Strings of added tokens
+inside a text are one token each, as the library takes them by default.
 
 A null or empty text has 0 tokens; a text is read as a whole, however long; repeated rows and repeated or null ids are rows of
 their own; an empty table gives an empty table; columns other than doc_id and text are not read.
@@ -29,12 +30,22 @@ from pyspark.sql import functions as F
 from .common import checkpoint, ship
 
 #: Pre-tokens that travel to every task are fewer; longer ones are told by their digest there.
-HEAD_ROWS, WHOLE = 200_000, 64
-#: Distinct pieces of texts that a task remembers, and pre-tokens that it gathers before it hands them on.
-HELD = 300_000
+HEAD_ROWS, WHOLE = 500_000, 64
+#: Distinct pieces that a task remembers or gathers before it hands them on; characters of texts that it gathers them from.
+HELD, GATHERED = 300_000, 64 << 20
 #: Tokens beyond which a document is over the limit.
 LIMIT = 1024
-LONE_SPACE = re.compile(r"(?<=[!-~\w]) (?=[!-~\w])")
+LONE_SPACE, OTHER_SPACE = re.compile(r"(?<=[!-~\w]) (?=[!-~\w])"), re.compile(r" [\s\u180e]|[\s\u180e] |^ | \Z")
+#: Words of letters that are letters in every version of Unicode, and signs; a space in the byte-level alphabet.
+SIMPLE = re.compile(r"([A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f]+)([!-/:-@\[-`{-~]*)")
+SPACE = "\u0120"
+#: The byte-level alphabet: bytes that print in Latin-1 are written as themselves, the others, in order, as the characters from 256 on.
+PRINTING = {*range(33, 127), *range(161, 173), *range(174, 256)}
+ALPHABET = {b: 256 + i for i, b in enumerate(b for b in range(256) if b not in PRINTING)}
+
+
+def _key(p: str) -> str:
+    return p if len(p) <= WHOLE else hashlib.sha256(p.encode()).hexdigest()
 
 
 class Splitter:
@@ -60,29 +71,58 @@ class Splitter:
             return (text,) if text else ()
         return tuple(p for p, _ in self.library.pre_tokenizer.pre_tokenize_str(text))
 
-    def _remembered(self, piece: str) -> tuple[str, ...]:
+    def after_space(self, piece: str) -> tuple[str, ...]:
+        """The pre-tokens of a piece and the space before it."""
+        if m := SIMPLE.fullmatch(piece):
+            word, signs = m.groups()
+            word = SPACE + (word if word.isascii() else word.encode().decode("latin-1").translate(ALPHABET))
+            return (word, signs) if signs else (word,)
         if (found := self.known.get(piece)) is None:
-            found = self._library_pre_tokens(piece)
+            found = self._library_pre_tokens(" " + piece)
             if len(piece) <= WHOLE:
                 if len(self.known) >= HELD:
                     self.known.clear()
                 self.known[piece] = found
         return found
 
-    def pre_tokens(self, text: str) -> tuple[Counter, int]:
-        """The frequencies of a text's pre-tokens, and the number of added tokens in it."""
+    def cut(self, text: str) -> tuple[list[str], list[str], int]:
+        """Pre-tokens of what no space is before, pieces that a lone space is before, and the number of added tokens."""
         parts = self.added.split(text) if self.added else [text]
-        out: Counter = Counter()
+        own, pieces = [], []
         for part in filter(None, parts):
-            if not self.bytewise:
-                out.update(self._library_pre_tokens(part))
-                continue
-            first, *rest = LONE_SPACE.split(part)
-            out.update(self._remembered(first))
-            for piece, n in Counter(rest).items():
-                for p in self._remembered(f" {piece}"):
-                    out[p] += n
-        return out, len(parts) - 1
+            if self.bytewise:
+                # Where no other white space is beside a space, all spaces are lone.
+                found = LONE_SPACE.split(part) if OTHER_SPACE.search(part) else part.split(" ")
+                part, pieces = found[0], pieces + found[1:] if pieces else found[1:]
+            own += self._library_pre_tokens(part)
+        return own, pieces, len(parts) - 1
+
+    def pre_tokens(self, text: str) -> tuple[Counter, int]:
+        """The frequencies of a text's pre-tokens, and the number of added tokens in it."""
+        own, pieces, n = self.cut(text)
+        out = Counter(own)
+        for piece, k in Counter(pieces).items():
+            for p in self.after_space(piece):
+                out[p] += k
+        return out, n
+
+    def weigh(self, text: str, common: dict[str, int]) -> tuple[int, dict[str, int]]:
+        """The tokens of a text's pre-tokens that common knows of, added tokens included, and the frequencies of its others."""
+        own, pieces, n = self.cut(text)
+        others: dict[str, int] = {}
+        for p in own:
+            if (k := common.get(_key(p))) is None:
+                others[p] = others.get(p, 0) + 1
+            else:
+                n += k
+        after, get = self.after_space, common.get
+        for piece, times in Counter(pieces).items():
+            for p in after(piece):
+                if (k := get(p if len(p) <= WHOLE else _key(p))) is None:
+                    others[p] = others.get(p, 0) + times
+                else:
+                    n += times * k
+        return n, others
 
     def pieces(self, pre_token: str) -> int:
         return len(self.library.model.tokenize(pre_token))
@@ -95,42 +135,64 @@ def read_spec(path: str) -> str:
 
 
 def _gather(spec) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    def told(held: Counter) -> pa.RecordBatch:
-        return pa.RecordBatch.from_pydict({"p": pa.array(held.keys(), pa.string()), "docs": pa.array(held.values(), pa.int64())})
+    """(p, times): pre-tokens and how often each stands in what a task has read. Pieces are gathered first, and each of them is cut once."""
 
     def run(batches):
-        splitter, held, size = Splitter(spec.value), Counter(), 0
+        splitter, held, pieces, size = Splitter(spec.value), Counter(), Counter(), 0
+
+        def told():
+            for piece, n in pieces.items():
+                for p in splitter.after_space(piece):
+                    held[p] += n
+            return pa.RecordBatch.from_pydict({"p": pa.array(held.keys(), pa.string()), "times": pa.array(held.values(), pa.int64())})
+
         for batch in batches:
-            for text in batch.column("text"):
-                found = splitter.pre_tokens(text.as_py() or "")[0]
-                before = len(held)
-                held.update(found.keys())
-                size += sum(map(len, found)) if len(held) > before else 0
-                if len(held) >= HELD or size > 64 << 20:
-                    yield told(held)
-                    held, size = Counter(), 0
-        if held:
-            yield told(held)
+            for text in batch.column("text").to_pylist():
+                own, found, _ = splitter.cut(text or "")
+                held.update(own)
+                pieces.update(found)
+                size += len(text or "")
+                if len(held) + len(pieces) >= HELD or size > GATHERED:
+                    yield told()
+                    held, pieces, size = Counter(), Counter(), 0
+        if held or pieces:
+            yield told()
 
     return run
 
 
 def vocabulary(docs: DataFrame, spec) -> DataFrame:
-    """(p, docs, pieces): each distinct pre-token of docs(text), in how many documents it is, and what the model makes of it. spec: broadcast JSON."""
+    """(p, times, pieces): each distinct pre-token of docs(text), how often it stands there, and what the model makes of it. spec: broadcast JSON."""
     ship(docs.sparkSession)
 
     def count(batches):
         splitter = Splitter(spec.value)
         for batch in batches:
-            n = [splitter.pieces(p.as_py()) for p in batch.column("p")]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(n, pa.int64())], names=["p", "docs", "pieces"])
+            n = [splitter.pieces(p) for p in batch.column("p").to_pylist()]
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(n, pa.int64())], names=["p", "times", "pieces"])
 
-    found = docs.select("text").mapInArrow(_gather(spec), "p string, docs long").groupBy("p").agg(F.sum("docs").alias("docs"))
-    return checkpoint(found.mapInArrow(count, "p string, docs long, pieces long"))
+    found = docs.select("text").mapInArrow(_gather(spec), "p string, times long").groupBy("p").agg(F.sum("times").alias("times"))
+    return checkpoint(found.mapInArrow(count, "p string, times long, pieces long"))
 
 
-def _key(p: str) -> str:
-    return p if len(p) <= WHOLE else hashlib.sha256(p.encode()).hexdigest()
+def _sums(spec, head) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """For each document the tokens that head knows of, and its other pre-tokens with their frequencies."""
+
+    def run(batches):
+        splitter, common = Splitter(spec.value), head.value
+        for batch in batches:
+            sums, ends, rest, times = [], [0], [], []
+            for text in batch.column("text").to_pylist():
+                n, others = splitter.weigh(text or "", common)
+                rest += others.keys()
+                times += others.values()
+                sums.append(n)
+                ends.append(len(rest))
+            pairs = pa.StructArray.from_arrays([pa.array(rest, pa.string()), pa.array(times, pa.int64())], ["p", "f"])
+            others = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pairs)
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("n_bytes"), pa.array(sums, pa.int64()), others], names=["doc_id", "n_bytes", "n", "rest"])
+
+    return run
 
 
 def token_counts(docs: DataFrame, path: str, head_rows: int = HEAD_ROWS) -> DataFrame:
@@ -138,39 +200,23 @@ def token_counts(docs: DataFrame, path: str, head_rows: int = HEAD_ROWS) -> Data
     spark = docs.sparkSession
     spec = spark.sparkContext.broadcast(read_spec(path))
     known = vocabulary(docs, spec)
-    pairs = known.agg(F.sum("docs")).first()[0] or 0
-    frequent = pairs // head_rows + 1  # pairs / frequent < head_rows
+    total = known.agg(F.sum("times")).first()[0] or 0
+    frequent = total // head_rows + 1  # total / frequent < head_rows
     key = F.when(F.length("p") <= WHOLE, F.col("p")).otherwise(F.sha2("p", 256))
-    head = spark.sparkContext.broadcast(dict(known.where(F.col("docs") >= frequent).select(key, "pieces").collect()))
-
-    def run(batches):
-        splitter, common = Splitter(spec.value), head.value
-        for batch in batches:
-            sums, rests = [], []
-            for text in batch.column("text"):
-                found, n = splitter.pre_tokens(text.as_py() or "")
-                rest = []
-                for p, f in found.items():
-                    own = common.get(_key(p))
-                    if own is None:
-                        rest.append({"p": p, "f": f})
-                    else:
-                        n += f * own
-                sums.append(n)
-                rests.append(rest)
-            kinds = pa.list_(pa.struct([("p", pa.string()), ("f", pa.int64())]))
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("n_bytes"), pa.array(sums, pa.int64()), pa.array(rests, kinds)], names=["doc_id", "n_bytes", "n", "rest"])
+    common = known.where(F.col("times") >= frequent).select(key.alias("p"), "pieces").toArrow()
+    head = spark.sparkContext.broadcast(dict(zip(common["p"].to_pylist(), common["pieces"].to_pylist(), strict=True)))
 
     kind = docs.schema["doc_id"].dataType.simpleString()
     rows = docs.select("doc_id", "text", F.coalesce(F.octet_length("text"), F.lit(0)).cast("long").alias("n_bytes"))
-    told = rows.mapInArrow(run, f"doc_id {kind}, n_bytes long, n long, rest array<struct<p:string,f:long>>").withColumn("row", F.monotonically_increasing_id())
-    # A document's own part rides along as one more row, dealt by the row and not by a key that all of them share.
-    own = F.struct(F.lit(None).cast("string").alias("p"), F.lit(None).cast("long").alias("f"), F.col("row").alias("deal"), F.col("n"))
-    rest = F.transform("rest", lambda x: F.struct(x["p"].alias("p"), x["f"].alias("f"), F.lit(-1).cast("long").alias("deal"), F.lit(0).cast("long").alias("n")))
-    each = told.select("row", "doc_id", "n_bytes", F.explode(F.concat(F.array(own), rest)).alias("x")).select("row", "doc_id", "n_bytes", "x.*")
-    rare = known.where(F.col("docs") < frequent).select("p", F.lit(-1).cast("long").alias("deal"), "pieces")
+    told = rows.mapInArrow(_sums(spec, head), f"doc_id {kind}, n_bytes long, n long, rest array<struct<p:string,f:long>>").withColumn("row", F.monotonically_increasing_id())
+    # A document's own part rides along as one more row without a pre-token, dealt by the row and not by a key that all of them share.
+    own = F.struct(F.lit(None).cast("string").alias("p"), F.col("n").alias("f"), F.col("row").alias("deal"), "doc_id", "n_bytes")
+    none = [F.lit(None).cast(t).alias(c) for c, t in (("doc_id", kind), ("n_bytes", "long"))]
+    rest = F.transform("rest", lambda x: F.struct(x["p"].alias("p"), x["f"].alias("f"), F.lit(-1).cast("long").alias("deal"), *none))
+    each = told.select("row", F.explode(F.concat(F.array(own), rest)).alias("x")).select("row", "x.*")
+    rare = known.where(F.col("times") < frequent).select("p", F.lit(-1).cast("long").alias("deal"), "pieces")
     met = each.join(rare, ["p", "deal"], "left")
-    sums = met.groupBy("row").agg(F.first("doc_id").alias("doc_id"), F.first("n_bytes").alias("n_bytes"), F.sum(F.col("n") + F.coalesce(F.col("f") * F.col("pieces"), F.lit(0))).alias("n_tokens"))
+    sums = met.groupBy("row").agg(F.max("doc_id").alias("doc_id"), F.max("n_bytes").alias("n_bytes"), F.sum(F.col("f") * F.coalesce("pieces", F.lit(1))).alias("n_tokens"))
     return sums.drop("row")
 
 

@@ -154,7 +154,7 @@ def test_pieces_are_counted_once_for_each_pre_token(spark):
     sc = spark.sparkContext
     rows = [(i, "the cat and the dog", "en") for i in range(50)] + [(99, "the", "en")]
     known = tokens.vocabulary(table_of(spark, rows).repartition(7), sc.broadcast(tokens.read_spec(tokenizer_path())))
-    assert {r["p"]: r["docs"] for r in known.collect()} == {"the": 51, "Ġcat": 50, "Ġand": 50, "Ġthe": 50, "Ġdog": 50}
+    assert {r["p"]: r["times"] for r in known.collect()} == {"the": 51, "Ġcat": 50, "Ġand": 50, "Ġthe": 50, "Ġdog": 50}
 
 
 def test_limit(spark):
