@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import answers, parsers, records, search, state, stores, talks, text
+from . import answers, jobs, parsers, records, search, state, stores, talks, text
 
-_ALL = search.QUERIES | text.QUERIES | records.QUERIES | state.QUERIES | parsers.QUERIES | talks.QUERIES | stores.QUERIES | answers.QUERIES
+_ALL = search.QUERIES | text.QUERIES | records.QUERIES | state.QUERIES | parsers.QUERIES | talks.QUERIES | stores.QUERIES | answers.QUERIES | jobs.QUERIES
 
 
 def flagship(spark, sf_dir):
