@@ -22,6 +22,8 @@ from siftstone.functions import text as X
 from siftstone.operators.context import dedup_key
 
 log = logging.getLogger("jobs.curate")
+#: Five words; a text that has them isn't noise, and needs no counting.
+FIVE_WORDS = "(?s)(?:[A-Za-z]{2,}[^A-Za-z].*?){4}[A-Za-z]{2,}"
 ROWS = "doc_id long, source string, n_words int, copies long, digest string, document string, status string, mission string"
 
 
@@ -39,7 +41,7 @@ def judged(docs: DataFrame, facet: str = "lang", least_words: int = 5) -> DataFr
         F.when(F.col("doc_id").isNull(), "no_id")
         .when(F.col("document") == "", "blank")
         .when(n < least_words, "short")
-        .when(X.low_information("document"), "noise")
+        .when(F.when(F.col("document").rlike(FIVE_WORDS), False).otherwise(X.low_information("document")), "noise")
         .when(F.col("first").isNull(), "duplicate")
         .otherwise("kept")
     )

@@ -26,6 +26,19 @@ def upsert(stored: DataFrame, incoming: DataFrame, mode: str, key: str = "id", s
     return kept.select(*stored.columns).unionByName(incoming.select(*stored.columns))
 
 
+def changes(stored: DataFrame, incoming: DataFrame, mode: str, key: str = "id", scope: tuple[str, str] = ("mission", "filepath")) -> DataFrame:
+    """What upsert() changes: rows that come, and stored rows that go (gone). stored with these, each key's last word counting, is upsert()'s state."""
+    if mode not in MODES:
+        raise ValueError(f"mode must be one of {MODES}")
+    come = incoming.select(*stored.columns).withColumn("gone", F.lit(False))
+    if mode == "skip":
+        return come.join(stored.select(key), key, "left_anti")
+    if mode == "update":
+        return come
+    stale = stored.join(incoming.select(*scope).distinct(), list(scope), "left_semi").join(incoming.select(key), key, "left_anti")
+    return come.unionByName(stale.select(*stored.columns).withColumn("gone", F.lit(True)))
+
+
 def upsert_counts(stored: DataFrame, incoming: DataFrame, mode: str, key: str = "id", by: tuple[str, ...] = ()) -> DataFrame:
     """One row, or one for each value of by: added, updated, skipped."""
     seen = incoming.join(stored.select(key).withColumn("_seen", F.lit(True)), key, "left").groupBy(*by).agg(F.count_if(F.col("_seen").isNull()).alias("added"), F.count_if(F.col("_seen").isNotNull()).alias("_old"))
@@ -33,6 +46,13 @@ def upsert_counts(stored: DataFrame, incoming: DataFrame, mode: str, key: str =
     return seen.select(*by, "added", (none if mode == "skip" else F.col("_old")).alias("updated"), (F.col("_old") if mode == "skip" else none).alias("skipped"))
 
 
+def with_source(stored: DataFrame, part: str, source: str = "source") -> DataFrame:
+    """Stored rows whose source contains part (case counts)."""
+    if not part.strip():
+        raise ValueError("the source to delete must not be blank")
+    return stored.where(F.col(source).contains(part))
+
+
 def without_source(stored: DataFrame, part: str, source: str = "source") -> DataFrame:
     """Stored rows whose source doesn't contain part (case counts). A blank part would match all and is refused."""
     if not part.strip():

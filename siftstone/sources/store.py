@@ -1,14 +1,22 @@
-"""A keyed vector collection as Parquet snapshots: a write makes a new snapshot and then moves the pointer, so a reader sees the old state or the new one, never half.
+"""A keyed vector collection as Parquet: a base, and the changes since then, each a folder that Spark writes once and nothing alters.
 
-Layout: <root>/<name>/data/<id> holds a snapshot partitioned by mission, <root>/<name>/current/<n> is a marker that names one; the largest marker counts. A
-marker is made once: of two writers that started from the same version one makes the next marker, and the other builds its state again from
-that. Snapshots that no reader should still need go with vacuum(). All access goes through Hadoop's file system, so root may be anywhere that Spark can write."""
+Layout: <root>/<name>/data/<id> holds rows partitioned by mission; <root>/<name>/current/<n> is a marker, the largest of which counts: it names the base, the changes
+since then in order, and how many rows each has. A change has rows that came or were replaced, and ids that went; readers take each id's last word. So a write costs
+what changes, not the collection. When the changes together pass SHARE of the base, or are CHANGES in number, the write that makes them so writes a new base.
+
+A marker is written under another name and then put in its place, never over another one: of two writers that started from the same version one makes
+the next marker, and the other builds its change again from that; a writer that dies at any step leaves at most folders that no marker names. Files have to be put in place
+in one step: on HDFS by a rename without overwriting, on a local disk by a link. Object stores whose rename copies don't promise that.
+Folders that no reader should still need go with vacuum(). All access goes through Hadoop's file system, so root may be anywhere that Spark can write."""
 
 from __future__ import annotations
 
+import json
 import logging
+import time
 import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Iterable
+from functools import reduce
 from typing import Any
 
 from py4j.protocol import Py4JJavaError
@@ -25,10 +33,19 @@ SCHEMA = (
 )
 
 
+#: Of rows that go, only id, mission and gone count.
+CHANGE = f"{SCHEMA}, gone boolean"
+
 log = logging.getLogger(__name__)
 
-#: Times that a writer builds its state before it gives up; files whose failure is told one by one.
+#: Times that a writer builds its change before it gives up; files whose failure is told one by one.
 ATTEMPTS, FAILURES = 20, 1000
+#: Part of the base's rows, and number, from which on changes are merged into a new base; seconds that a folder without a marker is left alone, as its writer may be at work.
+SHARE, CHANGES, GRACE = 0.25, 32, 3600
+
+
+def _names(ddl: str) -> list[str]:
+    return [f.strip().split(" ", 1)[0] for f in ddl.split(", ")]
 
 
 class Lost(RuntimeError):
@@ -47,7 +64,7 @@ class Collection:
             if not create:
                 raise FileNotFoundError(f"no collection {name}")
             try:
-                self._commit(0, spark.createDataFrame([], SCHEMA))
+                self._commit(0, spark.createDataFrame([], CHANGE))
             except Lost:
                 pass  # another one has just made it
 
@@ -56,57 +73,124 @@ class Collection:
 
     def _markers(self) -> list[int]:
         at = self._path(f"{self.at}/current")
-        # An empty marker is one that its writer hasn't finished.
         return sorted(int(s.getPath().getName()) for s in self._fs.listStatus(at) if s.getLen() > 0 and s.getPath().getName().isdigit()) if self._fs.exists(at) else []
 
-    def _folder(self, version: int) -> str:
+    def _marker(self, version: int) -> dict:
+        """parts: the base's folder and those of the changes, each with its number of rows; streams: the last batch of each stream that wrote here."""
         stream = self._fs.open(self._path(f"{self.at}/current/{version}"))
         try:
-            return f"{self.at}/data/{self.spark.sparkContext._jvm.org.apache.commons.io.IOUtils.toString(stream, 'UTF-8')}"
+            told = self.spark.sparkContext._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")
         finally:
             stream.close()
-
-    def _commit(self, base: int, rows: DataFrame) -> None:
-        """The state after version base; Lost if there is another one already."""
-        name = uuid.uuid4().hex
-        rows.write.partitionBy("mission").parquet(f"{self.at}/data/{name}")
+        return json.loads(told) if told.startswith("{") else {"parts": [[told, None]], "streams": {}}
+
+    def _put(self, version: int, marker: dict) -> None:
+        """The marker of version, whole or not at all; Lost if there is one."""
+        jvm, target = self.spark.sparkContext._jvm, self._path(f"{self.at}/current/{version}")
+        if self._fs.exists(target) and self._fs.getFileStatus(target).getLen() == 0:
+            self._fs.delete(target, False)  # of a writer that died, as markers were written in place once
+        draft = self._path(f"{self.at}/current/draft-{uuid.uuid4().hex}")
+        out = self._fs.create(draft, False)
+        out.write(json.dumps(marker).encode())
+        out.close()
         try:
-            marker = self._fs.create(self._path(f"{self.at}/current/{base + 1}"), False)
+            if self._fs.getUri().getScheme() == "file":
+                place = lambda p: jvm.java.nio.file.Path.of(self._fs.makeQualified(p).toUri())
+                jvm.java.nio.file.Files.createLink(place(target), place(draft))
+                self._fs.delete(draft, False)
+            else:
+                conf = self.spark.sparkContext._jsc.hadoopConfiguration()
+                plain = self.spark.sparkContext._gateway.new_array(getattr(jvm.org.apache.hadoop.fs, "Options$Rename"), 0)
+                jvm.org.apache.hadoop.fs.FileContext.getFileContext(self._fs.getUri(), conf).rename(self._fs.makeQualified(draft), self._fs.makeQualified(target), plain)
         except Py4JJavaError as e:
-            self._fs.delete(self._path(f"{self.at}/data/{name}"), True)
+            self._fs.delete(draft, False)
             if "AlreadyExists" in e.java_exception.getClass().getName():
                 raise Lost from e
             raise
-        marker.write(name.encode())
-        marker.close()
 
-    def _change(self, step: Callable[[DataFrame], tuple[DataFrame | None, Any]]) -> Any:
-        """step gives the next state (None: no change) and what to tell of it, from the stored rows; again, if another writer was faster."""
+    def _write(self, rows: DataFrame) -> list:
+        """A new folder of rows, and how many they are (by their files' footers)."""
+        name = uuid.uuid4().hex
+        rows.write.partitionBy("mission").parquet(f"{self.at}/data/{name}")
+        return [name, self.spark.read.schema(rows.schema).parquet(f"{self.at}/data/{name}").count()]
+
+    def _commit(self, base: int, change: DataFrame, stream: tuple[str, int] | None = None) -> None:
+        """The state after version base, with change (SCHEMA and gone); Lost if there is another one already."""
+        before = self._marker(base) if base and base in self._markers() else {"parts": [], "streams": {}}
+        made = [self._write(change if before["parts"] else change.where("NOT gone").drop("gone"))]
+        parts = [*before["parts"], *made]
+        first, later = parts[0][1], sum(n for _, n in parts[1:])
+        if len(parts) > 1 and (first is None or later > SHARE * first or len(parts) > CHANGES + 1):
+            parts = [self._write(self._merged(parts))]
+            made += parts
+        try:
+            self._put(base + 1, {"parts": parts, "streams": before["streams"] | (dict([stream]) if stream else {})})
+        except Lost:
+            self._drop(name for name, _ in made)
+            raise
+        self._drop(name for name, _ in made if name not in [x for x, _ in parts])
+
+    def _drop(self, names: Iterable[str]) -> None:
+        for name in names:
+            self._fs.delete(self._path(f"{self.at}/data/{name}"), True)
+
+    def _merged(self, parts: list) -> DataFrame:
+        """Each id's last word. Ids of the changes are few beside the base, so that they, and not its rows, travel."""
+        base, *changes = (f"{self.at}/data/{name}" for name, _ in parts)
+        rows = self.spark.read.schema(SCHEMA).parquet(base)
+        if not changes:
+            return rows
+        told = reduce(DataFrame.unionByName, (self.spark.read.schema(CHANGE).parquet(at).withColumn("_n", F.lit(i)) for i, at in enumerate(changes)))
+        last = told.groupBy("id").agg(F.max("_n").alias("_n"))
+        now = told.join(last, ["id", "_n"], "left_semi").where("NOT gone").select(*rows.columns)
+        return rows.join(last.select("id"), "id", "left_anti").select(*rows.columns).unionByName(now)
+
+    def _change(self, step: Callable[[DataFrame], tuple[DataFrame | None, Any]], stream: tuple[str, int] | None = None) -> Any:
+        """step gives the change (None: nothing changes) and what to tell of it, from the stored rows; again, if another writer was faster."""
         for _ in range(ATTEMPTS):
             base = self.version() or 0
-            rows, told = step(self.rows(base))
-            if rows is None:
+            change, told = step(self.rows(base))
+            if change is None:
                 return told
             try:
-                self._commit(base, rows)
+                self._commit(base, change, *([stream] if stream else []))
                 return told
             except Lost:
                 continue
         raise Lost(f"{ATTEMPTS} times another writer was faster")
 
-    def vacuum(self, keep: int = 2) -> int:
-        """Removes snapshots but for the last keep versions, and those that no marker names (of writers that failed or are still at work: run it when none is); returns how many."""
+    def compact(self) -> bool:
+        """Merges all changes into a new base, as a version of its own; whether there were any."""
+        base = self.version()
+        marker = self._marker(base)
+        if len(marker["parts"]) == 1:
+            return False
+        part = self._write(self._merged(marker["parts"]))
+        try:
+            self._put(base + 1, marker | {"parts": [part]})
+        except Lost:
+            self._drop([part[0]])
+            raise
+        return True
+
+    def vacuum(self, keep: int = 2, grace: float = GRACE) -> int:
+        """Removes the folders that only versions before the last keep need, and those that no marker names and that are older than grace seconds; returns how many."""
         marks = self._markers()
-        held = {self._folder(v).rsplit("/", 1)[-1] for v in marks[-max(1, keep) :]}
-        gone = [s.getPath() for s in self._fs.listStatus(self._path(f"{self.at}/data")) if s.getPath().getName() not in held]
-        for path in gone:
-            self._fs.delete(path, True)
+        named = {v: {name for name, _ in self._marker(v)["parts"]} for v in marks}
+        held = set().union(*(named[v] for v in marks[-max(1, keep) :]))
+        known, now = set().union(*named.values()), time.time()
+        gone = []
+        for s in self._fs.listStatus(self._path(f"{self.at}/data")):
+            name = s.getPath().getName()
+            if name not in held and (name in known or s.getModificationTime() / 1000 < now - grace):
+                gone.append(name)
         for v in marks[: -max(1, keep)]:
-            self._fs.delete(self._path(f"{self.at}/current/{v}"), False)
+            self._fs.delete(self._path(f"{self.at}/current/{v}"), False)  # first, so that no marker names what isn't there
+        self._drop(gone)
         return len(gone)
 
     def rows(self, version: int | None = None) -> DataFrame:
-        return self.spark.read.schema(SCHEMA).parquet(self._folder(self.version() if version is None else version))
+        return self._merged(self._marker(self.version() if version is None else version)["parts"])
 
     def count(self) -> int:
         return self.rows().count()
@@ -126,20 +210,23 @@ class Collection:
         told = self.write_files(prepared, mode)
         return {k: sum(own[k] for own in told.values()) for k in ("added", "updated", "skipped")}
 
-    def write_files(self, prepared: DataFrame, mode: str) -> dict[str, dict[str, int]]:
-        """Rows of any number of files, prepared, as one version; counts for each mission. In replace mode each file replaces its own rows."""
+    def write_files(self, prepared: DataFrame, mode: str, stream: tuple[str, int] | None = None) -> dict[str, dict[str, int]]:
+        """Rows of any number of files, prepared, as one version; counts for each mission. In replace mode each file replaces its own rows. stream: the name and batch
+        number of a stream's rows, which count once, however often they come."""
+        if stream and self._marker(self.version())["streams"].get(stream[0], -1) >= stream[1]:
+            return {}
 
         def step(stored: DataFrame) -> tuple[DataFrame, dict]:
             counts = C.upsert_counts(stored, prepared, mode, by=("mission",)).collect()  # a line for each mission
-            return C.upsert(stored, prepared, mode), {r["mission"]: {k: r[k] for k in ("added", "updated", "skipped")} for r in counts}
+            return C.changes(stored, prepared, mode).select(*_names(CHANGE)), {r["mission"]: {k: r[k] for k in ("added", "updated", "skipped")} for r in counts}
 
-        return self._change(step)
+        return self._change(step, stream)
 
     def delete_source(self, part: str) -> int:
         def step(stored: DataFrame) -> tuple[DataFrame | None, int]:
-            kept = C.without_source(stored, part)
-            gone = stored.count() - kept.count()
-            return kept if gone else None, gone
+            gone = C.with_source(stored, part)
+            n = gone.count()
+            return gone.withColumn("gone", F.lit(True)).select(*_names(CHANGE)) if n else None, n
 
         return self._change(step)
 

@@ -10,15 +10,16 @@ from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from ..session import ship
-from ..sources.store import Collection
+from ..sources.store import Collection, prepare
 
 
 def stream_upsert(stream: DataFrame, collection: Collection, mode: str, checkpoint: str, embed: Callable[[DataFrame], DataFrame] = lambda d: d) -> StreamingQuery:
-    """Each micro-batch becomes one snapshot. A batch that is replayed after a failure writes the same keys again, so the end state is the same. Of a batch's repeated ids, the caller keeps one."""
+    """Each micro-batch becomes one version of any number of files, and writes no more than it changes. A batch that is replayed after a failure counts once: the
+    collection keeps the number of the last one, under the checkpoint's path. Of a batch's repeated ids, the caller keeps one."""
 
-    def write(batch: DataFrame, _: int) -> None:
+    def write(batch: DataFrame, number: int) -> None:
         if not batch.isEmpty():
-            collection.write(embed(batch), mode)
+            collection.write_files(prepare(embed(batch)), mode, (checkpoint, number))
 
     return stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
