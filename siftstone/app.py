@@ -6,6 +6,7 @@ from __future__ import annotations
 
 import argparse
 import logging
+from collections.abc import Callable
 from dataclasses import dataclass, field
 from datetime import UTC, datetime
 
@@ -142,20 +143,42 @@ def evaluate_batch(questions: DataFrame, collection: store.Collection, k: int =
     missed = met.where("context is null").withColumn("response", F.lit(None).cast("string"))
     why = F.when(F.col("_key").isNull() & ~F.col("_all"), F.lit("ValueError: unknown mission")).otherwise(F.lit("RuntimeError: Retrieval returned no documents"))
     results = answered.unionByName(missed.withColumn("error", why)).withColumn("error", F.when(F.col("error").isNotNull(), F.concat(F.lit("Question evaluation failed: "), F.col("error"))))
-    scores = verdict_scores(models.judged_rows(results, judge or models.OverlapJudge()))
+    # Verdicts come from models: they are asked for once, and kept for the scores, the rebuilt questions and the errors.
+    verdicts = models.judged_rows(results, judge or models.OverlapJudge()).persist()
+    scores = verdict_scores(verdicts, asked, lambda d: models.embed_rows(d, embedder or models.HashEmbedder(), "text"))
     out = results.join(scores, "id", "left").drop("_key", "_all", "context").withColumnRenamed("contexts", "retrieved_contexts")
     return out.withColumn("context_count", F.coalesce(F.size("retrieved_contexts"), F.lit(0)))
 
 
-def verdict_scores(verdicts: DataFrame) -> DataFrame:
-    """(id, a column for each metric): means of verdicts, precision over ranks, and the F1 of the two."""
-    wanted = ("faithfulness", "context_recall", "response_relevancy", "factual_correctness")
-    mean = lambda m: F.avg(F.when(F.col("metric") == m, F.col("verdict").cast("double"))).alias(m)
-    ranked = verdicts.where("metric = 'context_precision' and verdict is not null").select(F.col("id").alias("query_id"), F.col("position").alias("rank"), F.col("verdict").alias("useful"))
+def verdict_scores(verdicts: DataFrame, asked: DataFrame, embed: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """(id, a column for each metric, and one for each metric's error) from verdicts(id, metric, position, verdict, text, error) and asked(id, embedding).
+
+    faithfulness and context_recall: the share of claims that hold. context_precision: over ranks. factual_correctness: the F1 of claims, where an answer's claim that
+    the reference has is true positive, one that it hasn't false positive, and a reference's claim that the answer hasn't false negative. response_relevancy: the mean
+    cosine of the question and the questions rebuilt from the answer. retrieval_f1: of precision and recall. A metric with an error has no score."""
+    of = lambda m: F.col("metric") == m
+    mean = lambda m: F.avg(F.when(of(m), F.col("verdict").cast("double"))).alias(m)
+    how_many = lambda m, v: F.count_if(of(m) & (F.col("verdict") == F.lit(v)))
+    failed = lambda *ms: F.min(F.when(F.col("metric").isin(*ms), F.col("error")))
+    claims = ("answer_claims", "reference_claims")
+    wrong = {
+        "faithfulness": failed("faithfulness"),
+        "context_precision": failed("context_precision"),
+        "context_recall": failed("context_recall"),
+        "factual_correctness": failed(*claims),
+        "response_relevancy": failed(models.REBUILT),
+    }
+    f1 = evaluate.claim_f1(how_many(claims[0], True), how_many(claims[0], False), how_many(claims[1], False))
+    judged = F.count_if(F.col("metric").isin(*claims)) > 0
+    ranked = verdicts.where(of("context_precision") & F.col("verdict").isNotNull()).select(F.col("id").alias("query_id"), F.col("position").alias("rank"), F.col("verdict").alias("useful"))
     p = search.precision(ranked).withColumnRenamed("query_id", "id")
-    failed = F.max("error").alias("judge_error")
-    told = verdicts.groupBy("id").agg(*map(mean, wanted), failed).join(p, "id", "left")
-    return told.withColumn("retrieval_f1", search.f1("context_precision", "context_recall"))
+    rebuilt = embed(verdicts.where(of(models.REBUILT) & F.col("text").isNotNull()).select("id", "text"))
+    near = evaluate.relevancy(asked, rebuilt)
+    factual = F.when(judged & failed(*claims).isNull(), f1).alias("factual_correctness")
+    told = verdicts.groupBy("id").agg(mean("faithfulness"), mean("context_recall"), factual, *(c.alias(f"{m}_error") for m, c in wrong.items()))
+    told = told.join(p, "id", "left").join(near, "id", "left").withColumn("retrieval_f1", search.f1("context_precision", "context_recall"))
+    broken = F.col("context_precision_error").isNotNull() | F.col("context_recall_error").isNotNull()
+    return told.withColumn("retrieval_f1_error", F.when(broken, F.lit("ValueError: precision or recall has no score")))
 
 
 def batch_report(results: DataFrame, configuration: dict) -> dict:

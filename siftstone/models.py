@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import queue
 import re
+import threading
+import time
 import zlib
-from collections.abc import Iterator
-from typing import Protocol
+from collections.abc import Callable, Iterator
+from typing import Any, Protocol
 
 import numpy as np
 import pandas as pd
@@ -22,8 +25,24 @@ class Generator(Protocol):
     def generate(self, question: str, context: str, history: list[dict]) -> str: ...
 
 
+#: What a judge is asked of each answer: verdicts on claims or contexts, one list each. The last four need a reference.
+PLAIN_VERDICTS = ("faithfulness",)
+REFERENCE_VERDICTS = ("context_precision", "context_recall", "answer_claims", "reference_claims")
+#: The questions that an answer seems to answer.
+REBUILT = "response_relevancy"
+#: Calls of a judge that a task has open at once; seconds that one may take; how often one that fails is made again; rows whose calls are made together.
+CALLS, PATIENCE, RETRIES, TOGETHER = 8, 60.0, 1, 32
+
+
 class Judge(Protocol):
-    def verdicts(self, question: str, answer: str, contexts: list[str], reference: str | None) -> dict[str, list[bool]]: ...
+    def verdicts(self, metric: str, question: str, answer: str, contexts: list[str], reference: str | None) -> list[bool]:
+        """faithfulness: is each claim of the answer supported by the contexts; context_precision: is each context useful; context_recall: is each claim of the
+        reference in the contexts; answer_claims: is each claim of the answer in the reference; reference_claims: is each claim of the reference in the answer."""
+        ...
+
+    def questions(self, answer: str) -> list[str]:
+        """Questions that the answer would answer."""
+        ...
 
 
 class HashEmbedder:
@@ -80,12 +99,54 @@ class OverlapJudge:
         claims = [set(re.findall(r"\w+", s.lower())) for s in re.split(r"(?<=[.!?])\s+", text or "")]
         return [any(len(c & k) > len(c) / 2 for k in known) for c in claims if c]
 
-    def verdicts(self, question, answer, contexts, reference=None):
-        out = {"faithfulness": self._claims(answer, contexts)}
-        if reference:
-            out["context_recall"] = self._claims(reference, contexts)
-            out["context_precision"] = [bool(self._claims(c, [reference])) and any(self._claims(c, [reference])) for c in contexts]
-        return out
+    def verdicts(self, metric, question, answer, contexts, reference=None):
+        if metric == "context_precision":
+            return [any(self._claims(c, [reference])) for c in contexts]
+        claims, texts = {
+            "faithfulness": (answer, contexts),
+            "context_recall": (reference, contexts),
+            "answer_claims": (answer, [reference]),
+            "reference_claims": (reference, [answer]),
+        }[metric]
+        return self._claims(claims, texts)
+
+    def questions(self, answer):
+        return [s for s in re.split(r"(?<=[.!?])\s+", answer) if re.search(r"\w", s)]
+
+
+def call_all(calls: list[Callable[[], Any]], at_once: int = CALLS, patience: float = PATIENCE, retries: int = RETRIES) -> list[tuple[Any, str | None]]:
+    """(value, None) or (None, error) for each call, in order. At most at_once run at a time; one that fails is made again, and one that takes longer than patience counts as
+    failed and holds no other: its thread is left alone, and ends with the process at the latest."""
+    out: list[tuple[Any, str | None]] = [(None, None)] * len(calls)
+    ended: queue.SimpleQueue = queue.SimpleQueue()
+    open_until: dict[int, float] = {}
+
+    def run(i: int) -> None:
+        told: tuple[Any, str | None] = (None, None)
+        for _ in range(retries + 1):
+            try:
+                told = calls[i](), None
+                break
+            except Exception as e:  # noqa: BLE001  errors are data
+                told = None, f"{type(e).__name__}: {e}"
+        ended.put((i, told))
+
+    waiting = iter(range(len(calls)))
+    while True:
+        while len(open_until) < at_once and (i := next(waiting, None)) is not None:
+            open_until[i] = time.monotonic() + patience
+            threading.Thread(target=run, args=(i,), daemon=True).start()
+        if not open_until:
+            return out
+        try:
+            i, told = ended.get(timeout=max(0.0, min(open_until.values()) - time.monotonic()))
+            if open_until.pop(i, None) is not None:  # else it was given up
+                out[i] = told
+        except queue.Empty:
+            now = time.monotonic()
+            for i in [i for i, end in open_until.items() if end <= now]:
+                del open_until[i]
+                out[i] = None, f"TimeoutError: no answer within {patience:g} seconds"
 
 
 def embed_rows(rows: DataFrame, model: Embedder, text: str = "document", batch: int = 64) -> DataFrame:
@@ -129,22 +190,28 @@ def answer_rows(rows: DataFrame, model: Generator, question: str = "user_input",
     return rows.mapInPandas(run, f"{ddl}, response string, error string")
 
 
-def judged_rows(rows: DataFrame, judge: Judge, key: str = "id") -> DataFrame:
-    """rows(key, user_input, response, contexts array, reference, error): (key, metric, position, verdict, error), one for each verdict; a metric that fails has one row with an error and no verdict."""
+def judged_rows(rows: DataFrame, judge: Judge, key: str = "id", at_once: int = CALLS, patience: float = PATIENCE, retries: int = RETRIES) -> DataFrame:
+    """rows(key, user_input, response, contexts array, reference, error): (key, metric, position, verdict, text, error), one for each verdict or rebuilt question. Each metric of each
+    answer is a call of its own: one that fails has one row with an error, and the others have their verdicts. Metrics that need a reference aren't asked without one."""
     ship(rows.sparkSession)
     kind = rows.schema[key].dataType.simpleString()
 
+    def asked(r) -> list[tuple[str, Callable[[], list]]]:
+        wanted = PLAIN_VERDICTS + (REFERENCE_VERDICTS if isinstance(r.reference, str) and r.reference.strip() else ())
+        verdicts = [(m, lambda m=m: [bool(v) for v in judge.verdicts(m, r.user_input, r.response, list(r.contexts), r.reference)]) for m in wanted]
+        return [*verdicts, (REBUILT, lambda: [str(q) for q in judge.questions(r.response)])]
+
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            out = []
-            for r in b.itertuples(index=False):
-                if r.error is not None and r.error == r.error:
-                    continue
-                try:
-                    found = judge.verdicts(r.user_input, r.response, list(r.contexts), r.reference)
-                    out += ((getattr(r, key), m, i + 1, v, None) for m, vs in found.items() for i, v in enumerate(vs))
-                except Exception as e:  # noqa: BLE001  errors are data
-                    out.append((getattr(r, key), "all", 0, None, f"{type(e).__name__}: {e}"))
-            yield pd.DataFrame(out, columns=[key, "metric", "position", "verdict", "error"])
-
-    return rows.select(key, "user_input", "response", "contexts", "reference", "error").mapInPandas(run, f"{key} {kind}, metric string, position int, verdict boolean, error string")
+            told = [r for r in b.itertuples(index=False) if r.error is None or r.error != r.error]
+            for k in range(0, len(told), TOGETHER):
+                calls = [(getattr(r, key), m, f) for r in told[k : k + TOGETHER] for m, f in asked(r)]
+                out = []
+                for (own, m, _), (found, error) in zip(calls, call_all([f for *_, f in calls], at_once, patience, retries), strict=True):
+                    if error:
+                        out.append((own, m, 0, None, None, error))
+                    else:
+                        out += ((own, m, i, None if m == REBUILT else v, v if m == REBUILT else None, None) for i, v in enumerate(found, 1))
+                yield pd.DataFrame(out, columns=[key, "metric", "position", "verdict", "text", "error"])
+
+    return rows.select(key, "user_input", "response", "contexts", "reference", "error").mapInPandas(run, f"{key} {kind}, metric string, position int, verdict boolean, text string, error string")
