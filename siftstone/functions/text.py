@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 SPACE = r"\s+"
@@ -140,11 +140,46 @@ def ratio(a: Column, b: Column) -> Column:
     return F.coalesce(F.try_divide(a.cast("double"), b.cast("double")), F.lit(0.0))
 
 
+class Line:
+    """What predicates ask of a line: its text without white space at the ends (s), how many characters of each kind it has, its runs of letters, and what is already told of it."""
+
+    def __init__(self, s: Column, counts: dict[str, Column], told: dict[str, Column] | None = None):
+        self.s, self.counts, self.told = s, counts, told or {}
+
+    def __getattr__(self, kind: str) -> Column:
+        if kind in self.__dict__.get("counts", {}):
+            return self.counts[kind]
+        raise AttributeError(kind)
+
+
+COUNTED = {"alpha": LETTER, "digit": DIGIT, "punct": PUNCT, "solid": r"\S", "small": LOWER, "letters": "[A-Za-z]", "capitals": "[A-Z]", "long_words": "[A-Za-z]{2,}", "words": WORD}
+
+
+def line_of(c) -> Line:
+    """Of an expression: each count is computed where a predicate asks for it. Of a Line: itself."""
+    if isinstance(c, Line):
+        return c
+    s = strip(c)
+    return Line(s, {k: count_of(s, p) for k, p in COUNTED.items()})
+
+
+def measured(rows: DataFrame, c) -> tuple[DataFrame, Line]:
+    """rows with columns (_s, _alpha, ..., _prose, _caption, _visual) that are computed once a line, and the Line that reads them: for several predicates on the same line."""
+    rows = rows.withColumn("_s", strip(c)).withColumns({f"_{k}": count_of("_s", p) for k, p in COUNTED.items()})
+    own = Line(F.col("_s"), {k: F.col(f"_{k}") for k in COUNTED})
+    for name, predicate in (("prose", prose_line), ("caption", visual_caption), ("visual", visual_line)):
+        rows = rows.withColumn(f"_{name}", predicate(own))
+        own.told[name] = F.col(f"_{name}")
+    return rows, own
+
+
 def prose_line(c) -> Column:
     """At least 32 characters, 6 words, 10 small letters, half of what isn't white space letters. Words and small letters are read only as far as they suffice."""
-    s = strip(c)
-    six_words, ten_small = s.rlike(r"^(?:[^A-Za-z]*+[A-Za-z][A-Za-z'-]*+){6}"), s.rlike(r"^(?:\P{Ll}*+\p{Ll}){10}")
-    return (F.length(s) >= 32) & six_words & ten_small & (ratio(count_of(s, LETTER), count_of(s, r"\S")) >= 0.5)
+    x = line_of(c)
+    if "prose" in x.told:
+        return x.told["prose"]
+    six_words, ten_small = x.s.rlike(r"^(?:[^A-Za-z]*+[A-Za-z][A-Za-z'-]*+){6}"), x.s.rlike(r"^(?:\P{Ll}*+\p{Ll}){10}")
+    return (F.length(x.s) >= 32) & six_words & ten_small & (ratio(x.alpha, x.solid) >= 0.5)
 
 
 FIGURE = r"(?i)^\s*(?:FIG|FIGURE)\.?\s+[A-Z0-9]+(?:[-.][A-Z0-9]+)*\b"
@@ -153,24 +188,28 @@ TABLE = r"(?i)^\s*TABLE\s+[A-Z0-9]+(?:[-.][A-Z0-9]+)*\b"
 
 def visual_caption(c) -> Column:
     """A figure's or table's caption, and not a sentence that begins with its number."""
-    s = strip(c)
-    rest = F.regexp_replace(s, TABLE + r"\s*", "")
-    figure = s.rlike(FIGURE) & ~F.regexp_replace(s, FIGURE + r"\s*", "").rlike(r"^,\s*[a-z]")
-    return figure | (~s.rlike(FIGURE) & s.rlike(TABLE) & ~(rest.rlike(r"^\p{Ll}") & prose_line(s)))
+    x = line_of(c)
+    if "caption" in x.told:
+        return x.told["caption"]
+    rest = F.regexp_replace(x.s, TABLE + r"\s*", "")
+    figure = x.s.rlike(FIGURE) & ~F.regexp_replace(x.s, FIGURE + r"\s*", "").rlike(r"^,\s*[a-z]")
+    return figure | (~x.s.rlike(FIGURE) & x.s.rlike(TABLE) & ~(rest.rlike(r"^\p{Ll}") & prose_line(x)))
 
 
 def visual_line(c) -> Column:
     """A line of a chart or table: a caption, or mostly numbers and signs, and no prose. A blank line is none."""
-    s = strip(c)
-    alpha, digit, punct = (count_of(s, p) for p in (LETTER, DIGIT, PUNCT))
-    long_words = count_of(s, "[A-Za-z]{2,}")
-    dense = (digit + punct > F.greatest(alpha, F.lit(3))) | ((count_of(s, r"\d+(?:\.\d+)?") >= 3) & (long_words <= 4)) | ((long_words <= 2) & (digit >= 2)) | s.rlike(r"^(?:\d{1,3}[A-Z]|[A-Z]{1,3}\d{1,3})$")
-    return (s != "") & (s.rlike(r"(?i)\bGROUND\s+TIME\s+MINUS\s+VEHICLE\s+TIME\b") | (~prose_line(s) & (visual_caption(s) | dense)))
+    x = line_of(c)
+    if "visual" in x.told:
+        return x.told["visual"]
+    numbers = count_of(x.s, r"\d+(?:\.\d+)?")
+    dense = (x.digit + x.punct > F.greatest(x.alpha, F.lit(3))) | ((x.long_words <= 4) & (numbers >= 3)) | ((x.long_words <= 2) & (x.digit >= 2)) | x.s.rlike(r"^(?:\d{1,3}[A-Z]|[A-Z]{1,3}\d{1,3})$")
+    return (x.s != "") & (x.s.rlike(r"(?i)\bGROUND\s+TIME\s+MINUS\s+VEHICLE\s+TIME\b") | (~prose_line(x) & (visual_caption(x) | dense)))
 
 
 def low_information(c) -> Column:
-    alpha, digit, punct, long_words = (count_of(c, p) for p in (LETTER, DIGIT, PUNCT, "[A-Za-z]{2,}"))
-    return (long_words == 0) | ((long_words < 5) & (digit + punct > F.greatest(alpha, F.lit(1))))
+    # White space at the ends counts for nothing here, so that an expression isn't stripped first.
+    x = c if isinstance(c, Line) else Line(col(c), {k: count_of(c, COUNTED[k]) for k in ("alpha", "digit", "punct", "long_words")})
+    return (x.long_words == 0) | ((x.long_words < 5) & (x.digit + x.punct > F.greatest(x.alpha, F.lit(1))))
 
 
 def ends_mid_sentence(c) -> Column:
@@ -187,7 +226,7 @@ def starts_like_continuation(c) -> Column:
 
 def numbered_heading(c) -> Column:
     """SECTION n, or a number and a title in capitals."""
-    s = strip(c)
+    s = line_of(c).s
     title = F.regexp_extract(s, r"^\d+(?:\.\d+)*\.?\s+(.+)$", 1)
     letters, upper = count_of(title, "[A-Za-z]"), count_of(title, "[A-Z]")
     noise = count_of(title, DIGIT) + count_of(title, PUNCT)
@@ -195,9 +234,8 @@ def numbered_heading(c) -> Column:
 
 
 def short_capital_title(c) -> Column:
-    s = strip(c)
-    letters = count_of(s, "[A-Za-z]")
-    return count_of(s, "[A-Za-z][A-Za-z/-]*").between(1, 8) & (letters > 0) & ~s.rlike(r"\d") & (ratio(count_of(s, "[A-Z]"), letters) >= 0.85)
+    x = line_of(c)
+    return (x.letters > 0) & (ratio(x.capitals, x.letters) >= 0.85) & ~x.s.rlike(r"\d") & count_of(x.s, "[A-Za-z][A-Za-z/-]*").between(1, 8)
 
 
 # Units and quantities on the axes of charts.
@@ -210,7 +248,7 @@ AXIS = (
 
 
 def axis_label(c) -> Column:
-    return strip(c).rlike(AXIS)
+    return line_of(c).s.rlike(AXIS)
 
 
 # Words of narrative, and words that hold sentences together.
@@ -218,19 +256,23 @@ NARRATIVE = "am is are was were be been being has have had do does did will woul
 FUNCTION = "a an the to of for by from that which when while because with as this these those".split()
 
 
+#: A word (WORD) begins at a letter that isn't within another one; hyphens and apostrophes at its end are no part of what it says.
+_BEGIN, _END = r"(?i)(?:^|[^A-Za-z'-])['-]*+", r"['-]*+(?![A-Za-z])"
+
+
 def narrative_line(c) -> Column:
-    """A line of prose, also on a page of charts: no caption or visual line, mostly letters, and one of eight cues of running text."""
-    s, w = strip(c), words(strip(c))
-    plain = F.transform(w, lambda x: F.regexp_replace(F.lower(x), "^[-']+|[-']+$", ""))
-    told = F.arrays_overlap(plain, F.array(*map(F.lit, NARRATIVE)))
-    held = F.size(F.filter(plain, lambda x: x.isin(FUNCTION)))
-    n, small = F.size(w), s.rlike(r"^\p{Ll}")
-    inflected = F.exists(w, lambda x: (F.length(x) >= 5) & F.lower(x).rlike("(?:ed|ing)[-']*$"))
-    hyphened = F.exists(w, lambda x: x.rlike(r"[^-]-+[^-]"))
-    cues = [told, (n >= 4) & inflected, s.rlike(r"[.!?;:](?:\s|$)"), s.endswith("-") & (n >= 3), held >= 4, s.rlike(r"(?i)\bsuch\s+as\b"), small & (n >= 6), small & (n >= 4) & hyphened]
-    fragment = (n <= 3) & F.coalesce(F.try_element_at(plain, F.lit(1)), F.lit("")).endswith("ing") & ~told & (held == 0)
-    solid = (n >= 2) & (ratio(count_of(s, LETTER), count_of(s, r"\S")) >= 0.55) & (count_of(s, LOWER) >= 7)
-    return solid & ~visual_line(s) & ~visual_caption(s) & ~fragment & reduce(lambda a, b: a | b, cues)
+    """A line of prose, also on a page of charts: no caption or visual line, mostly letters, and one of eight cues of running text. Words are looked at where they stand."""
+    x = line_of(c)
+    s, n = x.s, x.words
+    told = s.rlike(f"{_BEGIN}(?:{'|'.join(NARRATIVE)}){_END}")
+    held = F.regexp_count(s, F.lit(f"{_BEGIN}(?:{'|'.join(FUNCTION)}){_END}"))
+    inflected = s.rlike(f"{_BEGIN}(?=[A-Za-z][A-Za-z'-]{{4}})[A-Za-z'-]*?(?:ed|ing){_END}")
+    hyphened = s.rlike(f"{_BEGIN}[A-Za-z](?:[A-Za-z'-]*[A-Za-z'])?-+[A-Za-z']")
+    small = s.rlike(r"^\p{Ll}")
+    cues = [told, s.rlike(r"[.!?;:](?:\s|$)"), small & (n >= 6), s.endswith("-") & (n >= 3), (n >= 4) & inflected, held >= 4, s.rlike(r"(?i)\bsuch\s+as\b"), small & (n >= 4) & hyphened]
+    fragment = (n <= 3) & s.rlike(f"(?i)^[^A-Za-z]*+(?=[A-Za-z])[A-Za-z'-]*?ing{_END}") & ~told & (held == 0)
+    solid = (x.small >= 7) & (n >= 2) & (ratio(x.alpha, x.solid) >= 0.55)
+    return solid & ~visual_line(x) & ~visual_caption(x) & ~fragment & reduce(lambda a, b: a | b, cues)
 
 
 # --- names ---

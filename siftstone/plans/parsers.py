@@ -79,12 +79,12 @@ def line_pages(spark, sf_dir):
 
 def line_kinds(spark, sf_dir):
     """Each predicate over the lines of each file: how many lines it holds for."""
-    rows = built(spark, sf_dir).select("doc_id", F.explode(F.split("value", "\n")).alias("line"))
+    rows, x = X.measured(built(spark, sf_dir).select("doc_id", F.explode(F.split("value", "\n")).alias("line")), "line")
     flags = {
-        "numbered": X.numbered_heading("line"), "capitals": X.short_capital_title("line"), "axis": X.axis_label("line"), "caption": X.visual_caption("line"),
-        "visual": X.visual_line("line"), "prose": X.prose_line("line"), "narrative": X.narrative_line("line"), "low": (X.strip("line") != "") & X.low_information("line"),
+        "numbered": X.numbered_heading, "capitals": X.short_capital_title, "axis": X.axis_label, "caption": X.visual_caption,
+        "visual": X.visual_line, "prose": X.prose_line, "narrative": X.narrative_line, "low": lambda x: (x.s != "") & X.low_information(x),
     }
-    return rows.groupBy("doc_id").agg(*(F.count_if(F.coalesce(c, F.lit(False))).alias(k) for k, c in flags.items()))
+    return rows.groupBy("doc_id").agg(*(F.count_if(F.coalesce(c(x), F.lit(False))).alias(k) for k, c in flags.items()))
 
 
 def continuations(spark, sf_dir):

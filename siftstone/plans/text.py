@@ -38,10 +38,11 @@ def prose_lines(spark, sf_dir):
 
 def visual_ratio(spark, sf_dir):
     """For each document: its lines, the visual part of them, and whether it reads like the body of a table."""
-    s = X.strip("line")
-    told = _lines(spark, sf_dir).where(s != "").withColumns({"v": X.visual_line("line"), "p": X.prose_line("line"), "s": s})
-    alpha, digit, punct = (X.count_of("s", k) for k in (X.LETTER, X.DIGIT, X.PUNCT))
-    g = told.groupBy("doc_id").agg(F.count("*").alias("n"), F.count_if("v").alias("visual"), F.count_if("p").alias("prose"), F.count_if((F.length("s") <= 28) | (digit > alpha)).alias("short"), F.count_if(digit + punct > alpha).alias("numeric"))
+    told, x = X.measured(_lines(spark, sf_dir), "line")
+    g = told.where(x.s != "").groupBy("doc_id").agg(
+        F.count("*").alias("n"), F.count_if(X.visual_line(x)).alias("visual"), F.count_if(X.prose_line(x)).alias("prose"),
+        F.count_if((F.length(x.s) <= 28) | (x.digit > x.alpha)).alias("short"), F.count_if(x.digit + x.punct > x.alpha).alias("numeric"),
+    )
     body = (F.col("n") >= 8) & (F.col("prose") < 2) & ((F.col("short") / F.col("n") > 0.72) | (F.col("numeric") / F.col("n") > 0.55))
     return g.select("doc_id", "n", F.round(F.col("visual") / F.col("n"), 6).alias("visual_ratio"), body.alias("table_body"))
 
