@@ -59,16 +59,16 @@ def file_documents(records: DataFrame) -> DataFrame:
     return told.withColumn("text", text).withColumn("source", F.col("doc_id")).drop("_lines", "_blocks", "_bad", "_kinds")
 
 
-def file_chunks(records: DataFrame, size: int = chunks.SIZE, overlap: int = chunks.OVERLAP) -> DataFrame:
-    """Chunks of each file's document, which never cross files."""
-    packed = chunks.packed_chunks(file_documents(records), "text", "source_type", size, overlap)
+def file_chunks(records: DataFrame, size: int = chunks.SIZE, overlap: int = chunks.OVERLAP, count: Callable[[str], int] = chunks.by_words) -> DataFrame:
+    """Chunks of each file's document, which never cross files. count tells a text's tokens: words, or a models.TokenCounter."""
+    packed = chunks.packed_chunks(file_documents(records), "text", "source_type", size, overlap, count)
     return packed.drop("text").withColumnRenamed("chunk", "document")
 
 
-def ingest_corpus(spark: SparkSession, base: str, collection: store.Collection, mode: str = "skip", embedder: models.Embedder | None = None, size: int = chunks.SIZE, overlap: int = chunks.OVERLAP, catalog=sources.CATALOG) -> dict:
+def ingest_corpus(spark: SparkSession, base: str, collection: store.Collection, mode: str = "skip", embedder: models.Embedder | None = None, size: int = chunks.SIZE, overlap: int = chunks.OVERLAP, catalog=sources.CATALOG, count: Callable[[str], int] = chunks.by_words) -> dict:
     """The catalog's files as one version of the collection; a file that fails is counted, and the others go on."""
     _, _, records = sources.catalog_records(spark, base, catalog)
-    return store.ingest(collection, file_chunks(records, size, overlap), mode, lambda d: models.embed_rows(d, embedder or models.HashEmbedder()))
+    return store.ingest(collection, file_chunks(records, size, overlap, count), mode, lambda d: models.embed_rows(d, embedder or models.HashEmbedder()))
 
 
 def mission_or_all(mission: str | None) -> str | None:
@@ -204,6 +204,7 @@ def parser() -> argparse.ArgumentParser:
     s.add_argument("--data-path", default="data_text")
     s.add_argument("--chunk-size", type=int, default=chunks.SIZE)
     s.add_argument("--chunk-overlap", type=int, default=chunks.OVERLAP)
+    s.add_argument("--token-ranks", help="ranks of a byte-pair tokenizer; chunk sizes are then its tokens and not words")
     s.add_argument("--update-mode", choices=("skip", "update", "replace"), default="skip")
     s.add_argument("--test-query")
     s.add_argument("--stats-only", action="store_true")
@@ -257,7 +258,7 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> in
     elif a.stats_only:
         held.stats().orderBy("facet", "value").show(200, False)
     else:
-        print(ingest_corpus(spark, a.data_path, held, a.update_mode, None, a.chunk_size, a.chunk_overlap))
+        print(ingest_corpus(spark, a.data_path, held, a.update_mode, None, a.chunk_size, a.chunk_overlap, count=models.TokenCounter(a.token_ranks) if a.token_ranks else chunks.by_words))
         if a.test_query:
             for r in retrieve(held, a.test_query, 3).orderBy("rank").collect():
                 print(r["rank"], r["id"], r["document"][:200])

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import base64
 import queue
 import re
 import threading
@@ -45,6 +46,39 @@ class Judge(Protocol):
         ...
 
 
+# Fixed value: how the public byte-level tokenizers of the second generation cut a text before they merge.
+BYTE_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+
+
+class TokenCounter:
+    """Tokens of a text by a byte-pair tokenizer: its ranks, as a file of base64 pieces and numbers, and its pattern are the caller's. The driver reads the file, and tasks get it
+    with the counter. Strings of special tokens are text. Short pieces' counts are remembered."""
+
+    def __init__(self, path: str, pattern: str = BYTE_PATTERN, remembered: int = 100_000):
+        with open(path, "rb") as f:
+            self.ranks = f.read()
+        self.pattern, self.remembered = pattern, remembered
+        self._encoder, self._known = None, {}
+
+    def __getstate__(self) -> dict:
+        return self.__dict__ | {"_encoder": None, "_known": {}}
+
+    def __call__(self, text: str) -> int:
+        if (n := self._known.get(text)) is not None:
+            return n
+        if self._encoder is None:
+            import tiktoken
+
+            ranks = {base64.b64decode(piece): int(rank) for piece, rank in map(bytes.split, filter(bytes.strip, self.ranks.splitlines()))}
+            self._encoder = tiktoken.Encoding("own", pat_str=self.pattern, mergeable_ranks=ranks, special_tokens={})
+        n = len(self._encoder.encode_ordinary(text))
+        if len(text) <= 64:
+            if len(self._known) >= self.remembered:
+                self._known.clear()
+            self._known[text] = n
+        return n
+
+
 class HashEmbedder:
     """Signed counts of word hashes, of length 1."""
 

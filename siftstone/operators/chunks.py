@@ -21,6 +21,10 @@ def check_sizes(size: int, overlap: int) -> None:
         raise ValueError("chunk overlap must be at least 0 and below the chunk size")
 
 
+def by_words(text: str) -> int:
+    return len(text.split())
+
+
 def stride_chunks(docs: DataFrame, text: str = "text", size: int = SIZE, overlap: int = OVERLAP) -> DataFrame:
     """Windows of size white-space tokens, each starting size - overlap after the last: adds chunk_index, total_chunks, token_count and chunk. Blank texts give none;
     a text of one window is kept as it is. No shuffle, no Python."""
@@ -56,7 +60,10 @@ def pack(text: str, count: Callable[[str], int], size: int, overlap: int, separa
         n += c
     if held:
         out.append("".join(held))
-    return [x for x in out if x.strip()]
+    kept = [x for x in out if x.strip()]
+    if any(count(x) > size for x in kept):
+        raise RuntimeError(f"a chunk has more tokens than its pieces, above the chunk size {size}")
+    return kept
 
 
 def _split_keep(text: str, separator: str) -> list[str]:
@@ -64,7 +71,7 @@ def _split_keep(text: str, separator: str) -> list[str]:
     return [p + separator for p in parts[:-1]] + parts[-1:]
 
 
-def packed_chunks(docs: DataFrame, text: str = "text", kind: str = "source_type", size: int = SIZE, overlap: int = OVERLAP, count: Callable[[str], int] = lambda s: len(s.split())) -> DataFrame:
+def packed_chunks(docs: DataFrame, text: str = "text", kind: str = "source_type", size: int = SIZE, overlap: int = OVERLAP, count: Callable[[str], int] = by_words) -> DataFrame:
     """The packing of pack() over rows, in Arrow batches; kind must be report or transcript where a text has to be split. Adds the same columns as stride_chunks."""
     check_sizes(size, overlap)
     ship(docs.sparkSession)
