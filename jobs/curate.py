@@ -19,7 +19,6 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from siftstone.functions import text as X
-from siftstone.operators.context import dedup_key
 
 log = logging.getLogger("jobs.curate")
 #: Five words; a text that has them isn't noise, and needs no counting.
@@ -32,7 +31,7 @@ def judged(docs: DataFrame, facet: str = "lang", least_words: int = 5) -> DataFr
     mission = F.coalesce(F.nullif(F.col(facet), F.lit("")), F.lit("unknown"))
     cleaned = docs.select("doc_id", mission.alias("mission"), "source", F.coalesce(X.clean_text("text"), F.lit("")).alias("document"))
     # The key's digest as 32 bytes; it is told in hexadecimal digits.
-    keyed = cleaned.withColumn("key", F.unhex(F.sha2(dedup_key("document"), 256)))
+    keyed = cleaned.withColumn("key", F.unhex(F.sha2(F.lower("document"), 256)))
     one = keyed.groupBy("key", "doc_id").agg(F.min(F.struct("mission", "source", "document")).alias("d"), F.count("*").alias("copies"))
     first = keyed.where("doc_id is not null").groupBy("key").agg(F.min("doc_id").alias("doc_id")).withColumn("first", F.lit(True))
     met = one.join(first, ["key", "doc_id"], "left").select("key", "doc_id", "copies", "first", "d.*")

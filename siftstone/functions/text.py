@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from functools import reduce
+from functools import cache, reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -66,6 +66,25 @@ def first_match(c, rules: list[tuple[str, str]], default: str) -> Column:
     return out
 
 
+@cache
+def _folded() -> tuple[tuple[str, str], dict[str, str]]:
+    """Characters that fold to one character, with these in the same order, and those that fold to several: Python's own rule over all code points."""
+    changed = {c: f for c in map(chr, range(0x110000)) if (f := c.casefold()) != c}
+    one = {c: f for c, f in changed.items() if len(f) == 1}
+    return ("".join(one), "".join(one.values())), {c: f for c, f in changed.items() if len(f) > 1}
+
+
+def casefold(c) -> Column:
+    """Python's str.casefold: what differs in case only is equal, ß and ss, and σ and ς, too. ASCII takes the short way."""
+    (before, after), several = _folded()
+    rules = F.array(*(F.struct(F.lit(k).alias("k"), F.lit(v).alias("v")) for k, v in several.items()))
+    x = col(c)
+    single = F.translate(x, before, after)
+    long = F.aggregate(rules, single, lambda s, r: F.replace(s, r["k"], r["v"]))
+    full = F.when(x.rlike(f"[{''.join(several)}]"), long).otherwise(single)
+    return F.when(x.rlike(r"[^\x00-\x7F]"), full).otherwise(F.lower(x))
+
+
 def alnum_key(c) -> Column:
     return F.regexp_replace(F.lower(col(c)), r"[^\p{L}\p{N}]", "")
 

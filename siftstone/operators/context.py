@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import MISSIONS, alnum_key, col, collapse, first_filled, mission_key, strip
+from ..functions.text import MISSIONS, alnum_key, casefold, col, collapse, first_filled, mission_key, strip
 from .files import span
 
 NO_CONTEXT = "No retrieved documents were provided."
@@ -16,7 +16,7 @@ ROLES = ("user", "assistant")
 
 
 def dedup_key(text: str | Column) -> Column:
-    return F.lower(collapse(text))
+    return casefold(collapse(text))
 
 
 def distinct_in_order(ranked: DataFrame, text: str, group: str, order: str) -> DataFrame:

@@ -85,7 +85,7 @@ def validation(spark, sf_dir):
 
 
 def duplicate_texts(spark, sf_dir):
-    return validate.duplicates(_docs(spark, sf_dir).select(F.md5(context.dedup_key("text")).alias("text_md5")), "text_md5")
+    return validate.duplicates(_docs(spark, sf_dir).select(F.md5(F.lower(X.collapse("text"))).alias("text_md5")), "text_md5")
 
 
 def union_all(spark, sf_dir):
