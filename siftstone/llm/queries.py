@@ -35,7 +35,7 @@ def queries():
     return {
         "op1_pii_spans": docs(pii_digest),
         "op2_exact_top_k": lambda spark, sf_dir: vector_top_k(table(spark, sf_dir, "embeddings")),
-        "op3_secret_spans": docs(secret_digest),
+        "op3_secret_spans": docs(lambda d: secret_digest(d, tokenizer_path("byte_bpe_50k.tiktoken"))),
         "op4_url_verdicts": lambda spark, sf_dir: url_verdicts(table(spark, sf_dir, "pages")),
         "op5_sampled_shards": docs(shard_digest),
         "op6_line_spread": docs(line_digest),

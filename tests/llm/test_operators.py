@@ -10,6 +10,8 @@ from collections import Counter
 import numpy as np
 import pytest
 import xxhash
+from hypothesis import given, settings
+from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from siftstone.llm import components, decontam, linededup, mixing, pii, quality, secrets, sharding, simhash, topk, urls
@@ -286,8 +288,10 @@ def brute_guess_cost(v, rank):
             yield 1.5 + np.log10(n) + secrets.CUT
         if n >= 3 and len(set(s)) == 1:
             yield secrets.brute(s[0]) + np.log10(n) + secrets.CUT
-        if 2 <= n <= a and v[a - n : a] == s:
-            yield secrets.TWICE
+        for p in range(2, min(a, n) + 1):
+            block = v[a - p : a]
+            if n % p == 0 and s == block * (n // p) and not any(p % q == 0 and block == block[:q] * (p // q) for q in range(1, p)):
+                yield secrets.TWICE + np.log10(n // p)
         if re.fullmatch("[a-z]+", s) and not re.search(f"[^aeiou]{{{secrets.CLUSTER + 1}}}", s):
             yield (n - len(kinds(s))) * secrets.VOWEL + len(kinds(s)) * secrets.OTHER + secrets.CUT
 
@@ -302,6 +306,9 @@ def test_guess_cost_is_the_least_over_all_cuts():
     pieces = ["password", "Pass", "p@ss", "w0rd", "monkey", "tyuiop", "qwertz", "asdf", "1999", "2024-05-06", "aaaa", "77777", "abc", "abcabc", "xy7", "Kz!", "strength", "ß", "dragon", "oiuy", "-"]
     values = ["password", "qwerty12", "aaaa1999", "x8Gf!2pQ", "abab12", "monkeytyuiop", "kzvqwpxmrtjyhdk", "abcdeabcde", "yyyyyyy"]
     values += ["".join(rng.choice(pieces) for _ in range(rng.randrange(1, 5))) for _ in range(300)]
+    values += ["dragon" + "n" * 69, "monkey" + "y" * 80 + "1", "abc" * 40 + "d", "x9" + "qwertyuiop" * 8, "z" * 70 + "ab" * 40, "abcdefghij" * 3 + "j" * 66, "Kz!7qfbX0pLm" * 12 + "Kz!7"]
+    values += ["".join(rng.choice("ab") for _ in range(n)) for n in range(5, 60, 2)]
+    values += ["".join(rng.choice(pieces) * rng.choice((1, 1, 2, 9)) for _ in range(rng.randrange(1, 4))) for _ in range(60)]
     for v in values:
         cost, parts = secrets.parts(v)
         assert [p[1:] for p in parts] == [(a, b) for (_, a, _), (_, _, b) in zip(parts, parts, strict=True)] and parts[0][1] == 0 and parts[-1][2] == len(v)
@@ -309,7 +316,22 @@ def test_guess_cost_is_the_least_over_all_cuts():
         assert cost == pytest.approx(brute_guess_cost(v, secrets.RANK)), v
     assert secrets.parts("monkeytyuiop")[1] == [("word", 0, 6), ("walk", 6, 12)]
     assert secrets.guess_cost("password1") < secrets.guess_cost("pazsdord7") < secrets.guess_cost("x8Gf!2pQz9#L")
-    assert secrets.guess_cost("z" * 5000) < 6 and len(secrets.parts("zq" * 3000)[1]) < 3000
+    assert secrets.guess_cost("z" * 5000) < 6 and len(secrets.parts("zq" * 3000)[1]) < 5 and secrets.guess_cost("q7" * 20_000 + "!") < 11
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.text("ab", max_size=40) | st.text("abc", max_size=30) | st.integers(0, 40).map(lambda n: "abaab" * (n // 5) + "b" * (n % 5)))
+def test_repetitions_are_all_there_are(v):
+    want = set()
+    for p in range(2, len(v) // 2 + 1):
+        for a in range(len(v) - 2 * p + 1):
+            b = a
+            while b + p < len(v) and v[b] == v[b + p]:
+                b += 1
+            word = v[a : a + p]
+            if b - a >= p and (not a or v[a - 1] != v[a - 1 + p]) and not any(p % q == 0 and word == word[:q] * (p // q) for q in range(1, p)):
+                want.add((a, b + p, p))
+    assert secrets.repetitions(v) == sorted(want)
 
 
 def test_words_are_ranked_by_a_vocabulary(tmp_path):
@@ -318,7 +340,9 @@ def test_words_are_ranked_by_a_vocabulary(tmp_path):
     at = tmp_path / "ranks"
     at.write_text("".join(f"{base64.b64encode(t).decode()} {i}\n" for i, t in enumerate([b" zephyrus", b"zeppelin", b" Zephyrus", b" x9y", b" gondolas", "\u00e9".encode()])))
     rank = secrets.dictionary(str(at))
-    assert list(rank)[-2:] == ["zephyrus", "gondolas"] and list(rank)[:-2] == list(secrets.RANK) == list(secrets.dictionary(str(tmp_path / "none"))) == list(secrets.dictionary(None))
+    assert list(rank)[-2:] == ["zephyrus", "gondolas"] and list(rank)[:-2] == list(secrets.RANK) == list(secrets.dictionary(None))
+    with pytest.raises(FileNotFoundError):
+        secrets.dictionary(str(tmp_path / "none"))
     assert secrets.guess_cost("gondolas", rank) < secrets.guess_cost("gondolas")
 
 
@@ -329,8 +353,28 @@ def test_secrets_in_context(spark):
     assert found("the token is therheanon.") == [] and found("pwd: password1") == [] and found("password = abcdef12345XYZ") == []
     many = "pwd: " + "=".join(f"token{'=' if i % 2 else ':'}abcdef{i}" for i in range(20))  # many base spans in one value
     assert found(many) == [] and len(secrets.find_secrets(many)[0]) > 8
+    assert found("login is passphrase: kzvqwpxmrtjyhdk") == ["kzvqwpxmrtjyhdk"] == found("login is password is passphrase: kzvqwpxmrtjyhdk")
+    assert found("my credentials is bearer: kzvqwpxmrtjyhdk9") == ["kzvqwpxmrtjyhdk9"] and found("the login is pwd=kzvqwpx9") == ["pwd=kzvqwpx9"]
+    assert found("pwd: " * 5000 + "x8Gf!2pQz9#L") == ["x8Gf!2pQz9#L"]
+    assert len(found("pwd:=" * 10_000)) == 1 and found("token=" * 5000 + " pwd: aaaaaaaaaaaaaaaa") == []  # in time that follows the length
     full, empty = both(spark, EDGES)
-    assert secrets.secret_digest(full).count() == len(EDGES) and secrets.secret_digest(empty).count() == 0
+    assert secrets.secret_digest(full, None).count() == len(EDGES) and secrets.secret_digest(empty, None).count() == 0
+
+
+def test_secrets_by_recall_and_false_ones():
+    """Values of three makers that aren't the program's: random letters and signs, and random letters alone, behind a credential's word; words in prose."""
+    rng = random.Random(8)
+    words = ["correct", "needed", "required", "wrong", "expired", "summer", "welcome", "dragons", "missing", "printed", "invalid", "optional"]
+    cues = ["passcode: {}", "pwd={}", "passphrase -> {}", "my login is {}", "api key: {}", "bearer: {}"]
+    signs = "".join(map(chr, range(33, 127))).translate(str.maketrans("", "", "\"'`<>,;"))
+    hit = {"signs": 0, "letters": 0, "words": 0}
+    for _ in range(600):
+        made = {"signs": "".join(rng.choices(signs, k=12)), "letters": "".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=14)), "words": rng.choice(words) + rng.choice(["", "1", "123", "2019"])}
+        for kind, v in made.items():
+            text = rng.choice(cues).format(v)
+            rank = secrets.ranked([*secrets.COMMON, *words]) if kind == "words" else secrets.RANK
+            hit[kind] += any(k == 3 for k, *_ in secrets.find_secrets(text, rank=rank)[1])
+    assert hit["signs"] >= 0.97 * 600 and hit["letters"] >= 0.9 * 600 and hit["words"] <= 0.01 * 600, hit
 
 
 # --- 4 ---
