@@ -1,8 +1,8 @@
 """Personal data: pattern matches that always stay, and spans that a semi-Markov conditional random field adds.
 
 The field scores candidate segments by features of the whole span (digit count, grouping, checksum, shape, cue words before
-it); a dynamic program over each window of tokens picks boundaries and types together, with entities of at most MAX_TOKENS
-tokens. Pattern matches enter the program as fixed segments. Its weights are fitted by conditional likelihood to windows that
+it); a dynamic program over each window of tokens picks boundaries and types together. Entities with letters have at most MAX_TOKENS tokens,
+those of digits at most DIGITS[1] digits with at most GAP signs between two groups, and none is a piece of a longer row of lone digits. Pattern matches enter the program as fixed segments. Its weights are fitted by conditional likelihood to windows that
 a seeded generator labels, so nothing depends on the corpus.
 
 A window is a run of characters that candidates consist of, around what a candidate must hold: digits, a spelled-out dot or a
@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from .common import map_rows
 
 KINDS = ("email", "ip", "card", "phone")
-MAX_TOKENS = 20
+MAX_TOKENS, GAP = 20, 4
 #: Digits of a candidate without spelled-out parts, at least; and of any, at most.
 DIGITS = (7, 19)
 
@@ -37,11 +37,11 @@ CHAIN = re.compile(r"[0-9][0-9 ().-]*")
 IP = re.compile(r"(?<![0-9])[0-9]++(?:\.[0-9]++){3}")
 CARD = re.compile(r"[0-9](?:[ -]?[0-9])++")
 PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
-TOKEN = re.compile(r"[A-Za-z]+|[0-9]+|\s|.", re.S)
+TOKEN = re.compile(r"[^\W\d_]+|[0-9]+|\s|.", re.S)
 OPENS = re.compile(r"[0-9@]|(?<![A-Za-z])[dD][oO][tT](?![A-Za-z])|[\[({]\s?[aA][tT]\s?[\])}]")
 #: Runs that hold all of a candidate of digits, or of one with letters; the mark that the latter must hold.
 NUMERIC = re.compile(r"[0-9+(\[][0-9+().\[\]/\-\t\x20\u00a0]*")
-SPELLED = re.compile(r"[A-Za-z0-9.()\[\]{}/_@\-\t\x20\u00a0]+")
+SPELLED = re.compile(r"(?:[^\W\d]|[0-9.()\[\]{}/@\-\t\x20\u00a0])+")
 DOT = re.compile(r"(?<![A-Za-z])dot(?![A-Za-z])|[\[({]\s?at\s?[\])}]", re.I)
 FANGS = re.compile(r"[\[(]\.[\])]")
 
@@ -88,18 +88,19 @@ SHAPES = {
     "defanged": re.compile(r"\d{1,3}(?:(?:\.|\[\.\]|\(\.\))\d{1,3}){3}"),
     "fours": re.compile(r"\d{4}(?:[ .-]\d{4}){2,3}(?:[ .-]\d{1,3})?"),
     "email": re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+"),
-    "spelled": re.compile(r"[A-Za-z][A-Za-z0-9._-]{0,63} ?(?:[\[({] ?at ?[\])}]|\bat\b) ?[A-Za-z0-9-]{2,63}(?: ?(?:[\[({] ?dot ?[\])}]|\bdot\b) ?[A-Za-z]{2,24}){1,3}", re.I),
-    "bracketed": re.compile(r"[A-Za-z][A-Za-z0-9._-]{0,63} ?[\[({] ?at ?[\])}] ?[A-Za-z0-9-]{2,63}(?:\.[A-Za-z]{2,24}){1,3}", re.I),
+    "spelled": re.compile(r"[^\W\d_][\w.-]{0,63} ?(?:[\[({] ?at ?[\])}]|\bat\b) ?[A-Za-z0-9-]{2,63}(?: ?(?:[\[({] ?dot ?[\])}]|\bdot\b) ?[A-Za-z]{2,24}){1,3}", re.I),
+    "bracketed": re.compile(r"[^\W\d_][\w.-]{0,63} ?[\[({] ?at ?[\])}] ?[A-Za-z0-9-]{1,63}(?:\.[A-Za-z]{2,24}){1,3}", re.I),
     "ending": re.compile(r".*[^A-Za-z](?:com|org|net|edu|gov|info|[a-z]{2})", re.I),
     "prose": re.compile(r".*\bat (?:the|an?|this|that|each|every|his|her|its|our|your|my|their|one)\b.*", re.I),
     "date": re.compile(r"(?:\d{4}[./-]\d{1,2}[./-]\d{1,2}|\d{1,2}[./-]\d{1,2}[./-]\d{2,4})(?:[ T]\d{1,2}.*)?"),
     "book": re.compile(r"97[89][ -](?:\d{1,7}[ -]){3}\d"),
+    "lone": re.compile(r"\d(?: (?:- )?\d){8,14}"),
     "plain": re.compile(r"\d+"),
     "dots": re.compile(r"\d+(?:\.\d+)+"),
 }
 CUES = tuple(
     re.compile(x, re.I)
-    for x in (r"mail|contact|write", r"\bip\b|host|server|address", r"card|visa|master|amex|pay", r"tel|phone|call|fax|mobile|whatsapp|ring|reach", r"isbn|issn|order|invoice|version|release|serial|\bref|part|item|\bno\b|\bid\b")
+    for x in (r"mail|contact|write", r"\bip\b|host|server|address", r"card|visa|master|amex|pay", r"tel|phone|call|fax|mobile|whatsapp|ring|reach", r"isbn|issn|order|score|total|invoice|version|release|serial|\bref|part|item|\bno\b|\bid\b")
 )
 #: The span is part of something longer.
 GOES_ON = re.compile(r"[^\W_][-.@_/+]?$"), re.compile(r"[-.@_/+]?[^\W_]")
@@ -127,32 +128,42 @@ def features(before: str, span: str, after: str) -> list[float]:
 
 
 def segments(text: str, tokens: list[Span]) -> list[tuple[int, int]]:
-    """Candidate entities of a window as (first token, token after the last), at most MAX_TOKENS long: digits and their signs with DIGITS[0] to DIGITS[1] digits, or fewer in an address whose dots are bracketed; or
-    letters, digits and their signs from a letter to a letter that hold "at" and then "dot", or a bracketed "at". Tokens with a kind are fixed and in no candidate."""
+    """Candidate entities of a window as (first token, token after the last): digits and their signs with DIGITS[0] to DIGITS[1] digits, or fewer in an address whose dots are bracketed; or
+    letters, digits and their signs from a letter to a letter that hold "at" and then "dot", or a bracketed "at". Tokens with a kind are fixed and in no candidate; one that begins or ends among lone digits holds them all."""
     text_of = [text[a:b].lower() for _, a, b in tokens]
     numeric = [u[0] in "0123456789.-/()[]" or u[0].isspace() and u[0] not in "\n\r" for u in text_of]
-    spelled = [x or u[0].isascii() and u[0].isalpha() or u[0] in "{}_@" for x, u in zip(numeric, text_of, strict=True)]
+    spelled = [x or u[0].isalpha() or u[0] in "{}_@" for x, u in zip(numeric, text_of, strict=True)]
+    lone = [k < 0 and len(u) == 1 and u in "0123456789" for (k, _, _), u in zip(tokens, text_of, strict=True)]
+
+    def goes_on(at: int, step: int) -> bool:
+        """A lone digit has another one beside it, at most GAP signs away."""
+        x = at + step
+        while lone[at] and 0 <= x < len(tokens) and abs(x - at) <= GAP and tokens[x][0] < 0 and numeric[x] and not text_of[x][0].isdigit():
+            x += step
+        return lone[at] and 0 <= x < len(tokens) and lone[x] and abs(x - at) > 1
+
+    begins = [not goes_on(i, -1) for i in range(len(tokens))]
+    ends = [not goes_on(i, 1) for i in range(len(tokens))]
     out = []
     for i, u in enumerate(text_of):
-        if tokens[i][0] >= 0 or not u[0].isascii():
-            continue
         letters = u[0].isalpha()
-        if not (letters or u[0].isdigit() or u[0] in "+("):
+        if tokens[i][0] >= 0 or not (letters or u[0] in "0123456789+(") or not letters and not begins[min(i + (u[0] in "+("), len(tokens) - 1)]:
             continue
-        digits, at, told = 0, False, False
-        for j in range(i, min(i + MAX_TOKENS, len(tokens))):
+        digits, gap, at, told = 0, 0, False, False
+        for j in range(i, min(i + MAX_TOKENS, len(tokens)) if letters else len(tokens)):
             v = text_of[j]
             if tokens[j][0] >= 0 or not (spelled if letters else numeric)[j] and j > i:
                 break
             digits += len(v) if v[0].isdigit() else 0
-            if digits > DIGITS[1]:
+            gap = 0 if v[0].isdigit() else gap + 1
+            if digits > DIGITS[1] or not letters and gap > GAP:
                 break
             if letters:
                 at = at or j > i and v == "at"
                 told = told or at and v == "dot" or j > i + 1 and v == "at" and DOT.fullmatch(_bracketed(text_of, j)) is not None
                 if told and v[0].isalpha() and v not in ("at", "dot"):
                     out.append((i, j + 1))
-            elif v[0].isdigit() and (digits >= DIGITS[0] or digits > 3 and FANGS.search(text, tokens[i][1], tokens[j][2])):
+            elif v[0].isdigit() and ends[j] and (digits >= DIGITS[0] or digits > 3 and FANGS.search(text, tokens[i][1], tokens[j][2])):
                 out.append((i, j + 1))
     return out
 
@@ -264,8 +275,9 @@ def made_windows(seed: int, count: int) -> list[tuple[str, list[Span]]]:
     d = lambda n: "".join(r.choice("0123456789") for _ in range(n))
     word = lambda: "".join(r.choice("abcdefghilmnoprstu") for _ in range(r.randint(3, 8)))
 
-    name = lambda: r.choice((word(), f"{word()}{r.choice('._-')}{word()}", f"{word()}{d(2)}"))
-    place = lambda: r.choice((word(), f"{word()}-{word()}"))
+    letter = lambda: r.choice("abcdefghilmnoprstu")
+    name = lambda: r.choice((word(), f"{word()}{r.choice('._-')}{word()}", f"{letter()}.{letter()}", f"{word()}{r.choice('äéñøü')}{word()}", f"{word()}{d(2)}"))
+    place = lambda: r.choice((word(), word(), f"{word()}-{word()}"))
 
     def spelled() -> str:
         at, dot = r.choice(((" at ", " dot "), (" [at] ", " [dot] "), ("(at)", "(dot)"), (" (at) ", " dot "), ("[at]", " dot ")))
@@ -278,7 +290,9 @@ def made_windows(seed: int, count: int) -> list[tuple[str, list[Span]]]:
 
     makes = (
         (0, spelled),
-        (0, lambda: f"{name()}{r.choice((' [at] ', '(at)', ' (at) '))}{place()}.{r.choice(('com', 'org', 'co.uk'))}"),
+        (0, lambda: f"{name()}{r.choice((' [at] ', '(at)', ' (at) '))}{r.choice((place, letter))()}.{r.choice(('com', 'org', 'co.uk'))}"),
+        (3, lambda: r.choice((" ".join(d(r.randint(9, 12))), " - ".join(" ".join(d(n)) for n in (3, 3, 4))))),
+        (-2, lambda: r.choice((f"{d(3)}-{d(3)}-{d(4)}", f"{d(3)} {d(3)} {d(4)}", f"{d(3)}.{d(3)}.{d(4)}", " ".join(d(r.randint(7, 10))))),),
         (1, lambda: r.choice((".", "[.]", "(.)")).join(str(r.randint(0, 255)) for _ in range(4))),
         (2, lambda: card(True)),
         (3, lambda: r.choice((f"({d(3)}) {d(3)}-{d(4)}", f"{d(3)}-{d(3)}-{d(4)}", f"{d(3)}.{d(3)}.{d(4)}", f"1 ({d(3)}) {d(3)}-{d(4)}", f"0{d(2)} {d(4)} {d(4)}", f"00{d(2)} {d(3)} {d(3)} {d(3)}", f"0{d(3)}/{d(6)}"))),
@@ -287,7 +301,14 @@ def made_windows(seed: int, count: int) -> list[tuple[str, list[Span]]]:
         (-1, lambda: f"{word()} at the dot {word()}"),
         (-1, lambda: f"{d(2)}, {d(3)}, {d(2)}, {d(4)}"),
     )
-    cues = (("mail ", "contact: ", "", ""), ("ip ", "server ", "", ""), ("card ", "visa: ", "", ""), ("call ", "phone: ", "tel ", "", ""), ("order ", "in ", "id ", "page ", "ISBN ", "version ", "item no "))
+    cues = {
+        0: ("mail ", "contact: ", "", ""),
+        1: ("ip ", "server ", "", ""),
+        2: ("card ", "visa: ", "", ""),
+        3: ("call ", "phone: ", "tel ", "", ""),
+        -1: ("order ", "in ", "id ", "page ", "ISBN ", "version ", "item no "),
+        -2: ("order ", "invoice ", "ref ", "score ", "serial no ", "part ", "total: "),  # numbers that look like a phone's but for the word before them
+    }
     out = []
     for _ in range(count):
         k, make = r.choice(makes)

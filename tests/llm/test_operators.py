@@ -66,11 +66,22 @@ def test_long_parts_of_an_ip_are_tested_by_value(t):
 
 def test_field_adds_spans_and_keeps_base_ones():
     w = pii.weights()
-    for t, kind, span in [("call me (743) 555-3824 now", "phone", "(743) 555-3824"), ("card 4111.1111.1111.1111 x", "card", "4111.1111.1111.1111"), ("mail bob at example dot com ok", "email", "bob at example dot com"), ("write to bartholomewjonathan at northwesternuniversity dot edu now", "email", "bartholomewjonathan at northwesternuniversity dot edu")]:
+    for t, kind, span in [("call me (743) 555-3824 now", "phone", "(743) 555-3824"), ("card 4111.1111.1111.1111 x", "card", "4111.1111.1111.1111"), ("mail bob at example dot com ok", "email", "bob at example dot com"), ("write to bartholomewjonathan at northwesternuniversity dot edu now", "email", "bartholomewjonathan at northwesternuniversity dot edu"),
+        ("tel. 0 3 0 1 2 3 4 5 6 7 8", "phone", "0 3 0 1 2 3 4 5 6 7 8"), ("phone: 2 1 2 - 5 5 5 - 0 1 9 9", "phone", "2 1 2 - 5 5 5 - 0 1 9 9"), ("mail jürgen at example dot de", "email", "jürgen at example dot de"), ("to a.b(at)c.co.uk", "email", "a.b(at)c.co.uk")]:
         base, spans = pii.find_pii(t, w)
         assert (kind, span) in [(pii.KINDS[k], t[a:b]) for k, a, b in set(spans) - set(base)]
-    for t in ["on 2024-05-06 we met", "version 2.0.1", "at the dot there", "no 12345678901 here", "1 2 3", "ISBN 978-3-16-148410-0"]:
-        assert pii.find_pii(t, w) == ([], [])
+    for t in ["on 2024-05-06 we met", "version 2.0.1", "at the dot there", "no 12345678901 here", "1 2 3", "ISBN 978-3-16-148410-0", "score 123 456 7890 points", "order 555-867-5309", "tel. " + "1 2 3 4 5 " * 5]:
+        assert pii.find_pii(t, w) == ([], []), t
+
+
+def test_no_candidate_is_a_piece_of_a_row_of_lone_digits():
+    rng = random.Random(31)
+    for _ in range(300):
+        text = "".join(rng.choice("0123456789") + rng.choice([" ", " ", " - ", ".", " (", ") ", "     ", "x"]) for _ in range(rng.randrange(24)))
+        tokens = [(-1, *m.span()) for m in pii.TOKEN.finditer(text)]
+        rows = [m.span() for m in re.finditer(r"[0-9](?:[ .()-]{1,4}[0-9])*", text)]
+        for i, j in pii.segments(text, tokens):
+            assert (tokens[i][1] + (text[tokens[i][1]] == "("), tokens[j - 1][2]) in rows, (text, i, j)
 
 
 def test_decoding_is_the_best_segmentation():
