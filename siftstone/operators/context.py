@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import MISSIONS, alnum_key, casefold, col, collapse, first_filled, mission_key, strip
 from .files import span
+from .ranks import numbered
 
 NO_CONTEXT = "No retrieved documents were provided."
 HISTORY = 6
@@ -19,10 +20,19 @@ def dedup_key(text: str | Column) -> Column:
     return casefold(collapse(text))
 
 
-def distinct_in_order(ranked: DataFrame, text: str, group: str, order: str) -> DataFrame:
-    """Of equal texts (white space and case aside) of a group the first by order; blank texts go. Adds number, from 1, in that order."""
-    first = Window.partitionBy(group, dedup_key(text)).orderBy(order)
-    kept = ranked.where(strip(text) != "").withColumn("_first", F.row_number().over(first)).where("_first = 1").drop("_first")
+def first_of_equals(ranked: DataFrame, text: str, group: str, order: str) -> DataFrame:
+    """Of equal texts (white space and case aside) of a group the first by order; blank and null texts go. Each task keeps one row of a text
+    before the shuffle, so texts that stand everywhere are no hot key."""
+    first = Window.partitionBy(group, "_same").orderBy(order)
+    kept = ranked.where(strip(text) != "").withColumn("_same", F.md5(dedup_key(text))).withColumn("_first", F.row_number().over(first))
+    return kept.where("_first = 1").drop("_same", "_first")
+
+
+def distinct_in_order(ranked: DataFrame, text: str, group: str, order: str, large: bool = False) -> DataFrame:
+    """first_of_equals, with number, from 1, in that order. large: a group may be more than a task can sort, see ranks.numbered."""
+    kept = first_of_equals(ranked, text, group, order)
+    if large:
+        return numbered(kept, group, [F.col(order)])
     return kept.withColumn("number", F.row_number().over(Window.partitionBy(group).orderBy(order)))
 
 

@@ -6,7 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import text as X
-from ..operators import context, files, transcripts, validate
+from ..operators import context, files, ranks, transcripts, validate
 from .base import collapse, strip, table
 
 
@@ -18,18 +18,14 @@ def _turns(spark, sf_dir):
     return table(spark, sf_dir, "conversations")
 
 
-#: Ids of a volume. Files and queries are bound to volumes of a source, so that none grows with the table.
+#: Ids of a volume. A file's text is one value, so a file is a volume of a source and doesn't grow with the table.
 VOLUME = 1000
 
 
-def _volume():
-    return F.floor(F.col("doc_id") / VOLUME).cast("string")
-
-
 def file_report(spark, sf_dir):
     """A report file is a volume of a source and language; its blocks are the documents in order of id."""
     own = Window.partitionBy("path").orderBy("doc_id")
-    rows = _docs(spark, sf_dir).withColumn("path", F.concat_ws("/", "lang", "source", _volume())).withColumn("_i", F.row_number().over(own) - 1)
+    rows = _docs(spark, sf_dir).withColumn("path", F.concat_ws("/", "lang", "source", F.floor(F.col("doc_id") / VOLUME).cast("string"))).withColumn("_i", F.row_number().over(own) - 1)
     blocks = rows.withColumn("_b", files.block("_i", "text", "doc_id", F.lit(None).cast("long")))
     out = files.one_per_file(blocks, "path", "doc_id", "_b", "\n\n", ["source", "lang"], "doc_id")
     return out.select("path", "record_count", "first", "last", "source", "n_source", "n_lang", F.md5("text").alias("text_md5"))
@@ -60,19 +56,23 @@ def prompts(spark, sf_dir):
     return made.select("conv_id", F.size("m").alias("n"), F.md5(F.array_join(F.transform("m", lambda x: F.concat(x.role, F.lit(":"), x.content)), "|")).alias("messages_md5"))
 
 
-def _ranked(spark, sf_dir):
-    """Hits of a query: the documents of a source's volume, in order of length."""
-    by = Window.partitionBy("query").orderBy(F.desc("n_chars"), "doc_id")
-    return _docs(spark, sf_dir).withColumn("query", F.concat_ws("/", "source", _volume())).withColumn("rank", F.row_number().over(by))
+def _by_length():
+    """Hits of a query: the documents of a source, in order of length."""
+    return [F.desc("n_chars"), F.asc("doc_id")]
 
 
 def ordered_dedup(spark, sf_dir):
-    return context.distinct_in_order(_ranked(spark, sf_dir), "text", "query", "rank").select("query", "rank", "doc_id", "number")
+    """All hits of each query without repeated texts: ranked, then numbered anew, over whole sources. Digests of texts travel, not texts."""
+    key = F.when(X.strip("text") != "", F.md5(context.dedup_key("text"))).alias("key")
+    ranked = ranks.numbered(_docs(spark, sf_dir).select(F.col("source").alias("query"), "doc_id", "n_chars", key), "query", _by_length(), "rank")
+    return context.distinct_in_order(ranked, "key", "query", "rank", large=True).select("query", "rank", "doc_id", "number")
 
 
 def cited(spark, sf_dir):
-    """The context of the ten first hits of each query."""
-    kept = context.distinct_in_order(_ranked(spark, sf_dir).where("rank <= 10"), "text", "query", "rank")
+    """The context of the ten first hits of each query: each task keeps ten of a query before the shuffle."""
+    first = F.row_number().over(Window.partitionBy("query").orderBy(*_by_length()))
+    ranked = _docs(spark, sf_dir).withColumn("query", F.col("source")).withColumn("rank", first).where("rank <= 10")
+    kept = context.distinct_in_order(ranked, "text", "query", "rank")
     kept = kept.withColumn("mission", F.when(F.col("lang") == "en", "Apollo 11").when(F.col("lang") == "fr", "STS-51L").otherwise("other")).withColumn("nothing", F.lit(""))
     block = context.cited_block("number", "text", "mission", ["nothing", "source"], ["nothing"], ["lang"], ("doc_id", "n_chars"), ("rank", F.lit(None).cast("int")))
     return context.cited_context(kept, "query", block).select("query", F.length("context").alias("length"), F.md5("context").alias("context_md5"))
@@ -135,7 +135,7 @@ def dense_index(spark, sf_dir):
 
 
 _KEY = f"lower({collapse('text')})"
-_FIRST = """WITH d AS (SELECT *, source || '/' || (doc_id // 1000) AS query FROM documents), r AS (SELECT *, row_number() OVER (PARTITION BY query ORDER BY n_chars DESC, doc_id) AS rank FROM d)"""
+_FIRST = """WITH d AS (SELECT *, source AS query FROM documents), r AS (SELECT *, row_number() OVER (PARTITION BY query ORDER BY n_chars DESC, doc_id) AS rank FROM d)"""
 _SPOKEN = f"""WITH u AS (SELECT *, string_split(text, chr(10)) AS ls FROM conversations),
 v AS (SELECT *, coalesce(sum(len(ls)) OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM u)
 SELECT 'memory://conv_' || conv_id || '.txt' AS path, (row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1)::BIGINT AS utterance_index, turn || ':' || lpad((conv_id % 70)::VARCHAR, 2, '0') AS timestamp,
@@ -162,7 +162,7 @@ QUERIES = {
         g AS (SELECT conv_id, count(*) AS n, string_agg(t, '|' ORDER BY turn) AS ts FROM h GROUP BY conv_id)
         SELECT a.conv_id, (coalesce(n, 0) + 2)::INT AS n, md5('developer:Answer from the documents.|' || CASE WHEN ts IS NULL THEN '' ELSE ts || '|' END || 'user:USER QUESTION:' || chr(10) || {strip('q')} || chr(10) || chr(10) || 'RETRIEVED DOCUMENTS:' || chr(10) || 'No retrieved documents were provided.') AS messages_md5 FROM a LEFT JOIN g USING (conv_id)""",
     ),
-    "ordered_dedup_context": (ordered_dedup, _FIRST + f"SELECT query, rank::INT AS rank, doc_id, (row_number() OVER (PARTITION BY query ORDER BY rank))::INT AS number FROM (SELECT *, row_number() OVER (PARTITION BY query, {_KEY} ORDER BY rank) AS f FROM r WHERE {strip('text')} <> '') WHERE f = 1"),
+    "ordered_dedup_context": (ordered_dedup, _FIRST + f"SELECT query, rank, doc_id, row_number() OVER (PARTITION BY query ORDER BY rank) AS number FROM (SELECT *, row_number() OVER (PARTITION BY query, {_KEY} ORDER BY rank) AS f FROM r WHERE {strip('text')} <> '') WHERE f = 1"),
     "cited_context": (
         cited,
         _FIRST + f""", k AS (SELECT *, row_number() OVER (PARTITION BY query ORDER BY rank) AS number FROM (SELECT *, row_number() OVER (PARTITION BY query, {_KEY} ORDER BY rank) AS f FROM r WHERE rank <= 10 AND {strip('text')} <> '') WHERE f = 1),
