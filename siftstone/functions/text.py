@@ -66,23 +66,47 @@ def first_match(c, rules: list[tuple[str, str]], default: str) -> Column:
     return out
 
 
+# Letters of Unicode 16, which Java may know and Python's tables may not.
+NEW_LETTERS = "[\u1c89-\u1c8a\ua7cb-\ua7cd\ua7da-\ua7dc\U00010d50-\U00010d65]"
+
+
 @cache
-def _folded() -> tuple[tuple[str, str], dict[str, str]]:
-    """Characters that fold to one character, with these in the same order, and those that fold to several: Python's own rule over all code points."""
-    changed = {c: f for c in map(chr, range(0x110000)) if (f := c.casefold()) != c}
-    one = {c: f for c, f in changed.items() if len(f) == 1}
-    return ("".join(one), "".join(one.values())), {c: f for c, f in changed.items() if len(f) > 1}
+def _small() -> tuple[str, str]:
+    """Capitals and their small letters, as Python has them, where both are one character."""
+    pairs = [(c, x) for c in map(chr, range(0x110000)) if (x := c.lower()) != c and len(x) == 1]
+    return "".join(c for c, _ in pairs), "".join(x for _, x in pairs)
+
+
+@cache
+def _folded() -> tuple[dict[str, str], str, dict[str, str], str]:
+    """Small letters that fold further: to one character, to several, and a class of a regular expression that has all of each. Such a class
+    takes in what lies between near neighbours, so that it is a few ranges; what it has too much folds to itself."""
+    further = {c: f for c in map(chr, range(0x80, 0x110000)) if (c.lower() == c or len(c.lower()) > 1) and (f := c.casefold()) != c and c != "ß"}
+
+    def ranges(chars: list[str]) -> str:
+        out: list[list[str]] = []
+        for c in chars:
+            if out and ord(c) - ord(out[-1][1]) < 32:
+                out[-1][1] = c
+            else:
+                out.append([c, c])
+        return "[" + "".join(f"{a}-{b}" for a, b in out) + "]"
+
+    one, several = ({c: f for c, f in further.items() if (len(f) == 1) == single} for single in (True, False))
+    return one, ranges([*one]), several, ranges([*several])
 
 
 def casefold(c) -> Column:
-    """Python's str.casefold: what differs in case only is equal, ß and ss, and σ and ς, too. ASCII takes the short way."""
-    (before, after), several = _folded()
+    """Python's str.casefold: what differs in case only is equal, ß and ss, and σ and ς, too. Small letters are most of it; the few that fold
+    further are looked for first."""
+    one, has_one, several, has_several = _folded()
     rules = F.array(*(F.struct(F.lit(k).alias("k"), F.lit(v).alias("v")) for k, v in several.items()))
-    x = col(c)
-    single = F.translate(x, before, after)
-    long = F.aggregate(rules, single, lambda s, r: F.replace(s, r["k"], r["v"]))
-    full = F.when(x.rlike(f"[{''.join(several)}]"), long).otherwise(single)
-    return F.when(x.rlike(r"[^\x00-\x7F]"), full).otherwise(F.lower(x))
+    bound = lambda x, f: F.transform(F.array(x), f)[0]  # noqa: E731  x is computed once, however often f reads it
+    long = lambda x: F.when(x.rlike(has_several), F.aggregate(rules, x, lambda s, r: F.replace(s, r["k"], r["v"]))).otherwise(x)
+    single = lambda x: F.when(x.rlike(has_one), F.translate(x, "".join(one), "".join(one.values()))).otherwise(x)
+    more = lambda x: bound(bound(F.replace(x, F.lit("ß"), F.lit("ss")), long), single)
+    small = lambda x: F.when(x.rlike(NEW_LETTERS), F.translate(x, *_small())).otherwise(F.lower(x))
+    return bound(bound(col(c), small), lambda x: F.when(x.rlike(r"[^\x00-\x7F]"), more(x)).otherwise(x))
 
 
 def alnum_key(c) -> Column:

@@ -64,7 +64,8 @@ def _by_length():
 def ordered_dedup(spark, sf_dir):
     """All hits of each query without repeated texts: ranked, then numbered anew, over whole sources. Digests of texts travel, not texts."""
     key = F.when(X.strip("text") != "", F.md5(context.dedup_key("text"))).alias("key")
-    ranked = ranks.numbered(_docs(spark, sf_dir).select(F.col("source").alias("query"), "doc_id", "n_chars", key), "query", _by_length(), "rank")
+    rows = _docs(spark, sf_dir).select(F.col("source").alias("query"), "doc_id", "n_chars", key).repartition("doc_id", "key")  # so that texts are read once
+    ranked = ranks.numbered(rows, "query", _by_length(), "rank")
     return context.distinct_in_order(ranked, "key", "query", "rank", large=True).select("query", "rank", "doc_id", "number")
 
 
