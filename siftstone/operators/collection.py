@@ -40,8 +40,8 @@ def changes(stored: DataFrame, incoming: DataFrame, mode: str, key: str = "id",
 
 
 def upsert_counts(stored: DataFrame, incoming: DataFrame, mode: str, key: str = "id", by: tuple[str, ...] = ()) -> DataFrame:
-    """One row, or one for each value of by: added, updated, skipped."""
-    seen = incoming.join(stored.select(key).withColumn("_seen", F.lit(True)), key, "left").groupBy(*by).agg(F.count_if(F.col("_seen").isNull()).alias("added"), F.count_if(F.col("_seen").isNotNull()).alias("_old"))
+    """One row, or one for each value of by: added, updated, skipped. An incoming row counts once, however many stored rows have its key."""
+    seen = incoming.join(stored.select(key).distinct().withColumn("_seen", F.lit(True)), key, "left").groupBy(*by).agg(F.count_if(F.col("_seen").isNull()).alias("added"), F.count_if(F.col("_seen").isNotNull()).alias("_old"))
     none = F.lit(0).cast("long")
     return seen.select(*by, "added", (none if mode == "skip" else F.col("_old")).alias("updated"), (F.col("_old") if mode == "skip" else none).alias("skipped"))
 
