@@ -56,8 +56,23 @@ def json_safe(c) -> Column:
     return F.when(finite(c), col(c))
 
 
+def three_decimals(c) -> Column:
+    """As C and Python write "%.3f": the binary value is rounded, ties to even. format_string rounds the shortest decimal form, ties up, which is kept from 2 ** 40 on."""
+    x = col(c).cast("double")
+    size = F.abs(x)
+    # A thousandfold as the sum of two exact products, so that what lies beside a tie isn't taken for one.
+    high = size.cast("float").cast("double")
+    a, b = high * 1000, (size - high) * 1000
+    n = F.floor(a + b)
+    over = a - n - 0.5 + b
+    n = n + F.when(over > 0, 1).when(over < 0, 0).otherwise(n % 2)
+    sign = F.when(x.cast("string").startswith("-"), "-").otherwise("")
+    exact = F.concat(sign, F.format_string("%d.%03d", F.floor(n / 1000), n % 1000))
+    return F.when(size < 2.0**40, exact).otherwise(F.format_string("%.3f", x))
+
+
 def score_line(key, metric, score, error=None) -> Column:
-    told = F.when(finite(score), F.format_string("%s %s=%.3f", col(key).cast("string"), col(metric), col(score))).otherwise(F.format_string("%s %s: no valid score", col(key).cast("string"), col(metric)))
+    told = F.when(finite(score), F.format_string("%s %s=%s", col(key).cast("string"), col(metric), three_decimals(score))).otherwise(F.format_string("%s %s: no valid score", col(key).cast("string"), col(metric)))
     return told if error is None else F.when(col(error).isNotNull(), F.format_string("%s ERROR - %s", col(key).cast("string"), col(error))).otherwise(told)
 
 
