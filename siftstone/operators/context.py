@@ -54,10 +54,10 @@ def cited_block(number, text, mission, source: list, filepath: list, kind: list,
     return F.concat(F.concat_ws("\n", *head), F.lit("\n\n"), strip(text))
 
 
-def cited_context(numbered: DataFrame, group: str, block: Column) -> DataFrame:
-    """(group, context): blocks in the order of number; a group's blocks are bounded by the search's k."""
+def cited_context(numbered: DataFrame, group: str | list[str], block: Column) -> DataFrame:
+    """(group, context): blocks in the order of number; a group's blocks are bounded by the search's k, or by the context's size."""
     parts = F.array_sort(F.collect_list(F.struct("number", block.alias("b"))))
-    return numbered.groupBy(group).agg(F.concat(F.lit("RETRIEVED DOCUMENTS\n\n"), F.array_join(F.transform(parts, lambda x: x.b), "\n\n---\n\n")).alias("context"))
+    return numbered.groupBy(*([group] if isinstance(group, str) else group)).agg(F.concat(F.lit("RETRIEVED DOCUMENTS\n\n"), F.array_join(F.transform(parts, lambda x: x.b), "\n\n---\n\n")).alias("context"))
 
 
 def last_turns(turns: DataFrame, conversation: str, order: str, n: int = HISTORY) -> DataFrame:
