@@ -17,7 +17,7 @@ BROADCAST_QUERIES = 1_000
 #: From this many queries on, rows meet them as a matrix product instead of pair by pair.
 MATRIX_QUERIES = 64
 #: Bytes of a part's vectors in memory, so that parts grow in number with the collection; distances that are held at once.
-PART_BYTES, HELD = 64 << 20, 4_000_000
+PART_BYTES, HELD = 64 << 20, 500_000
 
 
 def search(collection: DataFrame, queries: DataFrame, k: int, where: Column | None = None, facet: str | None = None, id_col: str = "id", vector: str = "embedding") -> DataFrame:
