@@ -2,15 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable
 
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as X
 from ..operators import lines, reports
-from ..session import ship
+from ..session import map_rows
 from .base import ALPHA, DIGIT, LOWER, PUNCT, WORD, collapse, n_of, per, prose, strip, table, visual
 
 SMALL, LARGE = "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
@@ -54,16 +53,9 @@ def built(spark, sf_dir) -> DataFrame:
     return made.select("doc_id", F.concat(F.lit("memory://r"), F.col("doc_id").cast("string"), F.lit(".txt")).alias("path"), F.concat(F.expr(_HEAD), F.array_join("ls", "\n")).alias("value"))
 
 
-def folded(files: DataFrame, ddl: str, rows: Callable[[str, str], list[tuple]]) -> DataFrame:
+def folded(files: DataFrame, ddl: str, rows: Callable[[str, str], Iterable[tuple]]) -> DataFrame:
     """rows(path, value) of each file, where the file is."""
-    ship(files.sparkSession)
-    names = [x.split()[0] for x in ddl.split(", ")]
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            yield pd.DataFrame([r for path, value in zip(b["path"], b["value"], strict=True) for r in rows(path, value or "")], columns=names)
-
-    return files.select("path", "value").mapInPandas(run, ddl)
+    return map_rows(files.select("path", "value"), ddl, lambda path, value: rows(path, value or ""))
 
 
 def page_split(spark, sf_dir):

@@ -3,9 +3,16 @@
 from __future__ import annotations
 
 import os
+from collections.abc import Callable, Iterable, Iterator
 from pathlib import Path
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
+
+#: Rows that Python holds as objects at once, and characters of output after which a piece of it goes: texts are long, and an Arrow batch has 10,000 of them.
+SLICE, PIECE = 128, 4_000_000
 
 
 def local_session(cores: int = 8, partitions: int | None = None, memory: str = "8g") -> SparkSession:
@@ -44,3 +51,28 @@ def checkpoint(df: DataFrame) -> DataFrame:
     if not spark.sparkContext.getCheckpointDir():
         spark.sparkContext.setCheckpointDir(shared_dir(spark))
     return df.checkpoint()
+
+
+def map_rows(df: DataFrame, ddl: str, rows: Callable[..., Iterable[tuple]]) -> DataFrame:
+    """rows(*values) gives the output rows of one row. Memory of a task: an Arrow batch, which Spark bounds in rows and bytes, SLICE rows as objects, a piece of output and what one row gives."""
+    ship(df.sparkSession)
+    schema = to_arrow_schema(T._parse_datatype_string(ddl))
+
+    def piece(out: list[tuple]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(c, x.type) for c, x in zip(zip(*out, strict=True), schema, strict=True)], schema=schema)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        out, held = [], 0
+        for batch in batches:
+            for i in range(0, batch.num_rows, SLICE):
+                for row in zip(*(c.to_pylist() for c in batch.slice(i, SLICE).columns), strict=True):
+                    for made in rows(*row):
+                        out.append(made)
+                        held += 32 + sum(len(v) for v in made if isinstance(v, str))
+                        if held >= PIECE:
+                            yield piece(out)
+                            out, held = [], 0
+        if out:
+            yield piece(out)
+
+    return df.mapInArrow(run, ddl)
