@@ -2,14 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import col, slug, stem, strip
-from ..session import ship
+from ..session import map_rows
 
 SIZE, OVERLAP = 500, 100
 
@@ -72,27 +71,25 @@ def _split_keep(text: str, separator: str) -> list[str]:
 
 
 def packed_chunks(docs: DataFrame, text: str = "text", kind: str = "source_type", size: int = SIZE, overlap: int = OVERLAP, count: Callable[[str], int] = by_words) -> DataFrame:
-    """The packing of pack() over rows, in Arrow batches; kind must be report or transcript where a text has to be split. Adds the same columns as stride_chunks."""
+    """The packing of pack() over rows; kind must be report or transcript where a text has to be split. Adds the same columns as stride_chunks."""
     check_sizes(size, overlap)
-    ship(docs.sparkSession)
     keep = [f.name for f in docs.schema]
     ddl = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            rows = []
-            for row in b.itertuples(index=False):
-                body = (getattr(row, text) or "").strip()
-                if not body:
-                    continue
-                n = count(body)
-                if n > size and getattr(row, kind) not in ("report", "transcript"):
-                    raise ValueError("source_type must be 'report' or 'transcript'")
-                found = [body] if n <= size else pack(body, count, size, overlap, ("\n",) if getattr(row, kind) == "transcript" else ("\n\n",))
-                rows += ((*row, i, len(found), count(c), c) for i, c in enumerate(found))
-            yield pd.DataFrame(rows, columns=[*keep, "chunk_index", "total_chunks", "token_count", "chunk"])
-
-    return docs.mapInPandas(run, f"{ddl}, chunk_index int, total_chunks int, token_count int, chunk string")
+    at, sort = keep.index(text), keep.index(kind)
+
+    def packed(*row) -> list[tuple]:
+        body = (row[at] or "").strip()
+        if not body:
+            return []
+        n = count(body)
+        if n > size and row[sort] not in ("report", "transcript"):
+            raise ValueError("source_type must be 'report' or 'transcript'")
+        found = [body] if n <= size else pack(body, count, size, overlap, ("\n",) if row[sort] == "transcript" else ("\n\n",))
+        return [(*row, [{"chunk_index": i, "total_chunks": len(found), "token_count": count(c), "chunk": c} for i, c in enumerate(found)])]
+
+    # A row's chunks are one array until they are out of Python, so that its text isn't copied for each.
+    made = map_rows(docs, f"{ddl}, _chunks array<struct<chunk_index:int,total_chunks:int,token_count:int,chunk:string>>", packed)
+    return made.select(*(F.col(f"`{c}`") for c in keep), F.inline("_chunks"))
 
 
 def chunk_id(mission: str | Column, source: str | Column, index: str | Column) -> Column:
