@@ -38,13 +38,14 @@ def newlines(c) -> Column:
 
 
 def collapse(c) -> Column:
-    return strip(F.regexp_replace(col(c), SPACE, " "))
+    return F.trim(F.regexp_replace(col(c), SPACE, " "))  # no white space but single spaces is left
 
 
 def clean_text(c) -> Column:
     """Words broken at a line's end are joined, lines too, white space is collapsed."""
     joined = F.regexp_replace(col(c), r"([A-Za-z]+)-\s*\n\s*([a-z]+)", "$1$2")
-    return collapse(F.regexp_replace(joined, r"\s*\n\s*", " "))
+    broken = col(c).rlike(r"-\s*\n")  # the pattern tries each letter of each word; most texts have no such hyphen
+    return collapse(F.when(broken, joined).otherwise(col(c)))
 
 
 def clean_block(c) -> Column:
