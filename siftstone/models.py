@@ -13,9 +13,11 @@ from typing import Any, Protocol
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
-from .session import ship
+from .session import SLICE, ship
 
 
 class Embedder(Protocol):
@@ -79,6 +81,18 @@ class TokenCounter:
         return n
 
 
+class Places(dict):
+    """A word's place by its hash: below size it counts down, from size on up. Words are hashed once for a batch of texts."""
+
+    def __init__(self, size: int):
+        self.size = size
+
+    def __missing__(self, word: str) -> int:
+        h = zlib.crc32(word.encode())
+        self[word] = place = h % self.size + (self.size if h >> 16 & 1 else 0)
+        return place
+
+
 class HashEmbedder:
     """Signed counts of word hashes, of length 1."""
 
@@ -86,11 +100,10 @@ class HashEmbedder:
         self.size = size
 
     def embed(self, texts: list[str]) -> list[list[float]]:
-        out = np.zeros((len(texts), self.size))
+        out, place = np.zeros((len(texts), self.size)), Places(self.size).__getitem__
         for i, t in enumerate(texts):
-            for w in re.findall(r"\w+", t.lower()):
-                h = zlib.crc32(w.encode())
-                out[i, h % self.size] += 1 if h >> 16 & 1 else -1
+            found = np.bincount(np.fromiter(map(place, re.findall(r"\w+", t.lower())), np.int64), minlength=2 * self.size)
+            out[i] = found[self.size :] - found[: self.size]
         n = np.linalg.norm(out, axis=1, keepdims=True)
         return (out / np.where(n, n, 1)).tolist()
 
@@ -184,22 +197,24 @@ def call_all(calls: list[Callable[[], Any]], at_once: int = CALLS, patience: flo
 
 
 def embed_rows(rows: DataFrame, model: Embedder, text: str = "document", batch: int = 64) -> DataFrame:
-    """Adds embedding; the model sees batches inside the tasks. A blank text has none."""
+    """Adds embedding; the model sees batches inside the tasks. A blank text has none. Only texts go to Python and only vectors come back, and nothing asks
+    the model where no one reads the vectors."""
     ship(rows.sparkSession)
-    ddl = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema if f.name != "embedding")
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    @F.arrow_udf("array<float>")
+    def embedded(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for b in batches:
-            b = b.drop(columns="embedding", errors="ignore")
             vectors: list = [None] * len(b)
-            filled = [i for i, t in enumerate(b[text]) if (t or "").strip()]
-            for k in range(0, len(filled), batch):
-                part = filled[k : k + batch]
-                for i, v in zip(part, model.embed([b[text].iloc[i] for i in part]), strict=True):
-                    vectors[i] = v
-            yield b.assign(embedding=vectors)
-
-    return rows.mapInPandas(run, f"{ddl}, embedding array<float>")
+            for at in range(0, len(b), SLICE):
+                filled = [(at + i, t) for i, t in enumerate(b.slice(at, SLICE).to_pylist()) if (t or "").strip()]
+                for k in range(0, len(filled), batch):
+                    part = filled[k : k + batch]
+                    for (i, _), v in zip(part, model.embed([t for _, t in part]), strict=True):
+                        vectors[i] = np.asarray(v, np.float32)
+            yield pa.array(vectors, pa.list_(pa.float32()))
+
+    # Not deterministic: a filter on the vectors must not ask the model again.
+    return rows.drop("embedding").withColumn("embedding", embedded.asNondeterministic()(F.col(f"`{text}`")))
 
 
 def answer_rows(rows: DataFrame, model: Generator, question: str = "user_input", context: str = "context") -> DataFrame:
