@@ -1,10 +1,11 @@
 """Token counts without token ids: pieces once for each distinct pre-token, times its frequency in each document.
 
-A tokenizer's model sees one pre-token at a time, so a text's count is the sum over its pre-tokens. A first scan gathers the corpus's distinct
-pre-tokens with how often each stands there; the model counts the pieces of each of them once; a second scan takes each
-document's pre-token frequencies and meets them with those counts. Pre-tokens that are at least 1 / HEAD_ROWS of all of the corpus's,
+A tokenizer's model sees one pre-token at a time, so a text's count is the sum over its pre-tokens. A first scan gathers the corpus's
+pre-tokens with how often each stands there, but for those that a task meets once; the model counts the pieces of the frequent ones, and a second scan takes each
+document's pre-token frequencies. Pre-tokens that are at least 1 / HEAD_ROWS of all that the first scan told of,
 which are fewer than HEAD_ROWS whatever the table's size, travel to every task as a dictionary; each of the others stands
-in fewer documents than that share, so that a join by pre-token has no hot key.
+in fewer documents than that share and one for each piece that a task handed on, so that none is a hot key. A task hands a pre-token of these on once for many documents, with
+rows and frequencies as an array; all that is said of it meets in one place, where the model counts its pieces once.
 
 Pre-tokens are the library's own. Where the pre-tokenizer is the byte-level one, a space between two characters that are no white space always
 begins a pre-token and nothing reaches across it, so texts are cut there first and each distinct piece is looked at once: a word of Latin letters,
@@ -23,6 +24,7 @@ import re
 from collections import Counter
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -31,6 +33,8 @@ from .common import checkpoint, ship
 
 #: Pre-tokens that travel to every task are fewer; longer ones are told by their digest there.
 HEAD_ROWS, WHOLE = 500_000, 64
+#: Times that a pre-token must stand in what a task gathers to be told of. Rare (pre-token, document) pairs that a task gathers before it hands them on, those of a pre-token together; pre-tokens in a batch of what it hands on.
+LEAST, PAIRS, GROUPS = 2, 500_000, 10_000
 #: Distinct pieces that a task remembers or gathers before it hands them on; characters of texts that it gathers them from.
 HELD, GATHERED = 300_000, 64 << 20
 #: Tokens beyond which a document is over the limit.
@@ -134,8 +138,8 @@ def read_spec(path: str) -> str:
         return f.read()
 
 
-def _gather(spec) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """(p, times): pre-tokens and how often each stands in what a task has read. Pieces are gathered first, and each of them is cut once."""
+def _gather(spec, least: int = 1) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """(p, times): pre-tokens that stand at least so often in what a task has read, and how often. Pieces are gathered first, and each of them is cut once."""
 
     def run(batches):
         splitter, held, pieces, size = Splitter(spec.value), Counter(), Counter(), 0
@@ -144,7 +148,8 @@ def _gather(spec) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatc
             for piece, n in pieces.items():
                 for p in splitter.after_space(piece):
                     held[p] += n
-            return pa.RecordBatch.from_pydict({"p": pa.array(held.keys(), pa.string()), "times": pa.array(held.values(), pa.int64())})
+            some = held if least < 2 else {p: n for p, n in held.items() if n >= least}
+            return pa.RecordBatch.from_pydict({"p": pa.array(some.keys(), pa.string()), "times": pa.array(some.values(), pa.int64())})
 
         for batch in batches:
             for text in batch.column("text").to_pylist():
@@ -161,9 +166,14 @@ def _gather(spec) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatc
     return run
 
 
-def vocabulary(docs: DataFrame, spec) -> DataFrame:
-    """(p, times, pieces): each distinct pre-token of docs(text), how often it stands there, and what the model makes of it. spec: broadcast JSON."""
+def frequencies(docs: DataFrame, spec, least: int = 1) -> DataFrame:
+    """(p, times): each distinct pre-token of docs(text) and how often it stands there; what stands less often in what a task gathers doesn't count. spec: broadcast JSON."""
     ship(docs.sparkSession)
+    return docs.select("text").mapInArrow(_gather(spec, least), "p string, times long").groupBy("p").agg(F.sum("times").alias("times"))
+
+
+def with_pieces(found: DataFrame, spec) -> DataFrame:
+    """found(p, times) with what the model makes of each."""
 
     def count(batches):
         splitter = Splitter(spec.value)
@@ -171,26 +181,68 @@ def vocabulary(docs: DataFrame, spec) -> DataFrame:
             n = [splitter.pieces(p) for p in batch.column("p").to_pylist()]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(n, pa.int64())], names=["p", "times", "pieces"])
 
-    found = docs.select("text").mapInArrow(_gather(spec), "p string, times long").groupBy("p").agg(F.sum("times").alias("times"))
-    return checkpoint(found.mapInArrow(count, "p string, times long, pieces long"))
+    return found.mapInArrow(count, "p string, times long, pieces long")
+
+
+def vocabulary(docs: DataFrame, spec) -> DataFrame:
+    """(p, times, pieces): each distinct pre-token of docs(text), how often it stands there, and what the model makes of it. spec: broadcast JSON."""
+    return checkpoint(with_pieces(frequencies(docs, spec), spec))
 
 
 def _sums(spec, head) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """For each document the tokens that head knows of, and its other pre-tokens with their frequencies."""
+    """For each document a line without a pre-token, with the tokens that head knows of; for each other pre-token the documents that have it: their rows' numbers, each with
+    how often."""
 
     def run(batches):
         splitter, common = Splitter(spec.value), head.value
+        rest, rows, times = [], [], []
+
+        def told():
+            pairs = pa.table({"p": pa.array(rest, pa.string()), "rows": pa.array(rows, pa.int64()), "f": pa.array(times, pa.int64())})
+            met = pairs.group_by("p", use_threads=False).aggregate([("rows", "list"), ("f", "list")]).combine_chunks()
+            for b in met.to_batches(GROUPS):
+                r, f = b.column("rows_list"), b.column("f_list")
+                at = np.stack([r.flatten().to_numpy(), f.flatten().to_numpy()], axis=1).reshape(-1)
+                ends = 2 * np.concatenate([[0], np.cumsum(r.value_lengths().to_numpy())])
+                none = [pa.nulls(b.num_rows, t) for t in (kind, pa.int64())]
+                yield pa.RecordBatch.from_arrays([b.column("p"), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(at)), *none], names=names)
+
+        kind, names = None, ["p", "at", "doc_id", "n_bytes"]
         for batch in batches:
-            sums, ends, rest, times = [], [0], [], []
-            for text in batch.column("text").to_pylist():
+            kind, sums, own = batch.schema.field("doc_id").type, [], batch.column("row").to_pylist()
+            for row, text in zip(own, batch.column("text").to_pylist(), strict=True):
                 n, others = splitter.weigh(text or "", common)
                 rest += others.keys()
                 times += others.values()
+                rows += [row] * len(others)
                 sums.append(n)
-                ends.append(len(rest))
-            pairs = pa.StructArray.from_arrays([pa.array(rest, pa.string()), pa.array(times, pa.int64())], ["p", "f"])
-            others = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pairs)
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("n_bytes"), pa.array(sums, pa.int64()), others], names=["doc_id", "n_bytes", "n", "rest"])
+            at = pa.ListArray.from_arrays(pa.array(range(0, 2 * len(own) + 1, 2), pa.int32()), pa.array([x for pair in zip(own, sums, strict=True) for x in pair], pa.int64()))
+            yield pa.RecordBatch.from_arrays([pa.nulls(len(own), pa.string()), at, batch.column("doc_id"), batch.column("n_bytes")], names=names)
+            if len(rest) >= PAIRS:
+                yield from told()
+                rest, rows, times = [], [], []
+        if rest:
+            yield from told()
+
+    return run
+
+
+def _parts(spec) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """What _sums tells, in order of p, as (row, doc_id, n_bytes, n): each pre-token's pieces are counted once."""
+
+    def run(batches):
+        splitter, last, n = Splitter(spec.value), None, 1
+        for batch in batches:
+            pieces = []
+            for p in batch.column("p").to_pylist():
+                if p != last:
+                    last, n = p, 1 if p is None else splitter.pieces(p)
+                pieces.append(n)
+            at = batch.column("at")
+            which = np.repeat(np.arange(len(at)), at.value_lengths().to_numpy() // 2)
+            pairs = at.flatten().to_numpy().reshape(-1, 2)
+            told = [batch.column(c).take(pa.array(which)) for c in ("doc_id", "n_bytes")]
+            yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), *told, pa.array(pairs[:, 1] * np.array(pieces, np.int64)[which])], names=["row", "doc_id", "n_bytes", "n"])
 
     return run
 
@@ -199,24 +251,20 @@ def token_counts(docs: DataFrame, path: str, head_rows: int = HEAD_ROWS) -> Data
     """docs(doc_id, text) to (doc_id, n_bytes, n_tokens), a row for each row. path: a tokenizer's JSON. head_rows: pre-tokens that travel are fewer."""
     spark = docs.sparkSession
     spec = spark.sparkContext.broadcast(read_spec(path))
-    known = vocabulary(docs, spec)
+    known = checkpoint(frequencies(docs, spec, LEAST))
     total = known.agg(F.sum("times")).first()[0] or 0
     frequent = total // head_rows + 1  # total / frequent < head_rows
     key = F.when(F.length("p") <= WHOLE, F.col("p")).otherwise(F.sha2("p", 256))
-    common = known.where(F.col("times") >= frequent).select(key.alias("p"), "pieces").toArrow()
+    common = with_pieces(known.where(F.col("times") >= frequent), spec).select(key.alias("p"), "pieces").toArrow()
     head = spark.sparkContext.broadcast(dict(zip(common["p"].to_pylist(), common["pieces"].to_pylist(), strict=True)))
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    rows = docs.select("doc_id", "text", F.coalesce(F.octet_length("text"), F.lit(0)).cast("long").alias("n_bytes"))
-    told = rows.mapInArrow(_sums(spec, head), f"doc_id {kind}, n_bytes long, n long, rest array<struct<p:string,f:long>>").withColumn("row", F.monotonically_increasing_id())
+    rows = docs.select("doc_id", "text", F.coalesce(F.octet_length("text"), F.lit(0)).cast("long").alias("n_bytes"), F.monotonically_increasing_id().alias("row"))
+    told = rows.mapInArrow(_sums(spec, head), f"p string, at array<long>, doc_id {kind}, n_bytes long")
     # A document's own part rides along as one more row without a pre-token, dealt by the row and not by a key that all of them share.
-    own = F.struct(F.lit(None).cast("string").alias("p"), F.col("n").alias("f"), F.col("row").alias("deal"), "doc_id", "n_bytes")
-    none = [F.lit(None).cast(t).alias(c) for c, t in (("doc_id", kind), ("n_bytes", "long"))]
-    rest = F.transform("rest", lambda x: F.struct(x["p"].alias("p"), x["f"].alias("f"), F.lit(-1).cast("long").alias("deal"), *none))
-    each = told.select("row", F.explode(F.concat(F.array(own), rest)).alias("x")).select("row", "x.*")
-    rare = known.where(F.col("times") < frequent).select("p", F.lit(-1).cast("long").alias("deal"), "pieces")
-    met = each.join(rare, ["p", "deal"], "left")
-    sums = met.groupBy("row").agg(F.max("doc_id").alias("doc_id"), F.max("n_bytes").alias("n_bytes"), F.sum(F.col("f") * F.coalesce("pieces", F.lit(1))).alias("n_tokens"))
+    dealt = told.repartition(F.col("p"), F.when(F.col("p").isNull(), F.col("at")[0]).otherwise(-1)).sortWithinPartitions("p")
+    met = dealt.mapInArrow(_parts(spec), f"row long, doc_id {kind}, n_bytes long, n long")
+    sums = met.groupBy("row").agg(F.max("doc_id").alias("doc_id"), F.max("n_bytes").alias("n_bytes"), F.sum("n").alias("n_tokens"))
     return sums.drop("row")
 
 

@@ -3,7 +3,9 @@
 import itertools
 import random
 import re
+from types import SimpleNamespace
 
+import pyarrow as pa
 import pytest
 from tokenizers import Tokenizer
 
@@ -174,3 +176,13 @@ def test_no_text_travels(spark):
     for made in (audit.filter_audit(docs, spark.createDataFrame([], "doc_id long, quality int, toxic int")), tokens.token_counts(docs, tokenizer_path())):
         plan = made._jdf.queryExecution().optimizedPlan().toString()
         assert plan and not re.search(r"(Join|Aggregate) .*\btext#", plan)
+
+
+def test_rare_pre_tokens_travel_once_for_many_documents():
+    held = lambda x: SimpleNamespace(value=x)
+    texts = pa.array(["a zyx zyx", "b zyx", None, "c d zyx"])
+    batch = pa.RecordBatch.from_arrays([pa.array([7, 8, None, 9]), texts, pa.array([9, 5, 0, 7]), pa.array([0, 1, 2, 3])], names=["doc_id", "text", "n_bytes", "row"])
+    out = [r for b in tokens._sums(held(tokens.read_spec(tokenizer_path())), held({"a": 1}))(iter([batch, batch])) for r in b.to_pylist()]
+    assert [(r["doc_id"], r["at"]) for r in out if r["p"] is None] == 2 * [(7, [0, 1]), (8, [1, 0]), (None, [2, 0]), (9, [3, 0])]
+    rare = {r["p"]: sorted(zip(r["at"][::2], r["at"][1::2], strict=True)) for r in out if r["p"]}
+    assert len([r for r in out if r["p"]]) == 4 and rare == {"Ġzyx": [(0, 2), (0, 2), (1, 1), (1, 1), (3, 1), (3, 1)], "b": 2 * [(1, 1)], "c": 2 * [(3, 1)], "Ġd": 2 * [(3, 1)]}
