@@ -35,8 +35,11 @@ def changes(stored: DataFrame, incoming: DataFrame, mode: str, key: str = "id",
         return come.join(stored.select(key), key, "left_anti")
     if mode == "update":
         return come
-    stale = stored.join(incoming.select(*scope).distinct(), list(scope), "left_semi").join(incoming.select(key), key, "left_anti")
-    return come.unionByName(stale.select(*stored.columns).withColumn("gone", F.lit(True)))
+    # Of rows that go, key and scope are told, so that nothing else of them is read, travels or is written.
+    own = [key, *scope]
+    stale = stored.select(*own).join(incoming.select(*scope).distinct(), list(scope), "left_semi").join(incoming.select(key), key, "left_anti")
+    gone = stale.select(*(F.col(f.name) if f.name in own else F.lit(None).cast(f.dataType).alias(f.name) for f in stored.schema))
+    return come.unionByName(gone.withColumn("gone", F.lit(True)))
 
 
 def upsert_counts(stored: DataFrame, incoming: DataFrame, mode: str, key: str = "id", by: tuple[str, ...] = ()) -> DataFrame:

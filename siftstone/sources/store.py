@@ -284,8 +284,12 @@ def discover(spark: SparkSession, root: str) -> dict[str, str]:
 def broken_files(rows: DataFrame) -> DataFrame:
     """(filepath, why) of keyed rows: the files that hold rows that can't be stored, or ids that other rows have too."""
     twice = duplicates(rows.where("id is not null"), "id").select("id", F.lit(True).alias("_twice"))
-    told = {**checks(), "repeated ids": F.col("_twice").isNotNull()}
-    counts = rows.join(twice, "id", "left").groupBy("filepath").agg(*(F.count_if(F.coalesce(c, F.lit(False))).alias(f"_n{i}") for i, c in enumerate(told.values())))
+    own = checks()
+    told = [*own, "repeated ids"]
+    # Told before the join, so that no text travels with it.
+    flags = rows.select("id", "filepath", *(F.coalesce(c, F.lit(False)).alias(f"_c{i}") for i, c in enumerate(own.values())))
+    flags = flags.join(twice, "id", "left").withColumn(f"_c{len(own)}", F.col("_twice").isNotNull())
+    counts = flags.groupBy("filepath").agg(*(F.count_if(f"_c{i}").alias(f"_n{i}") for i in range(len(told))))
     broken = [F.when(F.col(f"_n{i}") > 0, F.concat(F.lit(f"{k}: "), F.col(f"_n{i}").cast("string"))) for i, k in enumerate(told)]
     why = F.concat(F.lit("ValueError: rows that can't be stored: "), F.concat_ws(", ", *broken))
     return counts.where(F.coalesce(*broken).isNotNull()).select("filepath", why.alias("why"))

@@ -235,3 +235,28 @@ def test_modes_and_facets(spark):
     assert got == {("m", "a"): 2, ("m", "b"): 1, ("k", "unknown"): 2, ("k", "x"): 1}
     with pytest.raises(ValueError):
         collection.upsert(df, df, "merge")
+
+
+def _shuffled(spark) -> int:
+    jvm = spark.sparkContext._jvm
+    told = spark.sparkContext._jsc.sc().statusStore().stageList(None, False, False, spark.sparkContext._gateway.new_array(jvm.double, 0), None)
+    return sum(told.apply(i).shuffleWriteBytes() for i in range(told.size()))
+
+
+def test_checks_and_rows_that_go_carry_no_text(spark):
+    text = F.expr("array_join(transform(sequence(1, 200), i -> sha2(concat(id, '-', i), 256)), '')")
+    rows = spark.range(400).select(F.concat(F.lit("c"), "id").alias("id"), text.alias("document"), F.lit("apollo11").alias("mission"), F.concat(F.lit("s"), "id").alias("source"), F.concat(F.lit("/f"), (F.col("id") % 7).cast("string")).alias("filepath"))
+    stored, incoming = rows.repartition(3).cache(), rows.where("id <> 'c3'").withColumn("filepath", F.when(F.col("id") != "c5", F.col("filepath"))).cache()
+    assert stored.count() == 400 and incoming.count() == 399
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        began = _shuffled(spark)
+        assert [tuple(r) for r in store.broken_files(incoming).collect()] == [(None, "ValueError: rows that can't be stored: filepath: 1")]
+        gone = collection.changes(stored, incoming, "replace").where("gone").collect()
+        assert [(r.id, r.mission, r.filepath, r.document, r.source) for r in gone] == [("c3", "apollo11", "/f3", None, None)]
+        assert _shuffled(spark) - began < 400_000  # the texts are 5 MB
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+        stored.unpersist()
+        incoming.unpersist()
