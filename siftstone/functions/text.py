@@ -196,21 +196,45 @@ class Line:
         raise AttributeError(kind)
 
 
-COUNTED = {"alpha": LETTER, "digit": DIGIT, "punct": PUNCT, "solid": r"\S", "small": LOWER, "letters": "[A-Za-z]", "capitals": "[A-Z]", "long_words": "[A-Za-z]{2,}", "words": WORD}
+COUNTED = {"alpha": LETTER, "digit": DIGIT, "punct": PUNCT, "solid": r"\S", "letters": "[A-Za-z]", "capitals": "[A-Z]"}
 
 
 def line_of(c) -> Line:
     """Of an expression: each count is computed where a predicate asks for it. Of a Line: itself."""
-    if isinstance(c, Line):
-        return c
-    s = strip(c)
-    return Line(s, {k: count_of(s, p) for k, p in COUNTED.items()})
+    return c if isinstance(c, Line) else counted(strip(c))
+
+
+def counted(c) -> Line:
+    return Line(col(c), {k: count_of(c, p) for k, p in COUNTED.items()})
+
+
+def has_words(s: Column, n: int, more: str = "'-") -> Column:
+    """At least n words: a letter, then letters and more. Reads only as far as the nth, and by classes that Java tests fast."""
+    return s.rlike(rf"^(?:[^A-Za-z]*+[A-Za-z]++(?:[{more}]++[A-Za-z]*+)*+){{{n}}}")
+
+
+def has_long_words(s: Column, n: int) -> Column:
+    """At least n runs of two letters or more."""
+    return s.rlike(rf"^(?:(?:[^A-Za-z]++|[A-Za-z](?![A-Za-z]))*+[A-Za-z]{{2,}}+){{{n}}}")
+
+
+def has_small(s: Column, n: int) -> Column:
+    return s.rlike(rf"^(?:\P{{Ll}}*+\p{{Ll}}){{{n}}}")
+
+
+def mostly_letters(x: Line, of: int, least: int) -> Column:
+    """least / of of what isn't white space are letters, in a line that holds some. Most lines have so many of A to Z that neither signs nor white space need be counted."""
+    of, least = (F.lit(n).cast("long") for n in (of, least))
+    return F.when(x.letters * of >= F.length(x.s) * least, True).otherwise(x.alpha * of >= x.solid * least)
 
 
 def measured(rows: DataFrame, c) -> tuple[DataFrame, Line]:
-    """rows with columns (_s, _alpha, ..., _prose, _caption, _visual) that are computed once a line, and the Line that reads them: for several predicates on the same line."""
-    rows = rows.withColumn("_s", strip(c)).withColumns({f"_{k}": count_of("_s", p) for k, p in COUNTED.items()})
-    own = Line(F.col("_s"), {k: F.col(f"_{k}") for k in COUNTED})
+    """rows with columns (_s, _letters, _prose, _caption, _visual) that are computed once a line, and the Line that reads them: for several predicates on the same line.
+    Other counts are made where a predicate asks for them, which few lines come to."""
+    blank_ends = col(c).rlike(r"^\s") | F.right(col(c), F.lit(1)).rlike(r"[\s\x85\u2028\u2029]")  # a line feed of any kind may follow the white space that strip takes
+    rows = rows.withColumn("_s", F.when(blank_ends, strip(c)).otherwise(col(c))).withColumn("_letters", count_of("_s", COUNTED["letters"]))
+    own = counted("_s")
+    own.counts["letters"] = F.col("_letters")
     for name, predicate in (("prose", prose_line), ("caption", visual_caption), ("visual", visual_line)):
         rows = rows.withColumn(f"_{name}", predicate(own))
         own.told[name] = F.col(f"_{name}")
@@ -222,8 +246,7 @@ def prose_line(c) -> Column:
     x = line_of(c)
     if "prose" in x.told:
         return x.told["prose"]
-    six_words, ten_small = x.s.rlike(r"^(?:[^A-Za-z]*+[A-Za-z][A-Za-z'-]*+){6}"), x.s.rlike(r"^(?:\P{Ll}*+\p{Ll}){10}")
-    return (F.length(x.s) >= 32) & six_words & ten_small & (ratio(x.alpha, x.solid) >= 0.5)
+    return (F.length(x.s) >= 32) & has_words(x.s, 6) & has_small(x.s, 10) & mostly_letters(x, 2, 1)
 
 
 FIGURE = r"(?i)^\s*(?:FIG|FIGURE)\.?\s+[A-Z0-9]+(?:[-.][A-Z0-9]+)*\b"
@@ -236,8 +259,9 @@ def visual_caption(c) -> Column:
     if "caption" in x.told:
         return x.told["caption"]
     rest = F.regexp_replace(x.s, TABLE + r"\s*", "")
-    figure = x.s.rlike(FIGURE) & ~F.regexp_replace(x.s, FIGURE + r"\s*", "").rlike(r"^,\s*[a-z]")
-    return figure | (~x.s.rlike(FIGURE) & x.s.rlike(TABLE) & ~(rest.rlike(r"^\p{Ll}") & prose_line(x)))
+    figure = ~F.regexp_replace(x.s, FIGURE + r"\s*", "").rlike(r"^,\s*[a-z]")
+    table = x.s.rlike(TABLE) & ~(rest.rlike(r"^\p{Ll}") & prose_line(x))
+    return x.s.rlike(r"(?i)^\s*(?:FIG|TABLE)") & F.when(x.s.rlike(FIGURE), figure).otherwise(table)
 
 
 def visual_line(c) -> Column:
@@ -246,14 +270,19 @@ def visual_line(c) -> Column:
     if "visual" in x.told:
         return x.told["visual"]
     numbers = count_of(x.s, r"\d+(?:\.\d+)?")
-    dense = (x.digit + x.punct > F.greatest(x.alpha, F.lit(3))) | ((x.long_words <= 4) & (numbers >= 3)) | ((x.long_words <= 2) & (x.digit >= 2)) | x.s.rlike(r"^(?:\d{1,3}[A-Z]|[A-Z]{1,3}\d{1,3})$")
-    return (x.s != "") & (x.s.rlike(r"(?i)\bGROUND\s+TIME\s+MINUS\s+VEHICLE\s+TIME\b") | (~prose_line(x) & (visual_caption(x) | dense)))
+    few = (~has_long_words(x.s, 5) & (numbers >= 3)) | (~has_long_words(x.s, 3) & (x.digit >= 2)) | x.s.rlike(r"^(?:\d{1,3}[A-Z]|[A-Z]{1,3}\d{1,3})$")
+    dense = (x.s.rlike(DIGIT) & few) | ((x.letters < F.length(x.s) - x.letters) & (x.digit + x.punct > F.greatest(x.alpha, F.lit(3))))
+    clock = x.s.rlike("(?i)GROUND") & x.s.rlike(r"(?i)\bGROUND\s+TIME\s+MINUS\s+VEHICLE\s+TIME\b")
+    return (x.s != "") & ((~prose_line(x) & (visual_caption(x) | dense)) | clock)
 
 
 def low_information(c) -> Column:
     # White space at the ends counts for nothing here, so that an expression isn't stripped first.
-    x = c if isinstance(c, Line) else Line(col(c), {k: count_of(c, COUNTED[k]) for k in ("alpha", "digit", "punct", "long_words")})
-    return (x.long_words == 0) | ((x.long_words < 5) & (x.digit + x.punct > F.greatest(x.alpha, F.lit(1))))
+    x = c if isinstance(c, Line) else counted(c)
+    noisy = ~has_long_words(x.s, 5) & (x.digit + x.punct > F.greatest(x.alpha, F.lit(1)))
+    if isinstance(c, Line):
+        noisy = (x.letters < F.length(x.s) - x.letters) & noisy  # else there are too many letters, and no more need be counted
+    return ~x.s.rlike("[A-Za-z]{2}") | noisy
 
 
 def ends_mid_sentence(c) -> Column:
@@ -274,12 +303,13 @@ def numbered_heading(c) -> Column:
     title = F.regexp_extract(s, r"^\d+(?:\.\d+)*\.?\s+(.+)$", 1)
     letters, upper = count_of(title, "[A-Za-z]"), count_of(title, "[A-Z]")
     noise = count_of(title, DIGIT) + count_of(title, PUNCT)
-    return s.rlike(r"(?i)^SECTION\s+(?:[IVXLCDM]+|\d+)") | (title.rlike(r"^\p{Lu}") & (letters > 0) & (ratio(upper, letters) >= 0.6) & (noise <= letters))
+    titled = title.rlike(r"^\p{Lu}") & (letters > 0) & (ratio(upper, letters) >= 0.6) & (noise <= letters)
+    return s.rlike(r"(?i)^SECTION\s+(?:[IVXLCDM]+|\d+)") | F.when(s.rlike(r"^\d"), titled).otherwise(False)
 
 
 def short_capital_title(c) -> Column:
     x = line_of(c)
-    return (x.letters > 0) & (ratio(x.capitals, x.letters) >= 0.85) & ~x.s.rlike(r"\d") & count_of(x.s, "[A-Za-z][A-Za-z/-]*").between(1, 8)
+    return (x.letters > 0) & (ratio(x.capitals, x.letters) >= 0.85) & ~x.s.rlike(r"\d") & ~has_words(x.s, 9, "/-")
 
 
 # Units and quantities on the axes of charts.
@@ -292,7 +322,8 @@ AXIS = (
 
 
 def axis_label(c) -> Column:
-    return line_of(c).s.rlike(AXIS)
+    x = line_of(c)
+    return (~x.told["prose"] if "prose" in x.told else F.lit(True)) & x.s.rlike(AXIS)  # a label has four words at most, prose six at least
 
 
 # Words of narrative, and words that hold sentences together.
@@ -307,16 +338,21 @@ _BEGIN, _END = r"(?i)(?:^|[^A-Za-z'-])['-]*+", r"['-]*+(?![A-Za-z])"
 def narrative_line(c) -> Column:
     """A line of prose, also on a page of charts: no caption or visual line, mostly letters, and one of eight cues of running text. Words are looked at where they stand."""
     x = line_of(c)
-    s, n = x.s, x.words
+    s, words = x.s, lambda n: has_words(x.s, n)
     told = s.rlike(f"{_BEGIN}(?:{'|'.join(NARRATIVE)}){_END}")
-    held = F.regexp_count(s, F.lit(f"{_BEGIN}(?:{'|'.join(FUNCTION)}){_END}"))
+    function_word = f"{_BEGIN}(?:{'|'.join(FUNCTION)}){_END}"
     inflected = s.rlike(f"{_BEGIN}(?=[A-Za-z][A-Za-z'-]{{4}})[A-Za-z'-]*?(?:ed|ing){_END}")
     hyphened = s.rlike(f"{_BEGIN}[A-Za-z](?:[A-Za-z'-]*[A-Za-z'])?-+[A-Za-z']")
     small = s.rlike(r"^\p{Ll}")
-    cues = [told, s.rlike(r"[.!?;:](?:\s|$)"), small & (n >= 6), s.endswith("-") & (n >= 3), (n >= 4) & inflected, held >= 4, s.rlike(r"(?i)\bsuch\s+as\b"), small & (n >= 4) & hyphened]
-    fragment = (n <= 3) & s.rlike(f"(?i)^[^A-Za-z]*+(?=[A-Za-z])[A-Za-z'-]*?ing{_END}") & ~told & (held == 0)
-    solid = (x.small >= 7) & (n >= 2) & (ratio(x.alpha, x.solid) >= 0.55)
-    return solid & ~visual_line(x) & ~visual_caption(x) & ~fragment & reduce(lambda a, b: a | b, cues)
+    any_of = lambda *cues: reduce(lambda a, b: a | b, cues)
+    # What tells of most lines comes first, what reads all of a line last. No cue stands twice in a condition: Spark computes such a one for every line, asked for or not.
+    ended = [s.endswith(end) for end in ".!?;:"]
+    late = [told, s.rlike(r"[.!?;:](?:\s|$)"), s.rlike(r"(?i)\bsuch\s+as\b")]
+    many = any_of(*ended, small & words(6), s.endswith("-"), *late, inflected, F.regexp_count(s, F.lit(function_word)) >= 4, small & hyphened)
+    whole = ~s.rlike(f"(?i)^[^A-Za-z]*+(?=[A-Za-z])[A-Za-z'-]*?ing{_END}") | s.rlike(function_word)
+    few = told | (whole & any_of(*ended, s.endswith("-") & words(3), *late[1:]))
+    solid = (prose_line(x) | (has_small(s, 7) & words(2))) & mostly_letters(x, 20, 11)
+    return solid & ~visual_line(x) & ~visual_caption(x) & F.when(words(4), many).otherwise(few)
 
 
 # --- names ---

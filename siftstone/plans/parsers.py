@@ -47,7 +47,7 @@ OPTIONS = reports.Options(start_page=2, stop_heading=STOP, mission="Apollo 11",
 
 def built(spark, sf_dir) -> DataFrame:
     """(doc_id, path, value): a report for each document, of pages of twelve lines; some have no page markers, some a line before the first."""
-    said = F.split(F.translate("text", "\n", " "), "[.] ")
+    said = F.split(F.replace("text", F.lit("\n"), F.lit(" ")), "[.] ")
     d = table(spark, sf_dir, "documents").select("doc_id", said.alias("said"))
     made = d.select("doc_id", F.expr(f"transform(said, (x, i) -> {_MARKED})").alias("ls"))
     return made.select("doc_id", F.concat(F.lit("memory://r"), F.col("doc_id").cast("string"), F.lit(".txt")).alias("path"), F.concat(F.expr(_HEAD), F.array_join("ls", "\n")).alias("value"))
@@ -76,7 +76,7 @@ def line_kinds(spark, sf_dir):
         "numbered": X.numbered_heading, "capitals": X.short_capital_title, "axis": X.axis_label, "caption": X.visual_caption,
         "visual": X.visual_line, "prose": X.prose_line, "narrative": X.narrative_line, "low": lambda x: (x.s != "") & X.low_information(x),
     }
-    return rows.groupBy("doc_id").agg(*(F.count_if(F.coalesce(c(x), F.lit(False))).alias(k) for k, c in flags.items()))
+    return rows.groupBy("doc_id").agg(*(F.count(F.when(c(x), 1)).alias(k) for k, c in flags.items()))
 
 
 def continuations(spark, sf_dir):
